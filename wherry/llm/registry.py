@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wherry.llm.op4_toxicity import op4_toxicity
 from wherry.llm.op5_sentencepiece import op5_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
     }
 
