@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wherry.llm.op10_decontaminate import op10_decontaminate
+from wherry.llm.op3_language import op3_language_id
 from wherry.llm.op4_toxicity import op4_toxicity
 from wherry.llm.op5_sentencepiece import op5_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
