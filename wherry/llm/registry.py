@@ -10,6 +10,7 @@ from wherry.llm.op10_decontaminate import op10_decontaminate
 from wherry.llm.op3_language import op3_language_id
 from wherry.llm.op4_toxicity import op4_toxicity
 from wherry.llm.op5_sentencepiece import op5_sentencepiece
+from wherry.llm import op6_warc
 from wherry.llm.op9_simhash import op9_simhash
 
 
@@ -18,10 +19,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_warc": op6_warc.op6_warc,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc": op6_warc.ORACLE_SQL,
+    }
