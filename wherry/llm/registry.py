@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wherry.llm.op1_url_filter import op1_url_filter
 from wherry.llm.op10_decontaminate import op10_decontaminate
+from wherry.llm.op2_html import op2_html
 from wherry.llm.op3_language import op3_language_id
 from wherry.llm.op4_toxicity import op4_toxicity
 from wherry.llm.op5_sentencepiece import op5_sentencepiece
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
         "op1_url_filter": op1_url_filter,
+        "op2_html": op2_html,
         "op6_warc": op6_warc.op6_warc,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
@@ -30,5 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_html": op2_html,
         "op6_warc": op6_warc.ORACLE_SQL,
     }
