@@ -13,6 +13,7 @@ from wherry.llm.op3_language import op3_language_id
 from wherry.llm.op4_toxicity import op4_toxicity
 from wherry.llm.op5_sentencepiece import op5_sentencepiece
 from wherry.llm import op6_warc
+from wherry.llm.op7_line_dedup import op7_line_dedup
 from wherry.llm.op8_winnowing import op8_winnowing
 from wherry.llm.op9_simhash import op9_simhash
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_html": op2_html,
         "op6_warc": op6_warc.op6_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_winnowing": op8_winnowing,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
