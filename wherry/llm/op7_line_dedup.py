@@ -33,12 +33,17 @@ from wherry.llm.common import materialize, table
 K, W = 3, 2
 MIN_WORDS = 8
 CUT = r"(?<=\n)|(?<=[.!?] )"
+#: Put behind each cut and split at, which is faster than looking behind every character.
+MARK = "\x01"
 BLANKS = " \t\r\n"
-POSITION_SPAN = 1 << 31
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, CUT)
+    """The lines with the white space that ends them, so that they join to the text again."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -65,26 +70,27 @@ def prints(lines: DataFrame) -> DataFrame:
     return one.filter("fp is not null")
 
 
-def _place(doc_id: Column, pos: Column) -> Column:
-    """Document and position as one ordered number of fixed width."""
-    return (doc_id.cast("decimal(20,0)") * F.lit(POSITION_SPAN).cast("decimal(11,0)") + pos.cast("decimal(11,0)")).cast("decimal(38,0)")
-
-
 def diagonals(found: DataFrame) -> DataFrame:
     """(doc_id, n, src, offsets): for each document and earlier source the offsets at which lines coincide."""
-    first = found.groupBy("fp").agg(F.count("*").alias("times"), F.min("doc_id").alias("src"), F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"))
-    first = first.filter("times > 1").select("fp", "src", (F.col("place") - _place(F.col("src"), F.lit(0))).cast("int").alias("src_pos"))
-    first = materialize(first)
-    other = found.join(first, "fp").filter("doc_id != src").select("doc_id", "n", "src", (F.col("pos") - F.col("src_pos")).alias("offset"))
     before = F.lag("pos").over(Window.partitionBy("doc_id", "fp").orderBy("pos"))
-    same = found.filter("again").select("doc_id", "n", F.col("doc_id").alias("src"), (F.col("pos") - before).alias("offset")).filter("offset > 0")
+    repeats = materialize(found.filter("again").select("doc_id", "n", "fp", "pos", before.alias("before")))
+    # A document meets others at the first place of each fingerprint, and itself from each place to the one before.
+    once = found.filter("NOT again").select("doc_id", "n", "fp", "pos").unionByName(repeats.filter("before is null").select("doc_id", "n", "fp", "pos"))
+    first = once.groupBy("fp").agg(F.count("*").alias("times"), F.min("doc_id").alias("src"), F.min_by("pos", "doc_id").alias("src_pos"))
+    first = materialize(first.filter("times > 1").select("fp", "src", "src_pos"))
+    other = once.join(first.hint("shuffle_hash"), "fp").filter("doc_id != src").select("doc_id", "n", "src", (F.col("pos") - F.col("src_pos")).alias("offset"))
+    same = repeats.filter("before is not null").select("doc_id", "n", F.col("doc_id").alias("src"), (F.col("pos") - F.col("before")).alias("offset"))
     return other.union(same).groupBy("doc_id", "src").agg(F.max("n").alias("n"), F.collect_set("offset").alias("offsets"))
 
 
 def _runs(offset: Column) -> Column:
     """Positions of h that lie in runs of equal lines along one offset, runs of MIN_WORDS words or more."""
-    n = F.size("h")
-    breaks = F.filter(F.sequence(F.lit(-1), n), lambda i: (i < 0) | (i >= n) | ~F.get("h", i).eqNullSafe(F.get("src_h", i - offset - F.col("low"))) | F.get("h", i).isNull())
+    first = F.greatest(F.lit(0), offset)
+    n = F.greatest(F.lit(0), F.least(F.size("h"), F.size("src_h") + F.col("low") + offset) - first)
+    mine, theirs = F.slice("h", first + 1, n), F.slice("src_h", first - offset - F.col("low") + 1, n)
+    same = F.zip_with(mine, theirs, lambda x, y: x == y)
+    # Places within the overlap where the lines differ, between one before its start and one after its end.
+    breaks = F.concat(F.array(first - 1), F.array_compact(F.transform(same, lambda x, i: F.when(~x, i + first))), F.array(first + n))
 
     def between(b: Column) -> Column:
         spans = F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda j: F.struct((F.get(b, j) + 1).alias("s"), (F.get(b, j + 1) - 1).alias("e")))
@@ -111,7 +117,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with its later repeated runs of lines deleted from ``text``; adds _lines and _removed (positions)."""
     gone = materialize(removed_lines(docs)).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed"))
-    rows = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
+    rows = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
     lines = lines_of(F.col("text"))
     rows = rows.withColumn("_cut", F.when(F.col("_removed").isNotNull(), lines))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("_removed"))
