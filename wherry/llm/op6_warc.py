@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, shared_dir, table
+from wherry.llm.common import materialize, pieces, shared_dir, table
 from wherry.llm.zipstore import StoredZipReader, StoredZipWriter, open_store
 
 REVISIT_BYTES = 1000
@@ -95,7 +95,7 @@ def write_archives(kinds: DataFrame, folder: str, zip64: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = index = None
-        for batch in batches:
+        for batch in pieces(batches):
             for page_id, url, html, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
                     store, root = open_store(folder)
@@ -188,7 +188,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read every record back."""
     spark = pages.sparkSession
     archives = materialize(write_archives(record_kinds(pages), shared_dir(spark)))
-    return read_archives(archives.repartition("path"))
+    return read_archives(archives.repartition(max(1, archives.count())))  # a task for each archive; by number, so that they are not merged
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
