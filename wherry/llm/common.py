@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,14 @@ def id_bucket(doc_id: str, modulus: int):
 
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Rows of an Arrow batch that are Python objects at the same time.
+PIECE_ROWS = 256
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows each, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import table
+from wherry.llm.common import pieces, table
 
 WINDOW = 8
 CONTAMINATED_ITEMS = 2
 #: Characters of test text in one broadcast; a larger test set is sent and searched in several blocks.
 BLOCK_CHARS = 1 << 20
 #: Words that one shard indexes before it is searched.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
+#: Documents of a shard at most.
+SHARD_ROWS = 2048
 
 # Lower-cases A-Z and blanks every ASCII byte that no word holds; all other bytes are word bytes.
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
@@ -165,7 +167,7 @@ def search(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
     shared = [send(Queries(windows(b))) for b in _blocks(items.select("item_id", "text"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, SHARD_ROWS):
             got = list(_hits(batch.column(1).to_pylist(), [b.value for b in shared], slop))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, table
+from wherry.llm.common import materialize, pieces, table
 
 #: Templates are sent to every executor up to this size and joined by host beyond it.
 MAX_BROADCAST_BYTES = 8 << 20
@@ -214,7 +214,7 @@ def templates(pages: DataFrame) -> DataFrame:
             cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)]
             return pa.RecordBatch.from_arrays(cols, names=["host", "mark", "path", "vector", "n", "most"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for host, page_no, page in zip(*(c.to_pylist() for c in batch.columns)):
                 seen[host] += 1
                 for (end, path), c in Tokens(page or "").counts().items():
@@ -258,7 +258,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(learned) if size <= MAX_BROADCAST_BYTES else learned, "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [extract(page, _template(t)) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

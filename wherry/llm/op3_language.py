@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import id_bucket, table
+from wherry.llm.common import id_bucket, pieces, table
 
 ORDER = 3
 FOLD, HELD = 4, 2
@@ -240,14 +240,12 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                langs, score = m.predict(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+        for part in pieces(batches):
+            langs, score = m.predict(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", (id_bucket("doc_id", FOLD) == HELD).alias("held_out"), "text").mapInArrow(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import id_bucket, materialize, table
+from wherry.llm.common import id_bucket, materialize, pieces, table
 
 #: Expected sizes of the samples that the classifier is fitted on.
 MAX_POSITIVES = 6_000
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     def positive_grams(batches):
         counts: dict[int, int] = {}
         n_docs = 0
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).to_pylist()
             n_docs += len(texts)
             for t in texts:
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     def unlabelled_grams(batches):
         found, docs_seen, grams = np.zeros(len(keys), np.int64), 0, GramTable(keys)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).to_pylist()
             docs_seen += len(texts)
             for r in grams.rows(texts):
@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     def featured(batches):
         grams = GramTable(features)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = grams.rows(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=["p", "u", "f"])
 
@@ -303,7 +303,7 @@ def score(docs: DataFrame, trained: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = ToxicModel(*parts)
-        for batch in batches:
+        for batch in pieces(batches):
             s = m.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],

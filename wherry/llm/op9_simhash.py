@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, table
+from wherry.llm.common import materialize, pieces, table
 from wherry.llm.components import connected_components
 
 SHINGLE = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
