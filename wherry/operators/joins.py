@@ -126,11 +126,11 @@ def attribute(nudges: DataFrame, served: DataFrame, window_seconds: int, key: st
     s = served.select(*keys, "ts", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("nudge"))
     if not keys:
         # A nudge looks into its own bucket and the next; served events go to their bucket and the one before.
-        b = F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000))
+        b = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (window_seconds * 1_000_000))
         n = n.withColumn("_b", b)
         s = s.withColumn("_b", F.explode(F.array(b, b - 1)))
         keys = ["_b"]
     w = Window.partitionBy(*keys).orderBy("ts", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     seen = n.unionByName(s).withColumn("next_served", F.first(F.when(F.col("kind") == 1, F.col("ts")), ignorenulls=True).over(w)).filter("kind = 0")
-    within = (F.unix_micros("next_served") - F.unix_micros("ts")) <= window_seconds * 1_000_000
+    within = (F.unix_micros(F.col("next_served").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) <= window_seconds * 1_000_000
     return seen.select(*([key] if key else []), "ts", F.when(within, F.col("next_served")).alias("credited_by"))
