@@ -26,10 +26,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 class VersionedStore:
-    """Tables in numbered version folders; a one-line pointer names the current version.
+    """Tables in numbered version folders; the pointer file with the largest number names the current version.
 
-    A commit writes every table of the new version first and moves the pointer last, through the store's
-    rename, so readers see all of a version or none of it.
+    A commit writes every table of the new version first and renames its pointer into place last, so readers see
+    all of a version or none of it, and an older pointer stays until the new one is there.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -39,10 +39,14 @@ class VersionedStore:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> dict | None:
-        pointer = f"{self.root}/_current"
-        if not self._fs.exists(self._path(pointer)):
+        root = self._path(self.root)
+        if not self._fs.exists(root):
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(pointer).collect()))
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
+        pointers = sorted(n for n in names if n.startswith("pointer-"))
+        if not pointers:
+            return None
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{pointers[-1]}").collect()))
 
     def read(self, name: str) -> DataFrame:
         now = self.current()
@@ -56,13 +60,12 @@ class VersionedStore:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
         state = (now or {}).get("meta", {}) | (meta or {})
-        temporary, final = self._path(f"{self.root}/_next-{uuid.uuid4().hex}"), self._path(f"{self.root}/_current")
+        temporary, final = self._path(f"{self.root}/_next-{uuid.uuid4().hex}"), self._path(f"{self.root}/pointer-{version:012d}")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps({"version": version, "meta": state}).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temporary, final)
+        if not self._fs.rename(temporary, final):
+            raise RuntimeError(f"version {version} was committed by someone else")
         return version
 
     def require(self, **expected) -> None:
