@@ -31,7 +31,7 @@ from wherry.llm.common import pieces, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded chunks that a worker remembers; a bound on memory alone, results do not depend on it.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 240_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 
@@ -106,6 +106,9 @@ class PieceModel:
             self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.newline_cut else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.compatible_memo: dict[tuple[str, str], bool] = {}
         self.chunk_memo: dict[str, tuple[int, str, str]] = {}
+        self.older_memo: dict[str, tuple[int, str, str]] = {}
+        self.unknown = re.compile("[^" + re.escape("".join(sorted(alphabet))) + "]")
+        self.shown = {p: str(i) for p, (_, i) in self.rank.items()}
         # Only pieces that merging their own characters gives back can be anyone's last token.
         self.automaton = ahocorasick.Automaton()
         self.longest = 1
@@ -143,31 +146,29 @@ class PieceModel:
         """Pieces of a string all of whose characters are known: prefix table, then backwards."""
         n = len(s)
         last: list[str] = [""] * (n + 1)
-        at, found = -1, []
-        for end, piece in self.automaton.iter(s):
-            if end != at:
-                if at >= 0:
-                    self._settle(last, at, found)
-                at, found = end, []
-            found.append(piece)
-        self._settle(last, at, found)
+        known = self.compatible_memo.get
+        for end, piece in self.automaton.iter(s):  # all pieces that end at a place, before those of the next one
+            stop = end + 1
+            if last[stop]:
+                continue
+            start = stop - len(piece)
+            if not start:
+                last[stop] = piece
+                continue
+            before = last[start]
+            if before:
+                ok = known((before, piece))
+                if self.compatible(before, piece) if ok is None else ok:
+                    last[stop] = piece
         out = []
         while n:
+            if not last[n]:
+                raise AssertionError("a prefix without a last token")
             out.append(last[n])
             n -= len(last[n])
         out.reverse()
         return out
 
-    def _settle(self, last: list[str], end: int, found: list[str]) -> None:
-        stop = end + 1
-        for piece in found:
-            start = stop - len(piece)
-            before = last[start]
-            if start == 0 or (before and self.compatible(before, piece)):
-                last[stop] = piece
-                return
-        raise AssertionError("a prefix without a last token")
-
     def _chunk_ids(self, chunk: str) -> list[int]:
         ids: list[int] = []
         known, rank, byte_ids = self.known, self.rank, self.byte_ids
@@ -221,12 +222,17 @@ class PieceModel:
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """(ids, ids as decimal text, decoded text of the ids) of one chunk that does not begin the text."""
-        ids = self._chunk_ids(chunk)
-        shown = self.decode([self.eos_free_start, *ids])
-        got = len(ids), " ".join(map(str, ids)), shown[1:]
+        got = self.older_memo.get(chunk)
+        if got is None:
+            if self.unknown.search(chunk):
+                ids = self._chunk_ids(chunk)
+                got = len(ids), " ".join(map(str, ids)), self.decode([self.eos_free_start, *ids])[1:]
+            else:
+                pieces = self._pieces_of(chunk)
+                got = len(pieces), " ".join([self.shown[p] for p in pieces]), "".join(pieces).replace(MARK, " ")
         if len(chunk) <= CACHE_CHARS:
-            if len(self.chunk_memo) >= CACHE_CHUNKS:
-                self.chunk_memo.clear()
+            if len(self.chunk_memo) >= CACHE_CHUNKS // 2:  # two generations: what is used stays
+                self.older_memo, self.chunk_memo = self.chunk_memo, {}
             self.chunk_memo[chunk] = got
         return got
 
@@ -240,10 +246,9 @@ class PieceModel:
         if self.cut is None:
             ids = [*self.encode(text), self.eos]
             return len(ids), _hex(" ".join(map(str, ids)).encode()), _hex(self.decode(ids).encode())
-        memo = self.chunk_memo
         n, shown, texts = 1, [], []
         for c in self.cut.findall(self._marked(text)):
-            k, ids, back = memo.get(c) or self._chunk(c)
+            k, ids, back = self.chunk_memo.get(c) or self._chunk(c)
             n += k
             shown.append(ids)
             texts.append(back)
