@@ -144,8 +144,8 @@ def gr_pagerank(x: Tables):
 
 @query(
     "gr_blend",
-    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS seed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS ppr FROM orders WHERE o_custkey <= 200),
-    f AS (SELECT query_id, id, 0.7 * seed / max(seed) OVER (PARTITION BY query_id) + 0.3 * coalesce(coalesce(ppr, 0.0) / nullif(max(ppr) OVER (PARTITION BY query_id), 0), 0) AS fused FROM c)
+    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS seed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS ppr FROM orders WHERE o_custkey <= 200),
+    f AS (SELECT query_id, id, CAST(0.7 AS DOUBLE) * (seed / max(seed) OVER (PARTITION BY query_id)) + (1 - CAST(0.7 AS DOUBLE)) * coalesce(coalesce(ppr, 0.0) / nullif(max(ppr) OVER (PARTITION BY query_id), 0), 0) AS fused FROM c)
     SELECT query_id, id, round(fused, 6) AS fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS BIGINT) AS fused_rank FROM f""",
 )
 def gr_blend(x: Tables):
