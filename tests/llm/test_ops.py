@@ -550,3 +550,19 @@ def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() == toxic.count()
     assert corpus_pipeline.toxicity(spark, docs.limit(0), sf).count() == 0
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(v, str) for v in registry.oracle_sql().values())
+
+
+def test_warc_oracle(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    cursor = con.execute(op6.ORACLE_SQL)
+    names = [d[0] for d in cursor.description]
+    want = sorted((dict(zip(names, r)) for r in cursor.fetchall()), key=lambda r: r["page_id"])
+    got = sorted((r.asDict() for r in registry.queries()["op6_warc"](spark, sf).collect()), key=lambda r: r["page_id"])
+    assert got == want
