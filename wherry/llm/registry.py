@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wherry.llm import op6_warc
+from wherry.llm import op6_warc, op10_decontaminate
 from wherry.llm.op1_url_filter import op1_url_filter
 from wherry.llm.op2_html import op2_html
 from wherry.llm.op3_language import op3_language_id
@@ -15,7 +15,6 @@ from wherry.llm.op5_sentencepiece import op5_sentencepiece
 from wherry.llm.op7_line_dedup import op7_line_dedup
 from wherry.llm.op8_winnowing import op8_winnowing
 from wherry.llm.op9_simhash import op9_simhash
-from wherry.llm.op10_decontaminate import op10_decontaminate
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_winnowing": op8_winnowing,
         "op9_simhash": op9_simhash,
-        "op10_decontaminate": op10_decontaminate,
+        "op10_decontaminate": op10_decontaminate.op10_decontaminate,
     }
 
 
@@ -37,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
     """Only what SQL can express; the others are tested against brute force."""
     return {
         "op6_warc": op6_warc.ORACLE_SQL,
+        "op10_decontaminate": op10_decontaminate.ORACLE_SQL,
     }
