@@ -31,9 +31,11 @@ from wherry.llm.common import pieces, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded chunks that a worker remembers; a bound on memory alone, results do not depend on it.
-CACHE_CHUNKS = 240_000
+CACHE_CHUNKS = 400_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
+#: The table of a longer chunk is filled left to right, that of a shorter one from its end as far as it is asked for.
+EAGER_CHARS = 64
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -103,10 +105,11 @@ class PieceModel:
         if inner:
             self.cut = None
         else:
-            self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.newline_cut else f"{MARK}*[^{MARK}]+|{MARK}+")
+            self.cut = re.compile("\n| *[^ \n]+| +" if self.newline_cut else " *[^ ]+| +")
         self.compatible_memo: dict[tuple[str, str], bool] = {}
-        self.chunk_memo: dict[str, tuple[int, str, str]] = {}
-        self.older_memo: dict[str, tuple[int, str, str]] = {}
+        self.chunk_memo: dict[str, str] = {}
+        self.older_memo: dict[str, str] = {}
+        self.odd_chunks = False
         self.unknown = re.compile("[^" + re.escape("".join(sorted(alphabet))) + "]")
         self.shown = {p: str(i) for p, (_, i) in self.rank.items()}
         # Only pieces that merging their own characters gives back can be anyone's last token.
@@ -117,6 +120,8 @@ class PieceModel:
                 self.automaton.add_word(p, p)
                 self.longest = max(self.longest, len(p))
         self.automaton.make_automaton()
+        # All pieces that end where a piece ends are its own suffixes, longest first.
+        self.suffixes = {p: [p[i:] for i in range(len(p)) if p[i:] in self.automaton] for p in self.automaton}
 
     def _merge(self, s: str) -> list[str]:
         """Plain merging of a short string: best score first, leftmost among equals."""
@@ -146,29 +151,44 @@ class PieceModel:
         """Pieces of a string all of whose characters are known: prefix table, then backwards."""
         n = len(s)
         last: list[str] = [""] * (n + 1)
-        known = self.compatible_memo.get
-        for end, piece in self.automaton.iter(s):  # all pieces that end at a place, before those of the next one
-            stop = end + 1
-            if last[stop]:
-                continue
-            start = stop - len(piece)
-            if not start:
-                last[stop] = piece
-                continue
-            before = last[start]
-            if before:
-                ok = known((before, piece))
-                if self.compatible(before, piece) if ok is None else ok:
-                    last[stop] = piece
+        if n > EAGER_CHARS:
+            self._fill(s, last)
+        else:
+            longest: list[str] = [""] * n
+            for end, piece in self.automaton.iter(s):  # the longest piece that ends at a place comes first
+                if not longest[end]:
+                    longest[end] = piece
+            self._settle(n, longest, last)
         out = []
         while n:
-            if not last[n]:
-                raise AssertionError("a prefix without a last token")
             out.append(last[n])
             n -= len(last[n])
         out.reverse()
         return out
 
+    def _settle(self, stop: int, longest: list[str], last: list[str]) -> str:
+        """Fill the table's entry for the prefix that ends at ``stop``, and those that it asks for."""
+        for piece in self.suffixes[longest[stop - 1]]:
+            start = stop - len(piece)
+            if start:
+                before = last[start] or self._settle(start, longest, last)
+                ok = self.compatible_memo.get((before, piece))
+                if not (self.compatible(before, piece) if ok is None else ok):
+                    continue
+            last[stop] = piece
+            return piece
+        raise AssertionError("a prefix without a last token")
+
+    def _fill(self, s: str, last: list[str]) -> None:
+        """Fill the whole table left to right."""
+        for end, piece in self.automaton.iter(s):
+            stop = end + 1
+            start = stop - len(piece)
+            if not last[stop] and (not start or last[start] and self.compatible(last[start], piece)):
+                last[stop] = piece
+        if not all(last[1:]):
+            raise AssertionError("a prefix without a last token")
+
     def _chunk_ids(self, chunk: str) -> list[int]:
         ids: list[int] = []
         known, rank, byte_ids = self.known, self.rank, self.byte_ids
@@ -185,15 +205,16 @@ class PieceModel:
             i = j
         return ids
 
-    def _marked(self, text: str) -> str:
-        s = text.replace(" ", MARK)
-        return MARK + s if self.add_prefix and s else s
+    def _spaced(self, text: str) -> str:
+        """The text with its prefix blank; a literal mark is a blank to the model."""
+        s = text.replace(MARK, " ") if MARK in text else text
+        return " " + s if self.add_prefix and s else s
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without an end id."""
-        s = self._marked(text)
+        s = self._spaced(text)
         chunks = self.cut.findall(s) if self.cut else [s]
-        return [i for c in chunks for i in self._chunk_ids(c)]
+        return [i for c in chunks for i in self._chunk_ids(c.replace(" ", MARK))]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids are silent, the prefix mark is dropped, bad bytes become U+FFFD each."""
@@ -220,43 +241,37 @@ class PieceModel:
             out.append(_utf8(bytes(raw)))
         return "".join(out)
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(ids, ids as decimal text, decoded text of the ids) of one chunk that does not begin the text."""
+    def _chunk(self, chunk: str) -> str:
+        """Ids of one chunk as decimal text. Its ids are decoded too, to see whether they give the chunk again."""
         got = self.older_memo.get(chunk)
         if got is None:
-            if self.unknown.search(chunk):
-                ids = self._chunk_ids(chunk)
-                got = len(ids), " ".join(map(str, ids)), self.decode([self.eos_free_start, *ids])[1:]
+            marked = chunk.replace(" ", MARK)
+            if self.unknown.search(marked):
+                ids = self._chunk_ids(marked)
+                got, back = " ".join(map(str, ids)), self.decode([self.rank["a"][1], *ids])[1:]
             else:
-                pieces = self._pieces_of(chunk)
-                got = len(pieces), " ".join([self.shown[p] for p in pieces]), "".join(pieces).replace(MARK, " ")
+                pieces = self._pieces_of(marked)
+                got, back = " ".join([self.shown[p] for p in pieces]), "".join(pieces).replace(MARK, " ")
+            self.odd_chunks = self.odd_chunks or back != chunk
         if len(chunk) <= CACHE_CHARS:
             if len(self.chunk_memo) >= CACHE_CHUNKS // 2:  # two generations: what is used stays
                 self.older_memo, self.chunk_memo = self.chunk_memo, {}
             self.chunk_memo[chunk] = got
         return got
 
-    @property
-    def eos_free_start(self) -> int:
-        """The piece "a", put before a chunk so that its own first mark is kept in decoding."""
-        return self.rank["a"][1]
-
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids with the end id, sha256 of the ids, sha256 of the decoded text)."""
+        s = self._spaced(text)
         if self.cut is None:
             ids = [*self.encode(text), self.eos]
             return len(ids), _hex(" ".join(map(str, ids)).encode()), _hex(self.decode(ids).encode())
-        n, shown, texts = 1, [], []
-        for c in self.cut.findall(self._marked(text)):
-            k, ids, back = self.chunk_memo.get(c) or self._chunk(c)
-            n += k
-            shown.append(ids)
-            texts.append(back)
-        shown.append(str(self.eos))
-        back = "".join(texts)
-        if self.add_prefix and back.startswith(" "):
-            back = back[1:]
-        return n, _hex(" ".join(shown).encode()), _hex(back.encode())
+        known = self.chunk_memo.get
+        parts = [known(c) or self._chunk(c) for c in self.cut.findall(s)]
+        parts.append(str(self.eos))
+        shown = " ".join(parts)
+        # Every chunk's ids were decoded when they were made; while all gave their chunk again, the text is its chunks.
+        back = self.decode(list(map(int, shown.split(" ")))) if self.odd_chunks else s[1:] if self.add_prefix else s
+        return shown.count(" ") + 1, _hex(shown.encode()), _hex(back.encode("utf-8", "replace"))
 
 
 def _utf8(raw: bytes) -> str:
