@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from wherry.queries import ranking, retrieval, text, upkeep  # noqa: F401
+    from wherry.queries import more, ranking, retrieval, text, upkeep  # noqa: F401
