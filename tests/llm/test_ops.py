@@ -96,6 +96,12 @@ def test_html_text(spark):
     assert op2.main_text(df).count() == len(rows) and op2.main_text(df.limit(0)).count() == 0
 
 
+def test_html_comments_in_articles():
+    page = "<main><article class='post'><p>Text</p><article class='comment'><p>I agree</p></article></article><article class='related'>More</article></main>"
+    assert op2.extract(page) == "Text"
+    assert op2.extract("<div class='comments'>a</div><div class='sidebar-left'>b</div><p>c<p>d") == "c d"
+
+
 def test_html_template_is_nested(spark):
     rows = [(i, "http://h/", PAGE.replace("five", f"text {i}")) for i in range(5)]
     t = op2.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["template"].split("\n")

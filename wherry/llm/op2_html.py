@@ -51,6 +51,8 @@ REFUSED = frozenset("nav header footer aside form menu button dialog fieldset he
 REFUSED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer footer form header menu nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search alert".split()
 )
+#: Those of them that refuse an article or main element too: a reader's comment or a teaser may be marked up as an article.
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement comment comments commentlist promo promoted related replies reply sponsor sponsored teaser".split())
 #: Elements that close an open one of the same group when they start.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 # Starting one of these ends an open paragraph.
@@ -71,7 +73,8 @@ def _element(name: str, attrs: str) -> tuple[str, bool]:
     if not named:
         return name, name in REFUSED
     words = {w.lower() for _, v in named for w in _WORD.findall(v)}
-    refused = name in REFUSED or (name not in ("html", "body", "main", "article") and bool(words & REFUSED_WORDS))
+    against = frozenset() if name in ("html", "body") else ASIDE_WORDS if name in ("main", "article") else REFUSED_WORDS
+    refused = name in REFUSED or bool(words & against)
     return name + "".join(f"[{k}={' '.join(v.split())}]" for k, v in named if k != "id" or refused), refused
 
 
