@@ -37,8 +37,8 @@ SEED = 42
 MAX_DISTANCE = 3
 #: Widths of the bit segments, lowest bits first.
 SEGMENTS = (11, 11, 11, 11, 10, 10)
-#: Words of pairwise distance 32: each alternates blocks of ones and zeros of one width.
-PIVOTS = tuple(sum(1 << i for i in range(64) if (i >> k) & 1) for k in range(6)) + (0, (1 << 32) - 1 ^ ((1 << 16) - 1) << 8)
+#: Sixteen Walsh words of pairwise distance 32: bit b of word i is the parity of i & b.
+PIVOTS = tuple(sum(((i & b).bit_count() & 1) << b for b in range(64)) for i in range(1, 17))
 SLICE = 1 << 16
 
 
