@@ -558,6 +558,17 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.toxicity(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [("i1", words(1, 20)), ("i2", words(2, 20)), (None, words(3, 20))]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    w = [t.split(" ") for _, t in items]
+    rows = [(1, words(4, 30)), (2, words(5, 9) + " " + items[0][1] + " " + words(6, 9)), (3, " ".join(w[0][:8])), (4, " ".join(w[0][:7])), (5, " ".join(w[0][:8] + w[1][:8])), (6, " ".join(w[2][2:12])), (7, None)]
+    kept = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 7]
+
+
 def test_oracles_are_sql():
     assert all(isinstance(v, str) for v in registry.oracle_sql().values())
 
