@@ -108,6 +108,23 @@ def test_html_template_is_nested(spark):
     assert "html/body/article" in t and "html/body/article/h1" in t and "html/body/article/p" not in t
 
 
+def test_html_fixed_blocks_are_template(spark):
+    page = "<html><body><div class=x1>Our notice for all.</div><div class=x2><h1>{0}</h1><p>body {0} text</p>{1}</div><div>{2}</div></body></html>"
+    rows = [(i, "http://h/a", page.format(f"title {i}", "<p>both</p>" if i < 2 else "", "Legal line &copy;")) for i in range(4)]
+    rows += [(10 + i, "http://same/", page.format("t", "", "l")) for i in range(3)] + [(20, "http://one/", page.format("t", "", "l"))]
+    rows += [(30 + i, "http://art/", f"<body><div>Fixed</div><article><h1>Same</h1><p>v{i}</p></article>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in op2.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"title {i} body title {i} text" + (" both" if i < 2 else "") for i in range(4)]
+    assert {got[i] for i in (10, 11, 12, 20)} == {"Our notice for all. t body t text l"}
+    assert [got[30 + i] for i in range(3)] == [f"Same v{i}" for i in range(3)]
+
+
+def test_html_classes_need_end_tags(spark):
+    rows = [(i, "http://h/", "<body><div class=a><p>x</div><div class=b><p>y" + ("</div>" if i else "") + "</body>") for i in range(3)]
+    t = op2.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["template"].split("\n")
+    assert "body/div[class=a]" in t and "body/div[class=b]" not in t
+
+
 # 3
 
 

@@ -1,18 +1,21 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page is cut into tokens: tags, and the words between them. A token's role is the path of open block
-elements it stands in. For each host the occurrence vector of every tag token over all of the host's
+A page is cut into tokens: tags, and the blocks of words between them. A token's role is the path of open
+block elements it stands in. For each host the occurrence vector of every token over all of the host's
 pages is folded into an order-free sum of hashes of (page, count), so vectors are compared without being
 gathered: partial sums meet in one aggregation on (host, token). Tokens with equal vectors form an
 equivalence class. A class is valid if it occurs once in each page that has it and its tokens nest: each
-element's end tag lies in the class too. The valid classes are nested by containment of their paths
-into the host's template, whose slots are what lies between neighbouring tokens.
+element's end tag, written or implied by HTML's rules, lies in the class too. The valid classes are nested
+by containment of their paths into the host's template, whose slots are what lies between neighbouring
+tokens. A block of words in a valid class is the same on all pages of that class, so its slot does not vary
+and is template, whatever its element is called.
 
 A slot belongs to the main text by the template elements around it: menus, headers, footers, sidebars,
 notices, adverts, forms and comments are refused by element name or by a word of class, id or role;
 among the accepted ones the innermost ``article`` or ``main`` slot wins. Text in a page whose host
 offers no valid class (one page, or broken markup) is judged by the page's own elements in the same way.
-Words are never taken for template, so equal articles on one host lose nothing.
+Words within an accepted article are never taken for template, so equal articles on one host lose nothing;
+nor are they on a page that would lose all its text, as on a host whose pages are all the same.
 
 Within a slot, character references are decoded, white space of a block becomes one blank, blocks are
 trimmed and joined in page order by one blank; nothing else is dropped.
@@ -58,6 +61,9 @@ SELF_CLOSING = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td
 # Starting one of these ends an open paragraph.
 ENDS_P = BLOCKS - frozenset("br button caption option td th tr tbody thead tfoot body html head title legend summary figcaption".split())
 
+#: Elements whose end tag HTML lets out: their parent's end, or the page's, ends them too.
+ENDS_LEFT_OUT = frozenset("html head body p li dt dd tr td th thead tbody tfoot option".split())
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
@@ -89,11 +95,13 @@ class Tokens:
         path: tuple[str, ...] = ()
         boundary, at = True, 0
 
-        def close(n: int) -> None:
+        def close(n: int, written: bool = False) -> None:
             nonlocal path
             while len(stack) > n:
-                stack.pop()
-                self.events.append(("/", "/".join(path)))
+                name, _ = stack.pop()
+                # An element that its parent's end or the page's cuts off has no end tag.
+                if name in ENDS_LEFT_OUT or written and len(stack) == n:
+                    self.events.append(("/", "/".join(path)))
                 path = path[:-1]
 
         for m in _MARKUP.finditer(page):
@@ -114,7 +122,7 @@ class Tokens:
             if m["end"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        close(k)
+                        close(k, written=True)
                         break
                 continue
             if name in ENDS_P and stack and stack[-1][0] == "p":
@@ -129,9 +137,39 @@ class Tokens:
             self.pieces.append((page[at:], path, boundary))
         close(0)
 
+    def blocks(self) -> Iterator[tuple[tuple[str, ...], str]]:
+        """(path, text) of each block that has text, in page order."""
+        joined: list[list] = []
+        for text, path, boundary in self.pieces:
+            if boundary or not joined:
+                joined.append([path, text])
+            else:
+                joined[-1][1] += text
+        for path, text in joined:
+            text = " ".join(html_lib.unescape(text).split())
+            if text:
+                yield path, text
+
     def counts(self) -> Counter:
-        """Occurrences of each tag token: (end mark, path)."""
-        return Counter(self.events)
+        """Occurrences of each token: (end mark, path) of tags, (WORDS, number) of blocks that may be kept outside articles."""
+        found = Counter(self.events)
+        roots = self.roots("article")
+        for path, text in self.blocks():
+            if not _path_refused(path) and not (roots and path[: len(roots)] == roots):
+                found[WORDS, block_number(path, text)] += 1
+        return found
+
+    def roots(self, *kinds: str) -> tuple[str, ...] | None:
+        return _main_root({p[:i] for _, p, _ in self.pieces for i in range(1, len(p) + 1)}, kinds)
+
+
+#: Mark of a block of words among a host's tokens.
+WORDS = "w"
+
+
+def block_number(path: tuple[str, ...], text: str) -> str:
+    """A block's role and words as 16 digits."""
+    return xxhash.xxh64_hexdigest("/".join(path) + "\n" + text)
 
 
 def _label_refused(label: str) -> bool:
@@ -144,39 +182,46 @@ def _path_refused(path: tuple[str, ...]) -> bool:
     return any(_label_refused(x) for x in path)
 
 
-def _main_root(paths: set[tuple[str, ...]]) -> tuple[str, ...] | None:
+def _main_root(paths: set[tuple[str, ...]], kinds: tuple[str, ...] = ("article", "main")) -> tuple[str, ...] | None:
     """The element whose slot is the main text: article before main before body, the outermost of its kind."""
-    for kind in ("article", "main"):
+    for kind in kinds:
         found = sorted({p[: i + 1] for p in paths for i, x in enumerate(p) if x.split("[")[0] == kind and not _path_refused(p[: i + 1])}, key=lambda p: (len(p), p))
         if found:
             return found[0]
     return None
 
 
+def _classes(tokens: list[tuple[str, str, int, int, int]], pages: int) -> Iterator[tuple[set[str], list[str]]]:
+    """(element paths, block numbers) of each valid class; see ``nest``."""
+    classes: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for mark, path, vector, with_it, most in tokens:
+        if most == 1:
+            classes.setdefault((vector, with_it), []).append((mark, path))
+    for (_, with_it), members in classes.items():
+        # An element whose end tag has another vector is broken markup somewhere: it belongs to no template.
+        starts = {p for e, p in members if not e} & {p for e, p in members if e == "/"}
+        if (with_it >= 2 or pages <= 1) and starts:
+            yield starts, [p for e, p in members if e == WORDS]
+
+
 def nest(tokens: list[tuple[str, str, int, int, int]], pages: int) -> list[tuple[str, ...]]:
     """Paths of a host's template elements, outermost first.
 
-    ``tokens``: (end mark, path, vector sum, pages with it, largest count). Tokens are grouped by vector;
-    a class is valid if its tokens occur once in a page and its elements are closed within it.
+    ``tokens``: (mark, path or block number, vector sum, pages with it, largest count). Tokens are grouped by
+    vector; a class is valid if its tokens occur once in a page and its elements are closed within it.
     """
-    classes: dict[tuple[int, int], list[tuple[str, str]]] = {}
-    for end, path, vector, with_it, most in tokens:
-        if most == 1:
-            classes.setdefault((vector, with_it), []).append((end, path))
-    elements: list[tuple[tuple[str, ...], int]] = []
-    for (_, with_it), members in classes.items():
-        starts = {p for e, p in members if not e}
-        ends = {p for e, p in members if e}
-        if with_it < 2 and pages > 1 or not starts or starts != ends:
-            continue
-        elements += [(tuple(p.split("/")), with_it) for p in starts]
-    have = {p for p, _ in elements}
+    have = {tuple(p.split("/")) for starts, _ in _classes(tokens, pages) for p in starts}
     # Nested: every ancestor is a template element too, or a host-wide one is missing and the class hangs loose.
     return sorted((p for p in have if all(p[:i] in have for i in range(1, len(p)))), key=lambda p: (len(p), p))
 
 
-def extract(page: str | None, template: frozenset[tuple[str, ...]] = frozenset()) -> str:
-    """Main text of a page under a host's template (empty: the page's own elements)."""
+def fixed_blocks(tokens: list[tuple[str, str, int, int, int]], pages: int) -> list[str]:
+    """Numbers of the blocks of words that stand on all pages of a valid class of several pages."""
+    return sorted(b for _, blocks in _classes(tokens, pages) for b in blocks) if pages > 1 else []
+
+
+def extract(page: str | None, template: frozenset[tuple[str, ...]] = frozenset(), fixed: frozenset[str] = frozenset()) -> str:
+    """Main text of a page under a host's template and fixed blocks (empty: the page's own elements)."""
     if not page:
         return ""
     tokens = Tokens(page)
@@ -184,19 +229,10 @@ def extract(page: str | None, template: frozenset[tuple[str, ...]] = frozenset()
     root = _main_root({p for p in template if p in inside}) if template else None
     if root is None:
         root = _main_root(inside) or ()
-    blocks: list[str] = []
-    block: list[str] = []
-    for text, path, boundary in tokens.pieces:
-        if boundary and block:
-            blocks.append("".join(block))
-            block = []
-        if path[: len(root)] == root or not root:
-            if not _path_refused(path[len(root) :]):
-                block.append(text)
-    if block:
-        blocks.append("".join(block))
-    done = (" ".join(html_lib.unescape(b).split()) for b in blocks)
-    return " ".join(b for b in done if b)
+    kept = [(path, text) for path, text in tokens.blocks() if path[: len(root)] == root and not _path_refused(path[len(root) :])]
+    if fixed and not (root and root[-1].split("[")[0] == "article"):
+        kept = [(path, text) for path, text in kept if block_number(path, text) not in fixed] or kept
+    return " ".join(text for _, text in kept)
 
 
 def host_key():
@@ -204,7 +240,7 @@ def host_key():
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the paths of each host's template elements, one to a line."""
+    """(host, template, fixed): paths of each host's template elements and numbers of its fixed blocks, one to a line."""
     number = F.monotonically_increasing_id()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +275,15 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, fixed = [], []
             for tokens in batch.column(1).to_pylist():
                 total = next((t["n"] for t in tokens if t["mark"] == "#"), 0)
-                made.append("\n".join("/".join(p) for p in nest([(t["mark"], t["path"], t["vector"], t["n"], t["most"]) for t in tokens if t["mark"] != "#"], total)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "template"])
+                rows = [(t["mark"], t["path"], t["vector"], t["n"], t["most"]) for t in tokens if t["mark"] != "#"]
+                made.append("\n".join("/".join(p) for p in nest(rows, total)))
+                fixed.append("\n".join(fixed_blocks(rows, total)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), pa.array(fixed, pa.string())], names=["host", "template", "fixed"])
 
-    return skeleton.mapInArrow(build, "host string, template string")
+    return skeleton.mapInArrow(build, "host string, template string, fixed string")
 
 
 @lru_cache(maxsize=4096)
@@ -253,16 +291,21 @@ def _template(lines: str | None) -> frozenset[tuple[str, ...]]:
     return frozenset(tuple(x.split("/")) for x in lines.split("\n")) if lines else frozenset()
 
 
+@lru_cache(maxsize=4096)
+def _fixed(lines: str | None) -> frozenset[str]:
+    return frozenset(lines.split("\n")) if lines else frozenset()
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     learned = materialize(templates(pages))
-    size = learned.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host") + 32), F.lit(0))).first()[0]
+    size = learned.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("fixed") + F.octet_length("host") + 32), F.lit(0))).first()[0]
     rows = pages.select("page_id", "url", "html", host_key().alias("host"))
-    rows = rows.join(F.broadcast(learned) if size <= MAX_BROADCAST_BYTES else learned, "host", "left").select("page_id", "url", "html", "template")
+    rows = rows.join(F.broadcast(learned) if size <= MAX_BROADCAST_BYTES else learned, "host", "left").select("page_id", "url", "html", "template", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = [extract(page, _template(t)) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(page, _template(t), _fixed(f)) for page, t, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
