@@ -125,6 +125,19 @@ def test_html_classes_need_end_tags(spark):
     assert "body/div[class=a]" in t and "body/div[class=b]" not in t
 
 
+def test_html_articles_lose_nothing():
+    anchors = "<article><header><h1>Title</h1></header><section id='related-work'><h2 id=search>Search</h2><p>a</p></section><div id='form-validation'>b</div><div class=share>c</div></article>"
+    assert op2.extract(f"<body><nav>n</nav><header>top</header>{anchors}</body>") == "Title Search a b"
+    assert op2.extract("<body><form id=form1 class=search><nav>n</nav><article><p>a</p><form>f</form></article></form></body>") == "a"
+    assert op2.extract("<body><form id=aspnetForm action='/'><div>a</div><p>b</p></form></body>") == "a b"
+    assert op2.extract("<body><div>s</div><form><h1>T</h1><p>b</p></form><p>c</p></body>") == "s T b c"
+    assert op2.extract("<body><p>a</p><form><label>Name</label></form></body>") == "a"
+    assert op2.extract("<article><div><header><h1>T</h1><div class=share>s</div></header></div><section><header>x</header>y</section></article>") == "T y"
+    two = "<main><h1>Head</h1><p>teaser</p><article class=a>one</article><div><article class=b>two</article></div><article class=related>no</article></main><h1>site</h1>"
+    assert op2.extract(two) == "Head one two"
+    assert op2.extract("<h2 id=comments>kept</h2><div id=comments>gone</div>") == "kept"
+
+
 # 3
 
 

@@ -12,7 +12,10 @@ and is template, whatever its element is called.
 
 A slot belongs to the main text by the template elements around it: menus, headers, footers, sidebars,
 notices, adverts, forms and comments are refused by element name or by a word of class, id or role;
-among the accepted ones the innermost ``article`` or ``main`` slot wins. Text in a page whose host
+among the accepted ones all outermost ``article`` slots win, with the ``h1`` of the ``main`` around them,
+before ``main`` and ``body``. Ids refuse nothing inside the main slot and no heading anywhere, as they are
+anchors there; an article keeps its own header; a form that holds the article, the page's ``h1`` or all of
+its text is no form to fill in and refuses nothing. Text in a page whose host
 offers no valid class (one page, or broken markup) is judged by the page's own elements in the same way.
 Words within an accepted article are never taken for template, so equal articles on one host lose nothing;
 nor are they on a page that would lose all its text, as on a host whose pages are all the same.
@@ -72,13 +75,16 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 @lru_cache(maxsize=65536)
-def _element(name: str, attrs: str) -> tuple[str, bool]:
-    """(name with class, id and role, whether it is refused)."""
+def _element(name: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
+    """(name with class, id and role, whether it is refused); ``inside``: below the root of the main text."""
     named = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attrs)] if attrs else []
     if not named:
         return name, name in REFUSED
-    words = {w.lower() for _, v in named for w in _WORD.findall(v)}
+    words = {w.lower() for k, v in named if k != "id" or not (inside or name in HEADINGS) for w in _WORD.findall(v)}
     against = frozenset() if name in ("html", "body") else ASIDE_WORDS if name in ("main", "article") else REFUSED_WORDS
     refused = name in REFUSED or bool(words & against)
     return name + "".join(f"[{k}={' '.join(v.split())}]" for k, v in named if k != "id" or refused), refused
@@ -153,14 +159,15 @@ class Tokens:
     def counts(self) -> Counter:
         """Occurrences of each token: (end mark, path) of tags, (WORDS, number) of blocks that may be kept outside articles."""
         found = Counter(self.events)
-        roots = self.roots("article")
+        roots = set(_main_roots(self.paths(), ("article",)))
         for path, text in self.blocks():
-            if not _path_refused(path) and not (roots and path[: len(roots)] == roots):
+            if not _path_refused(path, forms=True) and not any(path[:i] in roots for i in range(1, len(path) + 1)):
                 found[WORDS, block_number(path, text)] += 1
         return found
 
-    def roots(self, *kinds: str) -> tuple[str, ...] | None:
-        return _main_root({p[:i] for _, p, _ in self.pieces for i in range(1, len(p) + 1)}, kinds)
+    def paths(self) -> set[tuple[str, ...]]:
+        """Paths of all elements that have text."""
+        return {p[:i] for p in {p for _, p, _ in self.pieces} for i in range(1, len(p) + 1)}
 
 
 #: Mark of a block of words among a host's tokens.
@@ -172,23 +179,42 @@ def block_number(path: tuple[str, ...], text: str) -> str:
     return xxhash.xxh64_hexdigest("/".join(path) + "\n" + text)
 
 
-def _label_refused(label: str) -> bool:
+def _label_refused(label: str, inside: bool = False) -> bool:
     name, _, rest = label.partition("[")
-    return _element(name, " ".join(f'{x.partition("=")[0]}="{x.partition("=")[2]}"' for x in rest.rstrip("]").split("][")) if rest else "")[1]
+    return _element(name, " ".join(f'{x.partition("=")[0]}="{x.partition("=")[2]}"' for x in rest.rstrip("]").split("][")) if rest else "", inside)[1]
 
 
 @lru_cache(maxsize=65536)
-def _path_refused(path: tuple[str, ...]) -> bool:
-    return any(_label_refused(x) for x in path)
+def _path_refused(path: tuple[str, ...], inside: bool = False, forms: bool = False) -> bool:
+    """Whether an element of the path is refused; ``forms``: forms refuse nothing."""
+    return any(_label_refused(x, inside) for x in path if not (forms and _name(x) == "form"))
+
+
+def _name(label: str) -> str:
+    return label.partition("[")[0]
 
 
-def _main_root(paths: set[tuple[str, ...]], kinds: tuple[str, ...] = ("article", "main")) -> tuple[str, ...] | None:
-    """The element whose slot is the main text: article before main before body, the outermost of its kind."""
+def _slot_refused(path: tuple[str, ...], article: bool) -> bool:
+    """Whether a path below the root is refused; an article's header is its own unless it stands in another element's."""
+    at = next((i for i, x in enumerate(path) if _name(x) in ("header", "article", "section")), None) if article else None
+    if at is not None and _name(path[at]) == "header":
+        path = path[:at] + path[at + 1 :]
+    return _path_refused(path, True)
+
+
+def _main_roots(paths: set[tuple[str, ...]], kinds: tuple[str, ...] = ("article", "main")) -> list[tuple[str, ...]]:
+    """The elements whose slots are the main text: articles before mains before the body, the outermost of their kind."""
     for kind in kinds:
-        found = sorted({p[: i + 1] for p in paths for i, x in enumerate(p) if x.split("[")[0] == kind and not _path_refused(p[: i + 1])}, key=lambda p: (len(p), p))
+        found = {p[: i + 1] for p in paths for i, x in enumerate(p) if _name(x) == kind and not _path_refused(p[: i + 1], forms=True)}
         if found:
-            return found[0]
-    return None
+            return sorted((p for p in found if not any(p[:i] in found for i in range(1, len(p)))), key=lambda p: (len(p), p))
+    return []
+
+
+def _title_of(path: tuple[str, ...]) -> bool:
+    """Whether a path is an h1 in a main, refused by nothing but by a header that stands in that main."""
+    at = next((i for i, x in enumerate(path) if _name(x) == "main"), None)
+    return at is not None and _name(path[-1]) == "h1" and not _path_refused(path[: at + 1], forms=True) and not _slot_refused(path[at + 1 :], True)
 
 
 def _classes(tokens: list[tuple[str, str, int, int, int]], pages: int) -> Iterator[tuple[set[str], list[str]]]:
@@ -225,12 +251,27 @@ def extract(page: str | None, template: frozenset[tuple[str, ...]] = frozenset()
     if not page:
         return ""
     tokens = Tokens(page)
-    inside = {p[:i] for _, p, _ in tokens.pieces for i in range(1, len(p) + 1)}
-    root = _main_root({p for p in template if p in inside}) if template else None
-    if root is None:
-        root = _main_root(inside) or ()
-    kept = [(path, text) for path, text in tokens.blocks() if path[: len(root)] == root and not _path_refused(path[len(root) :])]
-    if fixed and not (root and root[-1].split("[")[0] == "article"):
+    inside = tokens.paths()
+    roots = _main_roots(inside, ("article",))
+    blocks = list(tokens.blocks())
+    if roots:
+        # All accepted articles of the page, those that its host has only here too; no words of theirs are template.
+        tops, mains = set(roots), {r[:i] for r in roots for i in range(1, len(r)) if _name(r[i - 1]) == "main"}
+
+        def wanted(path: tuple[str, ...]) -> bool:
+            at = next((i for i in range(1, len(path) + 1) if path[:i] in tops), None)
+            if at is None:
+                return any(path[: len(m)] == m for m in mains) and _title_of(path)
+            return not _slot_refused(path[at:], True)
+
+        return " ".join(text for path, text in blocks if wanted(path))
+    root = next(iter(_main_roots({p for p in template if p in inside}, ("main",)) or _main_roots(inside, ("main",))), ())
+    slots = [(path, text) for path, text in blocks if path[: len(root)] == root]
+    holding = any(_name(p[-1]) == "h1" and any(_name(x) == "form" for x in p[len(root) :]) and not _path_refused(p[len(root) :], bool(root), True) for p, _ in slots if p)
+    kept = [(path, text) for path, text in slots if not _path_refused(path[len(root) :], bool(root), holding)]
+    if not kept and not holding:
+        kept = [(path, text) for path, text in slots if not _path_refused(path[len(root) :], bool(root), True)]
+    if fixed:
         kept = [(path, text) for path, text in kept if block_number(path, text) not in fixed] or kept
     return " ".join(text for _, text in kept)
 
