@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm import op4_toxicity, op5_sentencepiece, op7_line_dedup, op9_simhash, op10_decontaminate
+from wherry.llm import jaccard, op4_toxicity, op5_sentencepiece, op7_line_dedup, op9_simhash, op10_decontaminate
 from wherry.llm.common import materialize, table
+from wherry.llm.components import connected_components
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near-duplicates."""
-    classes = op9_simhash.near_duplicates(docs.select("doc_id", "text"))
-    later = materialize(classes.filter("doc_id != component_id").select("doc_id").distinct())
+    """Keep the document with the least id of each group of near-duplicates.
+
+    Linked are documents that op9 links, and all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    texts = docs.select("doc_id", "text")
+    classes = materialize(op9_simhash.near_duplicates(texts).select("doc_id", "component_id"))
+    ids = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    links = jaccard.similar_pairs(texts, classes).join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b")
+    roots = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    classes = classes.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
+    later = materialize(classes.filter("doc_id != coalesce(root, component_id)").select("doc_id").distinct())
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 

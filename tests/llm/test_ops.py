@@ -599,6 +599,41 @@ def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 7]
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("often", [1, 3])
+def test_pipeline_near_copies_equal_brute_force(spark, monkeypatch, often):
+    import corpus_pipeline
+    from wherry.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    r = random.Random(5)
+    passage, rows = words(900, 30), []
+    for g in range(12):
+        base = words(g, r.randint(30, 120)).split(" ")
+        for k in range(6):
+            w = list(base)
+            for _ in range(k if g % 3 else 2 * k):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((10 * g + k, " ".join(w) + (" " + passage if g % 2 else "")))
+    rows += [(500, "a b c d e f g h i j k l m"), (501, "a b c d e f g h i j k l m n"), (502, "a b c"), (503, "a b c d"), (504, "x y z"), (505, "x y z"), (506, "r s t u v r s t u v"), (507, "r s t u v r s t u v r s t u v r s t u v"), (508, None), (509, "")]
+    r.shuffle(rows)
+    sets = {i: five_words(t) for i, t in rows}
+    pairs = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = frame(spark, rows)
+    apart = df.select("doc_id", F.col("doc_id").alias("component_id"))
+    assert {tuple(sorted(p)) for p in jaccard.similar_pairs(df, apart).collect()} == pairs
+    group = {i: i for i in sets}
+    for a, b in sorted(pairs | {tuple(sorted((x["doc_id"], x["component_id"]))) for x in op9.near_duplicates(df).collect()}):
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {i: new if g == old else g for i, g in group.items()}
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, g in group.items() if i == g)
+
+
 def test_oracles_are_sql():
     assert all(isinstance(v, str) for v in registry.oracle_sql().values())
 
