@@ -188,6 +188,21 @@ def test_language_held_out(spark, sf):
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count() > 0
 
 
+def test_languages_are_all_learned(spark, monkeypatch):
+    def text(i, seed):
+        r = random.Random(1000 * i + seed)
+        return " ".join("".join(chr(0x4E00 + 8 * i + r.randrange(8)) for _ in range(4)) for _ in range(12))
+
+    rows = [(100 * i + k, text(i, k), f"l{i:03}") for i in range(70) for k in range(8 if i else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    want = {r[0]: r[2] for r in rows}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op3.identify(docs, op3.train(docs)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == want
+    monkeypatch.setattr(op3, "BLOCK_LANGUAGES", 100)
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op3.identify(docs, op3.train(docs)).collect()}
+    assert {i: x for i, (x, _) in whole.items()} == want and all(abs(whole[i][1] - got[i][1]) < 1e-9 for i in got)
+
+
 def test_language_edges(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     m = op3.train(docs)

@@ -11,6 +11,8 @@ the byte itself alone. Scoring is thus a table lookup for each byte: contexts of
 trained have a row of exact code lengths for each language, the others are followed down to the
 longest trained suffix. The tables are exact, not an approximation of the tree.
 
+Every language of the training rows is learned, in blocks of ``BLOCK_LANGUAGES`` that have tables of their own.
+
 Training counts come from a bounded, documented sample of labelled training rows: about
 ``TRAIN_DOCS`` documents of each language (whole texts, chosen by a hash of the id). Counting is done on
 the executors and summed by n-gram before anything reaches the driver.
@@ -36,8 +38,8 @@ ORDER = 3
 FOLD, HELD = 4, 2
 #: Expected number of documents of each language that the trees are trained on.
 TRAIN_DOCS = 400
-#: Languages with more training rows come first; more than this many are not told apart.
-MAX_LANGUAGES = 64
+#: Languages whose trees are one table; more languages are more tables, and each text is scored under all of them.
+BLOCK_LANGUAGES = 64
 CHUNK = 1 << 19
 
 _LETTER = regex.compile(r"\p{L}")
@@ -192,15 +194,33 @@ class PpmModel:
         )
 
 
+class PpmBlocks(PpmModel):
+    """Models of disjoint languages, in the languages' order, as one."""
+
+    def __init__(self, models: list[PpmModel]):
+        self.models = models
+        self.languages = [x for m in models for x in m.languages]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.hstack([m.lengths(texts) for m in self.models])
+
+
 def train(docs: DataFrame) -> PpmModel:
     """Frozen trees from documents(doc_id, text, lang); rows without text, language or letters teach nothing."""
     rows = docs.select("doc_id", "text", "lang").filter((id_bucket("doc_id", FOLD) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return PpmModel([], [np.zeros(0, np.uint32)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1))
     keep = {r["lang"]: (1 << 20) if r["count"] <= TRAIN_DOCS else max(1, (1 << 20) * TRAIN_DOCS // r["count"]) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])[F.col("lang")]
+    blocks = [languages[i : i + BLOCK_LANGUAGES] for i in range(0, len(languages), BLOCK_LANGUAGES)]
+    models = [_train_block(rows, b, keep) for b in blocks]
+    return models[0] if len(models) == 1 else PpmBlocks(models)
+
+
+def _train_block(rows: DataFrame, languages: list[str], keep: dict[str, int]) -> PpmModel:
+    """Trees of some languages; ``keep``: the share of each language's rows to learn from, of 2^20."""
+    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, keep[lang])])[F.col("lang")]
     sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < limit)
     number = {x: i for i, x in enumerate(languages)}
 
@@ -236,7 +256,7 @@ def from_counts(languages: list[str], g: np.ndarray, c: np.ndarray) -> PpmModel:
 
 def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_DOCS whole texts of each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by about TRAIN_DOCS whole texts of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
