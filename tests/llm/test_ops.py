@@ -414,6 +414,21 @@ def test_line_dedup_self_repeats(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: line + "end", 2: "other\x01 " + line + "x"}
 
 
+def test_line_dedup_without_blanks_and_within_long_lines(spark):
+    han = lambda seed, n: "".join(chr(0x4E00 + random.Random(seed).randrange(3000) + k) for k in range(n))
+    passage = words(31, 60)
+    alike = han(1, 12) + "。" + han(2, 9) + "！"
+    rows = [(1, alike + han(3, 5) + "。"), (2, han(4, 10) + "？" + alike + han(5, 3)), (3, "ไทย" * 6), (4, "ไทย" * 6 + "\n" + words(9, 3)), (5, han(6, 5) + "。"), (6, han(6, 5) + "。")]
+    rows += [(7, words(32, 20) + " " + passage + " " + words(33, 20)), (8, words(34, 31) + " " + passage + " " + words(35, 7) + ". End"), (9, words(36, 70))]
+    got = {r["doc_id"]: r["text"] for r in op7.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert got[2] == han(4, 10) + "？" + han(5, 3) and got[4] == words(9, 3)
+    assert all(got[i] == texts[i] for i in (1, 3, 5, 6, 7, 9))
+    left = got[8].split(" ")
+    w = texts[8].split(" ")
+    assert left[:31] == w[:31] and left[-9:] == w[-9:] and len(left) - 40 <= 2 * op7.GAP
+
+
 def test_line_dedup_edges(spark):
     df = frame(spark, EDGE)
     got = op7.dedup_documents(df)

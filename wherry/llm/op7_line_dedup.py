@@ -1,7 +1,10 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-A document's lines are its text cut after each line feed and after each sentence end that a blank
-follows; white space around a line does not count. Fingerprints are
+A document's lines are its text cut after each line feed, after each sentence end that a blank follows and
+after each sentence end of scripts without blanks; white space around a line does not count. Words are
+counted at blanks, and each letter of a script without blanks is a word. A line of more than ``LONG`` words
+is cut further, before each word whose hash is the least of some ``GAP`` words in a row: the same words are
+cut alike wherever they stand, and no piece has more than GAP words but at the ends. Fingerprints are
 
 * the minima of windows of ``W`` hashes of ``K`` lines in a row, so that two documents that share
   W + K - 1 lines in a row are guaranteed to share a fingerprint, and
@@ -15,7 +18,8 @@ the later place in the same one). A deleted line equals one that stands earlier,
 copy of every line stays.
 
 Guarantee: any repeated run of at least MIN_WORDS words is found if it has a line of MIN_WORDS words or
-W + K - 1 lines; that covers every run of whole lines with (W + K - 2) * (MIN_WORDS - 1) + 1 words.
+W + K - 1 lines; that covers every run of whole lines with (W + K - 2) * (MIN_WORDS - 1) + 1 words, and
+all but 2 * GAP words at most of a run of more than LONG words within one line.
 
 Defined cases: null text stays null and has no lines; empty text is one empty line; rows without an id are
 passed on as they are; rows that repeat an id are matched against other documents only by one of them but
@@ -32,28 +36,64 @@ from wherry.llm.common import materialize, table
 
 K, W = 3, 2
 MIN_WORDS = 8
-CUT = r"(?<=\n)|(?<=[.!?] )"
+CUT = r"(?<=\n)|(?<=[.!?] )|(?<=[。！？｡])"
+#: Lines of more words are cut at places that their words choose, GAP words apart at most.
+LONG, GAP = 50, 8
+#: Letters of scripts that put no blanks between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Put behind each cut and split at, which is faster than looking behind every character.
 MARK = "\x01"
 BLANKS = " \t\r\n"
 
 
+def _letters(x: Column) -> Column:
+    """Letters of a line that are words by themselves; each has three bytes or more."""
+    return F.when(F.octet_length(x) - F.char_length(x) >= 2, F.regexp_count(x, F.lit(UNSPACED))).otherwise(0)
+
+
+def words_of(x: Column) -> Column:
+    """Words of a line without white space around it."""
+    blanks = F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
+    # A line of unspaced letters alone has no further word between its blanks.
+    return F.when(x == "", 0).otherwise(F.greatest(blanks + 1, blanks + _letters(x)))
+
+
+def _pieces(line: Column) -> Column:
+    """A long line cut before each word that is the least of GAP words in a row."""
+
+    def cut(t: Column) -> Column:
+        h = F.transform(t, lambda x: F.xxhash64(F.btrim(x, F.lit(BLANKS))))
+        return F.get(F.transform(F.array(h), lambda h: least(t, h)), F.lit(0))
+
+    def least(t: Column, h: Column) -> Column:
+        m = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - GAP + 1)), lambda i: F.array_min(F.slice(h, i, GAP)))
+        return F.get(F.transform(F.array(m), lambda m: chosen(t, h, m)), F.lit(0))
+
+    def chosen(t: Column, h: Column, m: Column) -> Column:
+        # The windows that hold word i are i - GAP + 1 to i; it is the least of one if the greatest of their minima is its hash.
+        first = lambda i: F.greatest(F.lit(0), i - GAP + 1)
+        at = F.transform(h, lambda x, i: F.when((i > 0) & (x == F.array_max(F.slice(m, first(i) + 1, F.least(i, F.size(m) - 1) - first(i) + 1))), i))
+        bounds = F.concat(F.array(F.lit(0)), F.array_compact(at), F.array(F.size(h)))
+        return F.get(F.transform(F.array(bounds), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda j: F.array_join(F.slice(t, F.get(b, j - 1) + 1, F.get(b, j) - F.get(b, j - 1)), ""))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.split(line, f"(?<= )|(?<={UNSPACED})")), cut), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """The lines with the white space that ends them, so that they join to the text again."""
     marked = text
-    for end in ("\n", ". ", "! ", "? "):
+    for end in ("\n", ". ", "! ", "? ", "。", "！", "？", "｡"):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
+    whole = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
+    # A line of more than LONG words has more than LONG characters; most texts have no such line to cut.
+    long = lambda x: (F.char_length(x) > LONG) & (words_of(F.btrim(x, F.lit(BLANKS))) > LONG)
+    return F.get(F.transform(F.array(whole), lambda v: F.when(F.exists(v, long), F.flatten(F.transform(v, lambda x: F.when(long(x), _pieces(x)).otherwise(F.array(x))))).otherwise(v)), F.lit(0))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, h, w): hashes and word counts of each document's lines; one row for each id."""
     v = docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(lines_of(F.col("text")), lambda u: F.btrim(u, F.lit(BLANKS))).alias("v"))
-    return v.select(
-        "doc_id",
-        F.transform("v", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("v", lambda x: F.when(x == "", 0).otherwise(F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)).alias("w"),
-    )
+    return v.select("doc_id", F.transform("v", lambda x: F.xxhash64(x)).alias("h"), F.transform("v", words_of).alias("w"))
 
 
 def prints(lines: DataFrame) -> DataFrame:
