@@ -365,78 +365,118 @@ def test_warc_records_are_gzip_members(spark, tmp_path):
 # 7
 
 
-def brute_lines(docs):
-    """Delete every run of equal lines with enough words that stands earlier, over all earlier places."""
-    cut = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in docs}
-    key = {i: [u.strip(" \t\r\n") for u in us] for i, us in cut.items()}
-    size = lambda u: len(u.split(" ")) if u else 0
-    gone = {i: set() for i in cut}
-    ids = sorted(cut)
-    for b in ids:
-        for a in (x for x in ids if x <= b):
-            for off in range(-len(key[a]) + 1, len(key[b])):
-                if a == b and off <= 0:
-                    continue
-                run = []
-                for i in [*range(len(key[b])), None]:
-                    if i is not None and 0 <= i - off < len(key[a]) and key[b][i] == key[a][i - off]:
-                        run.append(i)
-                        continue
-                    if sum(size(key[b][j]) for j in run) >= op7.MIN_WORDS:
-                        gone[b].update(run)
-                    run = []
-    return {i: "".join(u for k, u in enumerate(cut[i]) if k not in gone[i]) for i in ids}
-
-
-def test_line_dedup_is_sound_and_complete_on_guaranteed_runs(spark):
-    r = random.Random(3)
-    pool = [words(i, r.randint(9, 14)) + ". " for i in range(12)] + [words(100 + i, 3) + ".\n" for i in range(6)]
-    passage = "".join(words(200 + i, 13) + ". " for i in range(4))
+def word_count(line):
+    return max(line.count(" ") + 1, line.count(" ") + len(re.findall("[぀-ヿ一-鿿฀-๿]", line))) if line else 0
+
+
+def brute_runs(docs, lines):
+    """Every text without the lines that lie in a run which stands earlier, all runs being compared; ``docs``: (id, text) in order."""
+    seen, left = set(), []
+    for _, text in docs:
+        cut = lines[text]
+        key, gone = [u.strip(op7.BLANKS) for u in cut], set()
+        for i in range(len(key) - op7.W + 1):
+            n = op7.W if sum(map(word_count, key[i : i + op7.W])) >= op7.MIN_WORDS else op7.MANY
+            if i + n <= len(key):
+                run = (n, *key[i : i + n])
+                if run in seen:
+                    gone.update(range(i, i + n))
+                seen.add(run)
+        left.append("".join(u for i, u in enumerate(cut) if i not in gone))
+    return left
+
+
+def dedup_and_brute(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = {r["text"]: r["v"] for r in df.filter("text is not null").select("text", op7.lines_of(F.col("text")).alias("v")).collect()}
+    assert all("".join(v) == t for t, v in lines.items())
+    got = {r["doc_id"]: r["text"] for r in op7.dedup_documents(df).collect()}
+    rows = sorted((i, t) for i, t in docs if i is not None and t is not None)
+    return got, dict(zip((i for i, _ in rows), brute_runs(rows, lines)))
+
+
+def random_pages(seed, n=120):
+    """Documents that share whole passages, parts of passages and lists, in other surroundings each time."""
+    r = random.Random(seed)
+    pool = [words(k, 1) + str(k) for k in range(400)]
+    some = lambda k: " ".join(r.choice(pool) for _ in range(k))
+    passages = [some(60) for _ in range(5)]
+    docs = []
+    for i in range(n):
+        parts = [some(r.randint(0, 40)) for _ in range(3)]
+        if i % 3 == 0:
+            parts.insert(1, r.choice(passages))
+        if i % 4 == 0:
+            p, a = r.choice(passages).split(), r.randint(0, 30)
+            parts.insert(0, " ".join(p[a : a + r.randint(5, 40)]))
+        if i % 5 == 0:
+            parts.append("\n".join("abcdefghijkl"[r.randint(0, 3) :]))
+        docs.append((i, r.choice([" ", "\n", "\n\n"]).join(parts)))
+    return docs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_exhaustive_search(spark, seed):
+    docs = random_pages(seed)
+    got, want = dedup_and_brute(spark, docs)
+    assert got == want
+    long_runs = {}
+    for i, t in got.items():
+        w = t.split()
+        for k in range(len(w) - 50):
+            long_runs.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    assert all(len(s) == 1 for s in long_runs.values())
+    assert any(got[i] != t for i, t in docs) and {x for t in got.values() for x in t.split()} == {x for _, t in docs for x in t.split()}
+
+
+def test_line_dedup_finds_runs_that_the_first_document_holds_in_part(spark):
     docs = []
-    for i in range(40):
-        body = "".join(r.choice(pool) for _ in range(r.randint(0, 6)))
-        docs.append((i, (passage if i % 5 == 0 else "") + body + words(300 + i, 10)))
-    got = {x["doc_id"]: x["text"] for x in op7.dedup_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = brute_lines(docs)
-    split = lambda t: [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u.strip()]
-    kept = [u for t in got.values() for u in split(t)]
-    long = [u for u in kept if len(u.split(" ")) >= op7.MIN_WORDS]
-    assert len(long) == len(set(long))
-    assert set(kept) == {u for _, t in docs for u in split(t)}
-    for i, t in docs:  # nothing goes that the exhaustive search keeps
-        assert len(got[i]) >= len(want[i])
-    assert sum(passage in t for t in got.values()) == 1
+    for f in range(60):
+        part, rest = words(5000 + f, 15), words(6000 + f, 25)
+        docs += [(10 * f, words(7000 + 10 * f, 9) + "\n" + part), (10 * f + 1, part + " " + rest), (10 * f + 2, words(8000 + f, 5) + "\n" + part + " " + rest)]
+    got, want = dedup_and_brute(spark, docs)
+    assert got == want
+    assert all(len(got[10 * f + 2].split()) <= 5 + 12 for f in range(60))
 
 
 def test_line_dedup_self_repeats(spark):
-    line = words(1, 9) + ".\n"
-    got = op7.dedup_documents(spark.createDataFrame([(1, line * 50 + "end"), (2, "other\x01 " + line + "x")], "doc_id long, text string"))
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: line + "end", 2: "other\x01 " + line + "x"}
+    line = words(1, 30) + "\n"
+    rows = [(1, line * 50 + "end"), (2, "other\x01 " + line + "x"), (3, "a b c d\n" * 9), (4, "a b c d\n" * 2)]
+    got, want = dedup_and_brute(spark, rows)
+    assert got == want and got[1] == line + "end" and got[3] == "a b c d\n" and got[4] == rows[3][1]
+    assert got[2].startswith("other\x01 ") and len(got[2].split(" ")) < 12
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    passage = words(31, 60)
+    rows = [(1, passage), (5, words(32, 20)), (5, "x y z " + passage), (5, "x y z " + passage), (5, None), (6, passage)]
+    got = [(r["doc_id"], r["text"]) for r in op7.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and (1, passage) in got and (5, words(32, 20)) in got and (5, None) in got
+    cut = [t for i, t in got if i == 5 and t and t.startswith("x y z")]
+    assert len(cut) == 2 and len(set(cut)) == 1 and len(cut[0].split()) < 20
 
 
 def test_line_dedup_without_blanks_and_within_long_lines(spark):
-    han = lambda seed, n: "".join(chr(0x4E00 + random.Random(seed).randrange(3000) + k) for k in range(n))
+    han = lambda seed, n: "".join(chr(0x4E00 + (seed * 7919 + k * k * 31 + k) % 3000) for k in range(n))
     passage = words(31, 60)
-    alike = han(1, 12) + "。" + han(2, 9) + "！"
-    rows = [(1, alike + han(3, 5) + "。"), (2, han(4, 10) + "？" + alike + han(5, 3)), (3, "ไทย" * 6), (4, "ไทย" * 6 + "\n" + words(9, 3)), (5, han(6, 5) + "。"), (6, han(6, 5) + "。")]
+    rows = [(1, han(1, 60)), (2, han(4, 10) + han(1, 60) + han(5, 30)), (3, "ไทย" * 6), (4, "ไทย" * 6 + "\n" + words(9, 3))]
     rows += [(7, words(32, 20) + " " + passage + " " + words(33, 20)), (8, words(34, 31) + " " + passage + " " + words(35, 7) + ". End"), (9, words(36, 70))]
-    got = {r["doc_id"]: r["text"] for r in op7.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(rows)
-    assert got[2] == han(4, 10) + "？" + han(5, 3) and got[4] == words(9, 3)
-    assert all(got[i] == texts[i] for i in (1, 3, 5, 6, 7, 9))
-    left = got[8].split(" ")
-    w = texts[8].split(" ")
-    assert left[:31] == w[:31] and left[-9:] == w[-9:] and len(left) - 40 <= 2 * op7.GAP
+    got, want = dedup_and_brute(spark, rows)
+    assert got == want and len(got[2]) <= 40 + 30
+    assert all(got[i] == dict(rows)[i] for i in (1, 7, 9))
+    assert len(got[8].split(" ")) <= 40 + 30 and got[8].startswith(words(34, 25)) and got[8].endswith(". End")
 
 
 def test_line_dedup_edges(spark):
-    df = frame(spark, EDGE)
+    df = frame(spark, EDGE).withColumns({c: F.lit("clash") for c in ("_removed", "twin", "run", "h", "w", "fp", "pos", "first")})
     got = op7.dedup_documents(df)
-    assert got.count() == len(EDGE) and set(df.columns) <= set(got.columns)
+    assert got.count() == len(EDGE) and got.columns == [*(c for c in df.columns if c != "_removed"), "_removed"]
     by = {r["doc_id"]: r["text"] for r in got.collect()}
     assert by[1] is None and by[2] == "" and by[None] == "no id" and by[7] == "x" * 50_000
-    assert by[5].strip() == LONG[:50].strip()
+    assert by[5].startswith(LONG[:50]) and len(by[5]) < 200
     assert op7.dedup_documents(df.limit(0)).count() == 0
+    text = spark.createDataFrame([("a", words(1, 40)), ("b", words(1, 40))], "doc_id string, text string")
+    assert sorted(len(r["text"]) > 100 for r in op7.dedup_documents(text).collect()) == [False, True]
 
 
 # 8

@@ -1,168 +1,162 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-A document's lines are its text cut after each line feed, after each sentence end that a blank follows and
-after each sentence end of scripts without blanks; white space around a line does not count. Words are
-counted at blanks, and each letter of a script without blanks is a word. A line of more than ``LONG`` words
-is cut further, before each word whose hash is the least of some ``GAP`` words in a row: the same words are
-cut alike wherever they stand, and no piece has more than GAP words but at the ends. Fingerprints are
-
-* the minima of windows of ``W`` hashes of ``K`` lines in a row, so that two documents that share
-  W + K - 1 lines in a row are guaranteed to share a fingerprint, and
-* each line of ``MIN_WORDS`` words or more by itself.
-
-Positions are joined on the fingerprint, each with its first occurrence (least doc_id, then position) and
-with its previous one in the same document, never with all others. A join gives a diagonal: the offset
-between two documents' lines. Along each diagonal the match is extended both ways over the documents' line
-hashes; every run of equal lines with MIN_WORDS words or more is deleted from the later document (or from
-the later place in the same one). A deleted line equals one that stands earlier, so by induction the first
-copy of every line stays.
-
-Guarantee: any repeated run of at least MIN_WORDS words is found if it has a line of MIN_WORDS words or
-W + K - 1 lines; that covers every run of whole lines with (W + K - 2) * (MIN_WORDS - 1) + 1 words, and
-all but 2 * GAP words at most of a run of more than LONG words within one line.
-
-Defined cases: null text stays null and has no lines; empty text is one empty line; rows without an id are
-passed on as they are; rows that repeat an id are matched against other documents only by one of them but
-deleted from alike; documents that lose nothing keep their text to the byte; other columns are passed on
-by ``dedup_documents`` and ignored by ``removed_lines``.
+A document's lines are its text cut after each line feed and, within a line, before each word whose hash is
+less than those of the ``RADIUS`` words on either side (of equal ones the first). The same words are cut alike
+wherever they stand, every ``2 * RADIUS + 1`` words on average, so a passage in the midst of a long line has
+lines of its own. Words end at blanks; each letter of a script without blanks is a word; blank lines belong to
+the line before them, and white space around a line does not count.
+
+Of every ``W`` line hashes in a row the least is selected, the rightmost among equals: these are the
+fingerprints, and two places that have the same W lines have the same one. Fingerprints that occur once are
+left; the others' positions are joined and extended both ways to the W runs of W lines that hold them. Each
+run is joined with its first occurrence (least doc_id, then position), never with all others, and the lines of
+all later ones are deleted. Runs are compared with one another, whatever document they come from, so a run that
+a first document holds in part only is still found in the second.
+
+Guarantee: exactly those lines go that lie in a run of W lines, of ``MIN_WORDS`` words or more together, that
+stands earlier; where W lines have fewer words, in a run of ``MANY`` lines. A deleted line equals one that
+stands earlier, so the first copy of every line stays.
+
+Defined cases: null text stays null and has no lines; texts of fewer than W lines lose nothing; rows without
+an id are passed on as they are; rows that repeat an id and text are one document and are cut alike; rows that
+repeat an id with other texts are documents of their own, in the order of their texts' hashes; documents that
+lose nothing keep their text to the byte; other columns are passed on by ``dedup_documents``, whatever their
+names but ``_removed``, and ignored by ``removed_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.llm.common import materialize, table
 
-K, W = 3, 2
+#: Lines of a run, and of one that has too few words for that.
+W, MANY = 3, 8
 MIN_WORDS = 8
-CUT = r"(?<=\n)|(?<=[.!?] )|(?<=[。！？｡])"
-#: Lines of more words are cut at places that their words choose, GAP words apart at most.
-LONG, GAP = 50, 8
-#: Letters of scripts that put no blanks between words.
+#: Words on either side that a word which starts a line has the least hash of.
+RADIUS = 2
+#: Letters of scripts that put no blanks between words; each has three bytes or more.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-#: Put behind each cut and split at, which is faster than looking behind every character.
+#: Put behind each word and split at, which is faster than looking behind every character.
 MARK = "\x01"
 BLANKS = " \t\r\n"
 
 
-def _letters(x: Column) -> Column:
-    """Letters of a line that are words by themselves; each has three bytes or more."""
-    return F.when(F.octet_length(x) - F.char_length(x) >= 2, F.regexp_count(x, F.lit(UNSPACED))).otherwise(0)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def words_of(x: Column) -> Column:
-    """Words of a line without white space around it."""
-    blanks = F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
-    # A line of unspaced letters alone has no further word between its blanks.
-    return F.when(x == "", 0).otherwise(F.greatest(blanks + 1, blanks + _letters(x)))
+def _words(text: Column) -> Column:
+    """The words with the white space behind them, so that they join to the text again."""
+    plain = ~F.contains(text, F.lit(MARK)) & ((F.octet_length(text) - F.char_length(text) < 2) | ~F.rlike(text, F.lit(UNSPACED)))
+    marked = F.replace(F.replace(text, F.lit(" "), F.lit(" " + MARK)), F.lit("\n"), F.lit("\n" + MARK))
+    return F.when(plain, F.split(marked, MARK)).otherwise(F.split(text, f"(?<=[ \n])|(?<={UNSPACED})"))
 
 
-def _pieces(line: Column) -> Column:
-    """A long line cut before each word that is the least of GAP words in a row."""
+def _starts(t: Column, h: Column, i: Column) -> Column:
+    """Whether word i begins a line."""
+    own = F.get(h, i)
+    least = own < F.get(h, i - 1)
+    for j in range(1, RADIUS + 1):
+        least = least & (own <= F.get(h, i + j)) & (own < F.get(h, i - j) if j > 1 else F.lit(True))
+    return (F.endswith(F.get(t, i - 1), F.lit("\n")) | least) & (F.btrim(F.get(t, i), F.lit(BLANKS)) != "")
+
+
+def lines_of(text: Column) -> Column:
+    """The lines with the white space that ends them, so that they join to the text again."""
 
     def cut(t: Column) -> Column:
-        h = F.transform(t, lambda x: F.xxhash64(F.btrim(x, F.lit(BLANKS))))
-        return F.get(F.transform(F.array(h), lambda h: least(t, h)), F.lit(0))
+        return _let(F.transform(t, lambda x: F.xxhash64(F.btrim(x, F.lit(BLANKS)))), lambda h: joined(t, h))
 
-    def least(t: Column, h: Column) -> Column:
-        m = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - GAP + 1)), lambda i: F.array_min(F.slice(h, i, GAP)))
-        return F.get(F.transform(F.array(m), lambda m: chosen(t, h, m)), F.lit(0))
+    def joined(t: Column, h: Column) -> Column:
+        return _let(F.transform(t, lambda x, i: F.when(_starts(t, h, i), 1).otherwise(0)), lambda s: grouped(t, s))
 
-    def chosen(t: Column, h: Column, m: Column) -> Column:
-        # The windows that hold word i are i - GAP + 1 to i; it is the least of one if the greatest of their minima is its hash.
-        first = lambda i: F.greatest(F.lit(0), i - GAP + 1)
-        at = F.transform(h, lambda x, i: F.when((i > 0) & (x == F.array_max(F.slice(m, first(i) + 1, F.least(i, F.size(m) - 1) - first(i) + 1))), i))
-        bounds = F.concat(F.array(F.lit(0)), F.array_compact(at), F.array(F.size(h)))
-        return F.get(F.transform(F.array(bounds), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda j: F.array_join(F.slice(t, F.get(b, j - 1) + 1, F.get(b, j) - F.get(b, j - 1)), ""))), F.lit(0))
+    def grouped(t: Column, s: Column) -> Column:
+        # A mark before each first word; texts that hold the mark themselves are put together word by word.
+        marked = F.split(F.array_join(F.zip_with(t, s, lambda x, b: F.when(b == 1, F.concat(F.lit(MARK), x)).otherwise(x)), ""), MARK)
+        at = F.concat(F.array(F.lit(0)), F.array_compact(F.transform(s, lambda b, i: F.when(b == 1, i))), F.array(F.size(t)))
+        slow = _let(at, lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda j: F.array_join(F.slice(t, F.get(a, j - 1) + 1, F.get(a, j) - F.get(a, j - 1)), "")))
+        return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(marked)
 
-    return F.get(F.transform(F.array(F.split(line, f"(?<= )|(?<={UNSPACED})")), cut), F.lit(0))
+    return _let(_words(text), cut)
 
 
-def lines_of(text: Column) -> Column:
-    """The lines with the white space that ends them, so that they join to the text again."""
-    marked = text
-    for end in ("\n", ". ", "! ", "? ", "。", "！", "？", "｡"):
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    whole = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
-    # A line of more than LONG words has more than LONG characters; most texts have no such line to cut.
-    long = lambda x: (F.char_length(x) > LONG) & (words_of(F.btrim(x, F.lit(BLANKS))) > LONG)
-    return F.get(F.transform(F.array(whole), lambda v: F.when(F.exists(v, long), F.flatten(F.transform(v, lambda x: F.when(long(x), _pieces(x)).otherwise(F.array(x))))).otherwise(v)), F.lit(0))
+def words_of(line: Column) -> Column:
+    """Words of a line without white space around it, MIN_WORDS at most being of interest."""
+    blanks = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
+    letters = F.when(F.octet_length(line) - F.char_length(line) >= 2 * (MIN_WORDS // W), F.regexp_count(line, F.lit(UNSPACED))).otherwise(0)
+    return F.when(line == "", 0).otherwise(F.greatest(blanks + 1, blanks + letters))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, w): hashes and word counts of each document's lines; one row for each id."""
-    v = docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(lines_of(F.col("text")), lambda u: F.btrim(u, F.lit(BLANKS))).alias("v"))
-    return v.select("doc_id", F.transform("v", lambda x: F.xxhash64(x)).alias("h"), F.transform("v", words_of).alias("w"))
-
-
-def prints(lines: DataFrame) -> DataFrame:
-    """(doc_id, n, again, fp, pos): selected fingerprints with their positions; ``again``: the document repeats a line."""
-    n = F.size("h")
-    grams = F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
-    made = lines.select("doc_id", "h", "w", F.size("h").alias("n"), (F.size(F.array_distinct("h")) < F.size("h")).alias("again"), grams.alias("g"))
-    # The least of each window of W = 2: a gram that is less than a neighbour, or not more than the next one.
-    g = F.col("g")
-    chosen = F.transform(g, lambda x, i: F.when((F.size(g) == 1) | (x < F.get(g, i - 1)) | (x <= F.get(g, i + 1)), x))
-    alone = F.transform(F.col("h"), lambda x, i: F.when(F.get("w", i) >= MIN_WORDS, x))
-    both = F.array(F.struct(chosen.alias("f")), F.struct(alone.alias("f")))
-    one = made.select("doc_id", "n", "again", F.explode(both).alias("part")).select("doc_id", "n", "again", F.posexplode("part.f").alias("pos", "fp"))
-    return one.filter("fp is not null")
-
-
-def diagonals(found: DataFrame) -> DataFrame:
-    """(doc_id, n, src, offsets): for each document and earlier source the offsets at which lines coincide."""
-    before = F.lag("pos").over(Window.partitionBy("doc_id", "fp").orderBy("pos"))
-    repeats = materialize(found.filter("again").select("doc_id", "n", "fp", "pos", before.alias("before")))
-    # A document meets others at the first place of each fingerprint, and itself from each place to the one before.
-    once = found.filter("NOT again").select("doc_id", "n", "fp", "pos").unionByName(repeats.filter("before is null").select("doc_id", "n", "fp", "pos"))
-    first = once.groupBy("fp").agg(F.count("*").alias("times"), F.min("doc_id").alias("src"), F.min_by("pos", "doc_id").alias("src_pos"))
-    first = materialize(first.filter("times > 1").select("fp", "src", "src_pos"))
-    other = once.join(first.hint("shuffle_hash"), "fp").filter("doc_id != src").select("doc_id", "n", "src", (F.col("pos") - F.col("src_pos")).alias("offset"))
-    same = repeats.filter("before is not null").select("doc_id", "n", F.col("doc_id").alias("src"), (F.col("pos") - F.col("before")).alias("offset"))
-    return other.union(same).groupBy("doc_id", "src").agg(F.max("n").alias("n"), F.collect_set("offset").alias("offsets"))
-
-
-def _runs(offset: Column) -> Column:
-    """Positions of h that lie in runs of equal lines along one offset, runs of MIN_WORDS words or more."""
-    first = F.greatest(F.lit(0), offset)
-    n = F.greatest(F.lit(0), F.least(F.size("h"), F.size("src_h") + F.col("low") + offset) - first)
-    mine, theirs = F.slice("h", first + 1, n), F.slice("src_h", first - offset - F.col("low") + 1, n)
-    same = F.zip_with(mine, theirs, lambda x, y: x == y)
-    # Places within the overlap where the lines differ, between one before its start and one after its end.
-    breaks = F.concat(F.array(first - 1), F.array_compact(F.transform(same, lambda x, i: F.when(~x, i + first))), F.array(first + n))
-
-    def between(b: Column) -> Column:
-        spans = F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda j: F.struct((F.get(b, j) + 1).alias("s"), (F.get(b, j + 1) - 1).alias("e")))
-        full = F.filter(spans, lambda r: (r["e"] >= r["s"]) & (F.aggregate(F.slice("w", r["s"] + 1, r["e"] - r["s"] + 1), F.lit(0), lambda a, x: a + x) >= MIN_WORDS))
-        return F.flatten(F.transform(full, lambda r: F.sequence(r["s"], r["e"])))
-
-    return F.flatten(F.transform(F.array(breaks), between))
+    """(doc_id, twin, h, w): hashes and word counts of each document's lines; ``twin``: 0, or the text's hash where texts share an id."""
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), lines_of(F.col("text")).alias("v"))
+    rows = rows.filter(F.size("v") >= W).withColumn("v", F.transform("v", lambda u: F.btrim(u, F.lit(BLANKS))))
+    made = materialize(rows.select("doc_id", "digest", F.transform("v", lambda x: F.xxhash64(x)).alias("h"), F.transform("v", words_of).alias("w")))
+    shared = made.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if shared.isEmpty():
+        return made.select("doc_id", F.lit(0).cast("long").alias("twin"), "h", "w")
+    shared = materialize(shared.withColumn("some", F.lit(True)))
+    named = made.join(shared, "doc_id", "left").select("doc_id", F.when(F.col("some"), F.col("digest")).otherwise(0).alias("twin"), "h", "w")
+    return materialize(named.dropDuplicates(["doc_id", "twin"]))
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """(doc_id, twin, fp, pos): the least of each W = 3 line hashes in a row, the rightmost among equals, with its position."""
+    h = F.col("h")
+
+    def chosen(x: Column, i: Column) -> Column:
+        left, right = x <= F.get(h, i - 1), x < F.get(h, i + 1)
+        ends, holds, begins = left & (x <= F.get(h, i - 2)), left & right, right & (x < F.get(h, i + 2))
+        return F.when(ends | holds | begins, x)
+
+    return lines.select("doc_id", "twin", F.posexplode(F.transform(h, chosen)).alias("pos", "fp")).filter("fp is not null")
+
+
+def runs(lines: DataFrame) -> DataFrame:
+    """(run, doc_id, twin, pos, n): hash, place and number of lines of each run that holds a fingerprint which occurs again."""
+    found = fingerprints(lines)
+    again = found.groupBy("fp").agg(F.count("*").alias("times")).filter("times > 1").select("fp")
+    hits = found.join(again.hint("shuffle_hash"), "fp").groupBy("doc_id", "twin").agg(F.collect_list("pos").alias("hits"))
+    last = F.size("h") - W
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - W + 1), F.least(p, last)))))
+    some = lambda n, i: F.xxhash64(F.lit(n), *(F.get("h", i + j) for j in range(n)))
+    enough = lambda i: sum((F.get("w", i + j) for j in range(1, W)), F.get("w", i)) >= MIN_WORDS
+
+    def run(i: Column) -> Column:
+        return F.when(enough(i), F.struct(some(W, i).alias("run"), i.alias("pos"), F.lit(W).alias("n"))).when(
+            i + MANY <= F.size("h"), F.struct(some(MANY, i).alias("run"), i.alias("pos"), F.lit(MANY).alias("n"))
+        )
+
+    return hits.join(lines, ["doc_id", "twin"]).select("doc_id", "twin", F.inline(F.array_compact(F.transform(starts, run)))).select("run", "doc_id", "twin", "pos", "n")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): positions of the lines to delete, for documents that have any."""
-    lines = materialize(line_table(docs))
-    found = prints(lines)
-    pairs = diagonals(found)
-    src = lines.select(F.col("doc_id").alias("src"), F.col("h").alias("src_h"))
-    # Only the part of the source that the offsets can reach is carried on.
-    low = F.greatest(F.lit(0), -F.array_max("offsets"))
-    high = F.least(F.size("src_h"), F.col("n") - F.array_min("offsets"))
-    near = pairs.join(src, "src").select("doc_id", "offsets", low.alias("low"), F.slice("src_h", low + 1, F.greatest(high - low, F.lit(0))).alias("src_h"))
-    extended = near.join(lines, "doc_id").select("doc_id", F.flatten(F.transform("offsets", _runs)).alias("removed"))
-    return extended.filter(F.size("removed") > 0).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    """(doc_id, twin, removed): positions of the lines to delete, for documents that have any."""
+    found = materialize(runs(line_table(docs)))
+    place = F.struct("doc_id", "twin", "pos")
+    first = found.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("run", "first")
+    later = found.join(first.hint("shuffle_hash"), "run").filter(place > F.col("first"))
+    spans = later.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    lines = F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))
+    return spans.select("doc_id", "twin", F.array_sort(F.array_distinct(lines)).alias("removed"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with its later repeated runs of lines deleted from ``text``; adds _lines and _removed (positions)."""
-    gone = materialize(removed_lines(docs)).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed"))
-    rows = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
-    lines = lines_of(F.col("text"))
-    rows = rows.withColumn("_cut", F.when(F.col("_removed").isNotNull(), lines))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_cut", i)), ""))
-    return rows.withColumn("text", text).drop("_cut")
+    """``docs`` with its later repeated runs of lines deleted from ``text``; adds _removed: their positions, null where there are none."""
+    gone = materialize(removed_lines(docs)).alias("gone")
+    same = (F.col("own.doc_id") == F.col("gone.doc_id")) & ((F.col("gone.twin") == 0) | (F.col("gone.twin") == F.xxhash64("own.text")))
+    removed = F.col("gone.removed")
+
+    def rest(v: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(v) - 1), removed)
+        return F.array_join(F.transform(kept, lambda i: F.get(v, i)), "")
+
+    text = F.when(removed.isNull(), F.col("own.text")).otherwise(_let(lines_of(F.col("own.text")), rest))
+    rows = docs.alias("own").join(gone.hint("shuffle_hash"), same, "left")
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"own.`{c}`") for c in docs.columns if c != "_removed"), removed.alias("_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
