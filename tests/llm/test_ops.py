@@ -622,18 +622,42 @@ def test_decontamination_blocks_and_shards(spark, monkeypatch):
     items = spark.createDataFrame([(i, words(i, 12)) for i in range(30)], "item_id long, text string")
     docs = spark.createDataFrame([(i, words(i, 12) + " x " + words((i + 1) % 30, 12)) for i in range(30)], "doc_id long, text string")
     whole = sorted(map(tuple, op10.decontaminate(docs, items).collect()))
-    monkeypatch.setattr(op10, "BLOCK_CHARS", 100)
+    for name, value in (("BLOCK_CHARS", 100), ("SHARD_WORDS", 40), ("STEP", 3)):  # the driver's part alone sees these
+        monkeypatch.setattr(op10, name, value)
+    assert len(op10._write_blocks(items)) > 10
     assert sorted(map(tuple, op10.decontaminate(docs, items).collect())) == whole
     assert all(r[3] == 2 for r in whole)
 
 
+@pytest.mark.parametrize("step", [4, 1 << 20])
+def test_shard_intersections_equal_brute_force(monkeypatch, step):
+    monkeypatch.setattr(op10, "STEP", step)
+    r = random.Random(4)
+    docs = [[r.choice([b"a", b"b", b"c", b"d"]) for _ in range(r.randint(0, 30))] for _ in range(20)]
+    shard = op10.Shard.of(list(range(20)), docs)
+    items = [(str(i), " ".join(r.choice("abcde") for _ in range(n))) for i, n in enumerate((3, 2, 1, 5, 8, 9, 12, 0))]
+    block = op10.Block(items)
+    flat = {int(shard.starts[d]) + i: w for d, ws in enumerate(docs) for i, w in enumerate(ws)}
+    for slop in (0, 1, 2):
+        window, start = shard.match(block, slop)
+        want = set()
+        for n, w in enumerate(op10.windows(items)):
+            for s in range(-slop, int(shard.starts[-1])):
+                if all(any(flat.get(s + j + e) == x for e in range(-slop, slop + 1)) for j, x in enumerate(w)):
+                    want.add((n, s))
+        got = set(zip(window.tolist(), start.tolist()))
+        assert got == want if not slop else got <= want and {n for n, _ in got} == {n for n, _ in want}
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha x beta gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha q q q q q beta gamma delta")], "doc_id long, text string")
-    exact = {r["doc_id"]: len(r["items"]) for r in op10.search(docs, items).collect()}
-    near = {r["doc_id"]: len(r["items"]) for r in op10.search(docs, items, slop=1).collect()}
+    index = op10.build_index(docs)
+    exact = {r["doc_id"]: len(r["items"]) for r in op10.search(index, items).collect()}
+    near = {r["doc_id"]: len(r["items"]) for r in op10.search(index, items, slop=1).collect()}
     assert exact == {1: 0, 2: 1, 3: 0} and near == {1: 1, 2: 1, 3: 0}
-    assert op10.postings(docs).filter("term = 'gamma'").agg(F.sum(F.size("positions"))).first()[0] == 3
+    places = {(d, p) for r in op10.postings(index).filter("term = 'gamma'").collect() for d, p in zip(r["doc_ids"], r["positions"])}
+    assert places == {(1, 3), (2, 2), (3, 7)}
 
 
 # All

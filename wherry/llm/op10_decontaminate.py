@@ -1,42 +1,55 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The training corpus is indexed by shards: the rows that one Arrow batch brings are one shard, and its
-index keeps for each term the sorted list of positions (documents lie one after another with a gap, so
-a position names the document too). Shards live on the executors, are built where the rows are and
-need no shuffle; only the test windows, whose size is bounded and checked, travel.
-
-A window is answered from its rarest terms: the posting list of the rarest one, moved back by its
-offset, gives the candidate starts; the lists of the next rarer terms, moved likewise, are intersected
-one after another until nothing or an exact match is left. With ``slop`` above zero the same lists are
-intersected within that distance, which gives proximity matches.
+``build_index`` stores the training corpus as an index in the shared folder, a row for each shard of about
+``SHARD_WORDS`` words: the shard's terms, and for each term the sorted positions of all its occurrences.
+Documents lie one after another with a gap, so a position names the document too. The index holds every
+token of every document, knows nothing of the test set and can be searched any number of times.
+
+``search`` cuts the test items into windows, in blocks of bounded size that are written to the shared folder
+too: nothing is broadcast and the driver sees file names only. Each task reads its shards and goes through the
+blocks. A window is answered from its rarest terms: the posting list of the rarest one in the shard, moved
+back by its offset, gives the candidate starts; the lists of the next rarer terms, moved likewise, are
+intersected one after another until nothing or an exact match is left. All windows of a block go through a
+step together. With ``slop`` above zero the same lists are intersected within that distance, which gives
+proximity matches.
 
 Words are ``WORD`` runs of the text with A-Z lowered. A window is ``WINDOW`` consecutive words of an
 item; an item with fewer words, but not none, is one window.
 
 Defined cases: null texts have no words, so no hits; items without words never match; repeated rows of
 documents give repeated rows; repeated item rows count once for each distinct id; null item ids are left
-out of the list; other columns are ignored.
+out of the list; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import pieces, table
+from wherry.llm.common import materialize, pieces, shared_dir, table
+from wherry.llm.zipstore import open_store
 
 WINDOW = 8
 CONTAMINATED_ITEMS = 2
-#: Characters of test text in one broadcast; a larger test set is sent and searched in several blocks.
+#: Characters of test text in one block, about.
 BLOCK_CHARS = 1 << 20
-#: Words that one shard indexes before it is searched.
-SHARD_WORDS = 1 << 18
-#: Documents of a shard at most.
-SHARD_ROWS = 2048
+#: Words and documents of a shard, about; a longer document is a shard of its own.
+SHARD_WORDS, SHARD_ROWS = 1 << 18, 2048
+#: Shards that a task holds while it goes through the blocks once.
+SHARDS_AT_ONCE = 16
+#: Positions that are intersected in one step.
+STEP = 1 << 20
+#: Places between two documents, more than a window and its slop can span.
+GAP = 64
 
 # Lower-cases A-Z and blanks every ASCII byte that no word holds; all other bytes are word bytes.
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,7 +59,7 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TO_WORDS).split() if text else []
 
 
-def windows(items: list[tuple[object, str | None]], width: int = WINDOW) -> dict[tuple[bytes, ...], list]:
+def windows(items: list[tuple[str | None, str | None]], width: int = WINDOW) -> dict[tuple[bytes, ...], list]:
     """Distinct windows of all items, each with the ids of the items it comes from."""
     found: dict[tuple[bytes, ...], list] = {}
     for item, text in items:
@@ -58,153 +71,208 @@ def windows(items: list[tuple[object, str | None]], width: int = WINDOW) -> dict
     return found
 
 
-class Queries:
-    """Windows over the terms that occur in them."""
+class Block:
+    """Windows as rows of term numbers, padded with the number behind the last term."""
 
-    def __init__(self, found: dict[tuple[bytes, ...], list]):
-        self.terms: dict[bytes, int] = {}
-        self.windows: list[list[int]] = []
-        self.items: list[list] = []
-        for w, ids in found.items():
-            self.windows.append([self.terms.setdefault(t, len(self.terms)) for t in w])
-            self.items.append(ids)
+    def __init__(self, items: list[tuple[str | None, str | None]]):
+        found = windows(items)
+        terms: dict[bytes, int] = {}
+        rows = [[terms.setdefault(t, len(terms)) for t in w] for w in found]
+        self.terms, self.items = list(terms), list(found.values())
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.rows = np.full((len(rows), max((len(r) for r in rows), default=1)), len(terms), np.int64)
+        for r, numbers in zip(self.rows, rows):
+            r[: len(numbers)] = numbers
 
 
 class Shard:
-    """Positional postings of the terms that queries can ask for."""
-
-    GAP = 64
-
-    def __init__(self, docs: list[list[bytes]], terms: dict[bytes, int]):
-        get = terms.get
-        self.starts = np.zeros(len(docs) + 1, np.int64)
-        np.cumsum([len(d) + self.GAP for d in docs], out=self.starts[1:])
-        ids = np.full(int(self.starts[-1]), -1, np.int32)
-        for d, at in zip(docs, self.starts):
-            ids[at : at + len(d)] = [get(w, -1) for w in d]
-        at = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[at], kind="stable")
-        self.positions = at[order]
-        self.df = np.bincount(ids[at], minlength=len(terms))
-        self.cut = np.concatenate([[0], np.cumsum(self.df)])
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.cut[term] : self.cut[term + 1]]
-
-    def match(self, window: list[int], slop: int = 0) -> np.ndarray:
-        """Starts of the window's occurrences; with slop, starts where every term is that near to its place."""
-        df = self.df[window]
-        if df.min() == 0:
-            return self.positions[:0]
-        order = np.argsort(df, kind="stable")
-        first = int(order[0])
-        starts = self.postings(window[first]) - first
-        for j in order[1:]:
-            p = self.postings(window[j])
-            want = starts + int(j) - slop
-            i = np.searchsorted(p, want)
-            got = p[np.minimum(i, len(p) - 1)]
-            starts = starts[(i < len(p)) & (got <= want + 2 * slop)]
-            if not len(starts):
-                break
-        return starts
-
-
-def _hits(texts: list[str | None], blocks: Iterable[Queries], slop: int) -> Iterator[tuple[int, int, list]]:
-    """(words, hit words, sorted item ids) of each text, in order, shard by shard."""
-
-    def shard_of(docs):
-        items: list[set] = [set() for _ in docs]
-        for n, q in enumerate(blocks):
-            s = Shard(docs, q.terms)
-            if not n:
-                hit = np.zeros(int(s.starts[-1]) + 1, np.int32)
-            for w, ids in zip(q.windows, q.items):
-                starts = s.match(w, slop)
-                if not len(starts):
-                    continue
-                doc = np.searchsorted(s.starts, starts + slop, side="right") - 1
-                np.add.at(hit, np.maximum(starts - slop, s.starts[doc]), 1)
-                np.add.at(hit, np.minimum(starts + len(w) + slop, s.starts[doc + 1] - s.GAP), -1)
-                for d in set(doc.tolist()):
-                    items[d].update(ids)
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-        for i, d in enumerate(docs):
-            yield len(d), int(covered[s.starts[i] + len(d)] - covered[s.starts[i]]), sorted(map(str, (x for x in items[i] if x is not None)))
-
-    docs, size = [], 0
-    for t in texts:
+    """Positional postings of a run of documents."""
+
+    def __init__(self, doc_ids: list, n_words: np.ndarray, terms: list[bytes], df: np.ndarray, positions: np.ndarray):
+        self.doc_ids, self.n_words, self.terms, self.df, self.positions = doc_ids, n_words, terms, df, positions
+        self.starts = np.concatenate([[0], np.cumsum(n_words + GAP)])
+
+    @classmethod
+    def of(cls, doc_ids: list, docs: list[list[bytes]]) -> Shard:
+        number = defaultdict(count().__next__)
+        ids = np.concatenate([np.fromiter(map(number.__getitem__, d), np.int32, len(d)) for d in docs])
+        n_words = np.array([len(d) for d in docs], np.int64)
+        starts = np.concatenate([[0], np.cumsum(n_words + GAP)])[:-1]
+        at = np.arange(len(ids)) + np.repeat(starts - np.concatenate([[0], np.cumsum(n_words)])[:-1], n_words)
+        order = np.argsort(ids.astype(np.uint16) if len(number) < 1 << 16 else ids, kind="stable")  # short numbers are sorted by their digits
+        return cls(doc_ids, n_words, list(number), np.bincount(ids, minlength=len(number)), at[order])
+
+    def match(self, block: Block, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of all occurrences; with slop, starts where every term is that near to its place."""
+        number = dict(zip(self.terms, range(len(self.terms))))
+        mine = np.array([*(number.get(t, -1) for t in block.terms), -1], np.int64)
+        df = np.where(mine < 0, 0, self.df[mine]) if len(self.terms) else np.zeros(len(mine), np.int64)
+        padded = np.arange(block.rows.shape[1]) >= block.size[:, None]
+        often = np.where(padded, np.iinfo(np.int64).max, df[block.rows])
+        alive = np.flatnonzero(often.min(axis=1) > 0) if len(often) else np.zeros(0, np.int64)
+        order = np.argsort(often[alive], axis=1, kind="stable")
+        # Postings as one sorted list of (term, position), so that the windows' lists are intersected together.
+        keys = np.repeat(np.arange(len(self.df)) << 32, self.df) + self.positions
+        cut = np.concatenate([[0], np.cumsum(self.df)])
+        first = mine[block.rows[alive, order[:, 0]]] if len(alive) else alive
+        sizes = self.df[first] if len(alive) else alive
+        found = [(np.zeros(0, np.int64),) * 2]
+        for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(np.cumsum(sizes) // STEP)) + 1):
+            n = sizes[part]
+            row = np.repeat(part, n)
+            start = self.positions[np.repeat(cut[first[part]] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())] - order[row, 0]
+            for j in range(1, order.shape[1]):
+                place = order[row, j]
+                term = block.rows[alive[row], place]
+                ended = term == len(block.terms)
+                want = (mine[term] << 32) + np.maximum(start + place - slop, 0)
+                i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                near = (keys[i] >= want) & (keys[i] <= (mine[term] << 32) + start + place + slop)
+                kept = ended | near
+                row, start = row[kept], start[kept]
+                if not len(row):
+                    break
+            found.append((alive[row], start))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _shards(ids: list, texts: list[str | None]) -> Iterator[Shard]:
+    docs, at, size = [], 0, 0
+    for i, t in enumerate(texts):
         docs.append(words(t))
         size += len(docs[-1])
         if size >= SHARD_WORDS:
-            yield from shard_of(docs)
-            docs, size = [], 0
+            yield Shard.of(ids[at : i + 1], docs)
+            docs, at, size = [], i + 1, 0
     if docs:
-        yield from shard_of(docs)
+        yield Shard.of(ids[at:], docs)
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The test rows in blocks of bounded size, read a partition at a time; one empty block if there are none."""
-    block, size, some = [], 0, False
-    for r in items.toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size, some = [], 0, True
-    if block or not some:
-        yield block
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index of documents (doc_id, text), stored in the shared folder: doc_ids, n_words, terms (one to a line), df, positions."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, SHARD_ROWS):
+            at = 0
+            for s in _shards(list(range(batch.num_rows)), batch.column(1).to_pylist()):
+                n = len(s.doc_ids)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(0).slice(at, n)),
+                        pa.array([s.n_words.tolist()], pa.list_(pa.int64())),
+                        *(pa.array([b], pa.binary()) for b in (b"\n".join(s.terms), s.df.astype(np.int32).tobytes(), s.positions.astype(np.uint32).tobytes())),
+                    ],
+                    names=["doc_ids", "n_words", "terms", "df", "positions"],
+                )
+                at += n
 
-def search(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
-    """Per document: words, words within matches, and the ids of the items that match, as sorted strings.
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{kind}>, n_words array<bigint>, terms binary, df binary, positions binary"))
 
-    ``docs``: doc_id, text; ``items``: item_id, text. ``slop`` 0: exact phrases; above: proximity.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>"
-    send = docs.sparkSession.sparkContext.broadcast
-    shared = [send(Queries(windows(b))) for b in _blocks(items.select("item_id", "text"))]
+
+def _stored(batch: pa.RecordBatch, i: int) -> Shard:
+    n_words, terms, df, positions = (batch.column(c)[i].as_py() for c in range(1, 5))
+    return Shard(batch.column(0)[i].values, np.array(n_words, np.int64), terms.split(b"\n") if terms else [], np.frombuffer(df, np.int32).astype(np.int64), np.frombuffer(positions, np.uint32).astype(np.int64))
+
+
+def _write_blocks(items: DataFrame) -> list[str]:
+    """Names of the files that hold the test items' windows, in blocks of about BLOCK_CHARS characters."""
+    folder = shared_dir(items.sparkSession)
+    size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, SHARD_ROWS):
-            got = list(_hits(batch.column(1).to_pylist(), [b.value for b in shared], slop))
+        names, rows, chars = [], [], 0
+
+        def flush():
+            store, root = open_store(folder)
+            store.create_dir(root, recursive=True)
+            names.append(f"{folder}/block-{uuid.uuid4().hex}")
+            with store.open_output_stream(f"{root}/{names[-1].rsplit('/', 1)[1]}", compression=None) as sink:
+                sink.write(pickle.dumps(Block(rows)))
+
+        for batch in pieces(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows.append((item, text))
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS:
+                    flush()
+                    rows, chars = [], 0
+        if rows:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    dealt = items.select(F.col("item_id").cast("string"), "text").repartition(int(size // BLOCK_CHARS) + 1)
+    return [r["name"] for r in dealt.mapInArrow(run, "name string").collect()]
+
+
+@lru_cache(maxsize=4)
+def _read_block(name: str) -> Block:
+    store, path = open_store(name)
+    with store.open_input_stream(path) as source:
+        return pickle.loads(source.read())
+
+
+def search(index: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
+    """Per document: words, words within matches, and the ids of the items that match, as sorted strings.
+
+    ``index``: of ``build_index``; ``items``: item_id, text. ``slop`` 0: exact phrases; above, up to 24: proximity.
+    """
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    names = _write_blocks(items)
+
+    def answer(shards: list[Shard]) -> Iterator[pa.RecordBatch]:
+        hits = [np.zeros(int(s.starts[-1]) + 1, np.int32) for s in shards]
+        items: list[list[set]] = [[set() for _ in s.n_words] for s in shards]
+        for name in names:
+            block = _read_block(name)
+            for s, hit, mine in zip(shards, hits, items):
+                window, start = s.match(block, slop)
+                if not len(window):
+                    continue
+                doc = np.searchsorted(s.starts, start + slop, side="right") - 1
+                np.add.at(hit, np.maximum(start - slop, s.starts[doc]), 1)
+                np.add.at(hit, np.minimum(start + block.size[window] + slop, s.starts[doc] + s.n_words[doc]), -1)
+                for d, w in set(zip(doc.tolist(), window.tolist())):
+                    mine[d].update(block.items[w])
+        for s, hit, mine in zip(shards, hits, items):
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+            n_hit = covered[s.starts[:-1] + s.n_words] - covered[s.starts[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
+                [s.doc_ids, pa.array(s.n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x for x in m if x is not None) for m in mine], pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "n_hit", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, SHARDS_AT_ONCE):
+            yield from answer([_stored(batch, i) for i in range(batch.num_rows)])
 
+    return index.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
 
-def postings(docs: DataFrame) -> DataFrame:
-    """The index itself as a table, one row for each shard and term: term, doc_ids and word positions side by side."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def postings(index: DataFrame) -> DataFrame:
+    """The stored index as a table, one row for each shard and term: term, doc_ids and word positions side by side."""
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found: dict[bytes, tuple[list, list]] = {}
-            for doc, t in zip(ids, batch.column(1).to_pylist()):
-                for i, w in enumerate(words(t)):
-                    d, p = found.setdefault(w, ([], []))
-                    d.append(doc)
-                    p.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w.decode("utf-8", "replace") for w in found], pa.string()),
-                    pa.array([d for d, _ in found.values()], pa.list_(batch.schema.field(0).type)),
-                    pa.array([p for _, p in found.values()], pa.list_(pa.int32())),
-                ],
-                names=["term", "doc_ids", "positions"],
-            )
+            for s in (_stored(batch, i) for i in range(batch.num_rows)):
+                doc = np.searchsorted(s.starts, s.positions, side="right") - 1
+                cut = pa.array(np.concatenate([[0], np.cumsum(s.df)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([t.decode("utf-8", "replace") for t in s.terms], pa.string()),
+                        pa.ListArray.from_arrays(cut, s.doc_ids.take(pa.array(doc))),
+                        pa.ListArray.from_arrays(cut, pa.array((s.positions - s.starts[doc]).astype(np.int32))),
+                    ],
+                    names=["term", "doc_ids", "positions"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"term string, doc_ids array<{kind}>, positions array<int>")
+    return index.mapInArrow(run, f"term string, doc_ids array<{kind}>, positions array<int>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The digest form: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = search(docs, items)
+    found = search(build_index(docs), items)
     return found.select(
         "doc_id",
         "n_words",
