@@ -482,43 +482,74 @@ def test_line_dedup_edges(spark):
 # 8
 
 
-
-
-def winnow(hashes, w):
-    """Rightmost minima of all full windows."""
+def brute_fingerprint_8(text):
+    """(hash, position) of the rightmost minimum of every window, from the definition."""
+    unspaced = re.compile("[" + op8.UNSPACED + "]")
+    units, word = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum() and not unspaced.match(c):
+            word += c
+            continue
+        units += [word] if word else []
+        units += [c] if c.isalnum() else []
+        word = ""
+    turn = lambda x, b: (x << b | x >> (64 - b)) & ((1 << 64) - 1) if b else x
+    hashes = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
+    k = min(op8.K, len(hashes))
+    grams = []
+    for i in range(len(hashes) - k + 1 if hashes else 0):
+        h = 0
+        for x in hashes[i : i + k]:
+            h = turn(h, 1) ^ x
+        grams.append(h - (1 << 64) if h >> 63 else h)
     out = []
-    for i in range(max(1, len(hashes) - w + 1) if hashes else 0):
-        window = hashes[i : i + w]
-        j = max(k for k, h in enumerate(window) if h == min(window))
-        if not out or out[-1] != i + j:
-            out.append(i + j)
+    for i in range(max(1, len(grams) - op8.W + 1) if grams else 0):
+        window = grams[i : i + op8.W]
+        j = i + max(n for n, h in enumerate(window) if h == min(window))
+        if not out or out[-1][1] != j:
+            out.append((grams[j], j))
     return out
 
 
+def shown_8(f):
+    return " ".join(f"{h % (1 << 64):x}@{p}" for h, p in f)
+
+
 def test_winnowing_matches_definition(spark):
-    docs = [(i, words(i, n)) for i, n in enumerate((0, 1, 3, 5, 12, 40, 90))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    step = df.select("doc_id", op8._grams(op8._hashes(F.regexp_extract_all(F.lower("text"), F.lit(op8.UNIT), 0)), op8.K).alias("g"))
-    got = step.select("doc_id", "g", op8._minima(F.col("g"), op8.W).alias("s")).collect()
-    for r in got:
-        hashes = [x >> op8.POSITION_BITS for x in r["g"]]
-        assert [op8.LAST_POSITION - (x & op8.LAST_POSITION) for x in r["s"]] == winnow(hashes, op8.W)
+    texts = [words(i, n) for i, n in enumerate((0, 1, 3, 4, 5, 9, 12, 40, 90))] + [" ".join(["same"] * 40), "a b " * 30, "Ä-ß_x9 É", "漢字テスト and ไทย words 漢字", "x" * 40, "…", "1 2 3 4 5 6 7 8 9 10"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in op8.fingerprint(df).collect()}
+    assert got == {i: shown_8(brute_fingerprint_8(t)) for i, t in enumerate(texts)}
 
 
 def test_winnowing_neighbours(spark):
-    rows = [(10, words(1, 200)), (7, words(2, 150)), (3, words(1, 200)), (5000, words(4, 90)), (5001, ""), (5002, None), (9, "ab")]
+    rows = [(10, words(1, 200)), (7, words(2, 150)), (3, words(1, 200)), (5000, words(4, 90)), (5001, ""), (5002, None), (9, "ab"), (64, words(5, 12)), (63, words(6, 12))]
     got = {r["doc_id"]: r for r in op8.compare_neighbours(frame(spark, rows)).collect()}
     text = {i: t or "" for i, t in rows}
     order = sorted(text, reverse=True)
+
+    def alike(a, b):
+        a, b = ({h for h, _ in brute_fingerprint_8(t)} for t in (a, b))
+        return len(a & b) / max(len(a), len(b)) if a or b else 1.0
+
     for k, i in enumerate(order):
         t, n = text[i], text[order[(k + 1) % len(order)]]
         edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (shown_8(brute_fingerprint_8(t)), shown_8(brute_fingerprint_8(edited)))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((alike(t, edited), alike(t, n)))
     assert got[10]["fingerprint"] == got[3]["fingerprint"] and got[5001]["fingerprint"] == ""
     assert 0.4 < got[10]["near_edited"] < 0.9 and got[10]["near_next"] < 0.2
     assert got[5002]["near_next"] == 1.0
 
 
+def test_winnowing_guarantee():
+    shared = words(50, op8.W + op8.K - 1)
+    for seed in range(30):
+        a, b = (words(100 * seed + k, 7) + " " + shared + " " + words(200 * seed + k, 9) for k in (1, 2))
+        assert {h for h, _ in brute_fingerprint_8(a)} & {h for h, _ in brute_fingerprint_8(b)}
+
+
 def test_winnowing_edges(spark):
     got = op8.compare_neighbours(frame(spark, EDGE))
     assert got.count() == len(EDGE) and op8.compare_neighbours(frame(spark, EDGE).limit(0)).count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wherry.llm.common import materialize
 
 #: Values of an id that one bucket spans: a bucket has that many distinct ids at most.
-WIDTH = 512
+WIDTH = 64
 #: Keys that one task may order; more are first cut into buckets.
 ONE_TASK = 50_000
 

@@ -1,23 +1,22 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Units are runs of letters and digits, lowered, of 16 characters at most; every ``K`` units in a row are
-hashed, of each window of ``W`` hashes the least is selected, the rightmost among equals, and kept with its
-position. Two texts that share W + K - 1 units in a row share a fingerprint. Texts of ``SHORT`` code points
-or fewer are also fingerprinted by their characters (``K_CHARS``, ``W_CHARS``), as words are too coarse there.
-
-Hash and position are one number, hash above and complemented position below, so that the least number of a
-window is its least hash and, among equal ones, the rightmost.
-
-The likeness of two fingerprints is the share of the larger one's hashes that the other has too, on
-characters where both have them, else on words; two empty fingerprints are alike.
-
-Documents are dealt by buckets of ids once; the next document comes from a window in a bucket, and from the
-table of the buckets' first documents at its end. No global sort is made.
-
-Defined cases: null text counts as empty and has the empty fingerprint, like a text without letters and digits
-of more than SHORT code points; fewer than K units are one hash; rows that repeat an id follow one another by
-text; null ids come last; the only document follows itself; an empty table gives no rows; other columns are
-ignored.
+Units are words: runs of letters and digits, lowered; each letter of a script without blanks is a unit. Each
+unit is hashed once. The hash of ``K`` units in a row is a cyclic polynomial, the rolling hash whose step is
+one rotation and two exclusive ors; as columns have no running state, the hashes of all K-grams are made from
+those of their halves instead, which gives the same numbers in as few operations. Of each window of ``W``
+hashes the least is selected, the rightmost among equals, and kept with its position. Two texts that share
+W + K - 1 units in a row share a fingerprint. One rule holds for texts of every length.
+
+The likeness of two fingerprints is the share of the larger one's hashes that the other has too; two empty
+fingerprints are alike.
+
+Documents are dealt by buckets of ``WIDTH`` ids once; the next document comes from a window in a bucket, and
+from the table of the buckets' first documents at its end. No global sort is made.
+
+Defined cases: null text counts as empty and has the empty fingerprint, like a text without letters and
+digits; fewer than K units are one hash, fewer than W hashes one window; rows that repeat an id follow one
+another by text; null ids come last; the only document follows itself; an empty table gives no rows; other
+columns are ignored; ids are integers.
 """
 
 from __future__ import annotations
@@ -28,70 +27,68 @@ from pyspark.sql import functions as F
 from wherry.llm.common import materialize, table
 from wherry.llm.neighbours import WIDTH, lower_keys
 
-K, W = 5, 8
-SHORT, K_CHARS, W_CHARS = 400, 5, 3
-UNIT = r"[\p{L}\p{N}]{1,16}"
-POSITION_BITS = 27
-LAST_POSITION = (1 << POSITION_BITS) - 1
+K, W = 4, 6
+#: Letters of scripts that put no blanks between words: Thai, Lao, Burmese, Khmer, Kana and Han.
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+UNIT = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{N}}&&[{UNSPACED}]]"
 NO_ID = -(1 << 63)
 
 
-def _hashes(units: Column) -> Column:
-    return F.transform(units, lambda u: F.xxhash64(u))
+def unit_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), 0), lambda u: F.xxhash64(u))
 
 
-def _grams(hashes: Column, k: int) -> Column:
-    """Hash of k units above, complemented position below; a shorter sequence is one gram."""
+def _turn(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
 
-    def gram(i: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(*(F.get(hashes, i + j) for j in range(k))), 1 + POSITION_BITS)
-        return F.shiftleft(h, POSITION_BITS).bitwiseOR(F.lit(LAST_POSITION) - i.cast("long"))
 
-    n = F.size(hashes)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), gram)).otherwise(F.array().cast("array<bigint>"))
+def gram_hashes(units: str) -> Column:
+    """Hashes of all K = 4 units in a row; a shorter sequence is one gram."""
+    u = F.col(units)
 
+    def pairs(x: Column, apart: int) -> Column:
+        n = F.size(x) - apart
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + apart), n), lambda a, b: _turn(a, apart).bitwiseXOR(b))
 
-def _minima(grams: Column, w: int) -> Column:
-    n = F.size(grams)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, F.lit(w)))))).otherwise(grams)
+    four = F.get(F.transform(F.array(pairs(u, 1)), lambda two: pairs(two, 2)), F.lit(0))
+    few = F.array(F.aggregate(u, F.lit(0).cast("long"), lambda a, x: _turn(a, 1).bitwiseXOR(x)))
+    return F.when(F.size(u) >= K, four).when(F.size(u) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``_w and ``out``_c: selected numbers by words and, for short texts, by characters."""
-    t = F.lower(F.col(text))
-    short = F.char_length(text) <= SHORT
-    none = F.array().cast("array<string>")
-    chars = F.when(short & (F.char_length(text) > 0), F.split(F.regexp_replace(t, r"\s+", " "), "")).otherwise(none)
-    # Step by step: each array is built once and read from by the next step.
-    df = df.withColumns({f"{out}_w": _hashes(F.regexp_extract_all(t, F.lit(UNIT), 0)), f"{out}_c": _hashes(chars)})
-    df = df.withColumns({f"{out}_w": _grams(F.col(f"{out}_w"), K), f"{out}_c": _grams(F.col(f"{out}_c"), K_CHARS)})
-    return df.withColumns({f"{out}_w": _minima(F.col(f"{out}_w"), W), f"{out}_c": _minima(F.col(f"{out}_c"), W_CHARS)})
+def selected(grams: str) -> Column:
+    """(h, p): hash and position of the least of each window of W hashes, the rightmost among equals."""
+    g = F.col(grams)
 
+    def reach(i: Column, before: bool, x: Column) -> Column:
+        """How many neighbours in a row, W - 1 at most, leave x the choice."""
+        n = F.lit(W - 1)
+        for j in range(W - 1, 0, -1):
+            fits = F.get(g, i - j) >= x if before else F.get(g, i + j) > x
+            n = F.when(fits, n).otherwise(F.lit(j - 1))
+        return n
 
-def _hash_set(selected: Column) -> Column:
-    return F.array_distinct(F.transform(selected, lambda x: F.shiftright(x, POSITION_BITS)))
+    # x is chosen if a whole window lies within its reach.
+    chosen = lambda x, i: reach(i, True, x) + reach(i, False, x) + 1 >= F.least(F.lit(W), F.size(g))
+    return F.array_compact(F.transform(g, lambda x, i: F.when(chosen(x, i), F.struct(x.alias("h"), i.alias("p")))))
 
 
-def _share(a: Column, b: Column) -> Column:
-    most = F.greatest(F.size(a), F.size(b))
-    return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / most)
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: selected hashes and positions of the text in a column."""
+    # Step by step: each array is built once and read from by the next step.
+    df = df.withColumn(out, unit_hashes(F.col(text)))
+    df = df.withColumn(out, gram_hashes(out))
+    return df.withColumn(out, selected(out))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of the fingerprints in ``a``_sw, ``a``_sc and ``b``_sw, ``b``_sc (sets of hashes)."""
-    by_chars = (F.size(f"{a}_sc") > 0) & (F.size(f"{b}_sc") > 0)
-    return F.when(by_chars, _share(F.col(f"{a}_sc"), F.col(f"{b}_sc"))).otherwise(_share(F.col(f"{a}_sw"), F.col(f"{b}_sw")))
-
-
-def shown(out: str) -> Column:
-    """``hash@position`` of every selected hash: words, then after a bar characters."""
+    """Likeness of two sets of hashes."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / most)
 
-    def show(selected: str) -> Column:
-        return F.array_join(
-            F.transform(F.col(selected), lambda x: F.concat(F.lower(F.hex(F.shiftright(x, POSITION_BITS))), F.lit("@"), (F.lit(LAST_POSITION) - x.bitwiseAND(F.lit(LAST_POSITION))).cast("string"))), " "
-        )
 
-    return F.when(F.size(f"{out}_c") > 0, F.concat(show(f"{out}_w"), F.lit("|"), show(f"{out}_c"))).otherwise(show(f"{out}_w"))
+def shown(fingerprint: str) -> Column:
+    """``hash@position`` of every selected hash, in order."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(x["h"])), F.lit("@"), x["p"].cast("string"))), " ")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -115,32 +112,26 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     # One exchange of the texts; the window, the join at the buckets' ends and all that follows keep it.
     dealt = with_fingerprint(rows.repartition("bucket"), "text", "own")
     w = Window.partitionBy("bucket").orderBy(*order)
-    lead = lambda c: F.lead(c).over(w)
-    led = dealt.withColumns({"next_text": lead("text"), "next_w": lead("own_w"), "next_c": lead("own_c")}).join(after, "bucket", "left")
-    at_end = F.col("next_text").isNull()
+    led = dealt.withColumns({"next_text": F.lead("text").over(w), "next": F.lead("own").over(w)}).join(after, "bucket", "left")
     led = led.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         "text",
-        "own_w",
-        "own_c",
+        "own",
         F.coalesce("next_text", "after_text").alias("next_text"),
-        F.when(at_end, F.col("after_w")).otherwise(F.col("next_w")).alias("next_w"),
-        F.when(at_end, F.col("after_c")).otherwise(F.col("next_c")).alias("next_c"),
+        F.when(F.col("next_text").isNull(), F.col("after")).otherwise(F.col("next")).alias("next"),
     )
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    led = led.withColumn("edited", edited).drop("text", "next_text")
-    led = with_fingerprint(led, "edited", "new")
-    sets = {f"{a}_s{b}": _hash_set(F.col(f"{a}_{b}")) for a in ("own", "new", "next") for b in "wc"}
-    return led.withColumns(sets).select(
+    led = with_fingerprint(led.withColumn("edited", edited).drop("text", "next_text"), "edited", "new")
+    return led.withColumns({f"{a}_set": F.array_distinct(F.col(f"{a}.h")) for a in ("own", "new", "next")}).select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         shown("own").alias("fingerprint"),
         shown("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"),
-        likeness("own", "next").alias("near_next"),
+        likeness("own_set", "new_set").alias("near_edited"),
+        likeness("own_set", "next_set").alias("near_next"),
     )
 
 
