@@ -292,6 +292,7 @@ def test_pieces_frames(spark, library):
     got = op5.encode_digests(df, path)
     assert got.count() == len(EDGE) and op5.encode_digests(df.limit(0), path).count() == 0
     assert {r["n_tokens"] for r in got.filter("doc_id <= 2").collect()} == {1}
+    assert op5.encode_digests(df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), path).filter("doc_id = 'd5'").count() == 1
     back = {r["doc_id"]: r["text"] for r in op5.decode_ids(op5.encode_ids(df.filter("doc_id > 3"), path), path).collect()}
     assert back[6] == "é ü 日本 \U0001f600" and back[5] == LONG
 

@@ -107,11 +107,11 @@ class PieceModel:
         else:
             self.cut = re.compile("\n| *[^ \n]+| +" if self.newline_cut else " *[^ ]+| +")
         self.compatible_memo: dict[tuple[str, str], bool] = {}
-        self.chunk_memo: dict[str, str] = {}
-        self.older_memo: dict[str, str] = {}
-        self.odd_chunks = False
+        self.chunk_memo: dict[str, tuple[str, str]] = {}
+        self.older_memo: dict[str, tuple[str, str]] = {}
         self.unknown = re.compile("[^" + re.escape("".join(sorted(alphabet))) + "]")
-        self.shown = {p: str(i) for p, (_, i) in self.rank.items()}
+        self.shown = [str(i) for i in range(len(self.pieces))]
+        self.plain = [p.replace(MARK, " ") for p in self.pieces]
         # Only pieces that merging their own characters gives back can be anyone's last token.
         self.automaton = ahocorasick.Automaton()
         self.longest = 1
@@ -241,18 +241,20 @@ class PieceModel:
             out.append(_utf8(bytes(raw)))
         return "".join(out)
 
-    def _chunk(self, chunk: str) -> str:
-        """Ids of one chunk as decimal text. Its ids are decoded too, to see whether they give the chunk again."""
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids of one chunk as decimal text, and what these ids decode to behind other text."""
         got = self.older_memo.get(chunk)
         if got is None:
             marked = chunk.replace(" ", MARK)
             if self.unknown.search(marked):
                 ids = self._chunk_ids(marked)
-                got, back = " ".join(map(str, ids)), self.decode([self.rank["a"][1], *ids])[1:]
+                back = self.decode([self.rank["a"][1], *ids])[1:]
             else:
-                pieces = self._pieces_of(marked)
-                got, back = " ".join([self.shown[p] for p in pieces]), "".join(pieces).replace(MARK, " ")
-            self.odd_chunks = self.odd_chunks or back != chunk
+                rank, plain = self.rank, self.plain
+                ids = [rank[p][1] for p in self._pieces_of(marked)]
+                back = "".join([plain[i] for i in ids])
+            shown = self.shown
+            got = " ".join([shown[i] for i in ids]), back
         if len(chunk) <= CACHE_CHARS:
             if len(self.chunk_memo) >= CACHE_CHUNKS // 2:  # two generations: what is used stays
                 self.older_memo, self.chunk_memo = self.chunk_memo, {}
@@ -267,10 +269,10 @@ class PieceModel:
             return len(ids), _hex(" ".join(map(str, ids)).encode()), _hex(self.decode(ids).encode())
         known = self.chunk_memo.get
         parts = [known(c) or self._chunk(c) for c in self.cut.findall(s)]
-        parts.append(str(self.eos))
-        shown = " ".join(parts)
-        # Every chunk's ids were decoded when they were made; while all gave their chunk again, the text is its chunks.
-        back = self.decode(list(map(int, shown.split(" ")))) if self.odd_chunks else s[1:] if self.add_prefix else s
+        shown = " ".join([*[p[0] for p in parts], str(self.eos)])
+        # A chunk's bytes are whole characters, so the text of all ids is the texts of the chunks' ids; the first mark is dropped.
+        back = "".join([p[1] for p in parts])
+        back = back[1:] if self.add_prefix and back.startswith(" ") else back
         return shown.count(" ") + 1, _hex(shown.encode()), _hex(back.encode("utf-8", "replace"))
 
 
@@ -299,63 +301,66 @@ def _hex(b: bytes) -> str:
 
 
 @lru_cache(maxsize=2)
-def _model(key: str, size: int, path: str) -> PieceModel:
-    with open(path, "rb") as f:
-        return PieceModel(f.read())
+def parsed(data: bytes) -> PieceModel:
+    """The model in a file's bytes, parsed once in a process."""
+    return PieceModel(data)
 
 
 def model(path: str) -> PieceModel:
-    """The model at ``path``, loaded once in a process."""
-    return _model(path, 0, path)
+    with open(path, "rb") as f:
+        return parsed(f.read())
+
 
+def _sent(df: DataFrame, model_path: str):
+    """The model's bytes for the executors, which need no file of their own; a vocabulary file of some hundred kB."""
+    with open(model_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, number of ids with the end id, digests of the ids and of the decoded text."""
+    data = _sent(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = parsed(data.value)
         for batch in pieces(batches):
             got = [m.digest(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([g[0] for g in got], pa.int64()),
-                    pa.array([g[1] for g in got], pa.string()),
-                    pa.array([g[2] for g in got], pa.string()),
-                ],
+                [batch.column(0), pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in (1, 2))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and the id list with its end id."""
+    data = _sent(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = parsed(data.value)
         for batch in pieces(batches):
             ids = [[*m.encode(t or ""), m.eos] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
     """The text of each id list."""
+    data = _sent(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = parsed(data.value)
         for batch in pieces(batches):
             texts = [m.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_kind(encoded, 'doc_id')}, text string")
 
 
 def default_model_path() -> str:
