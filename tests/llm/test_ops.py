@@ -79,6 +79,43 @@ def test_url_links(spark):
     assert op1.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_link_forms(spark):
+    html = """<base href='http://base.org/x/'><a href="http://A.com/x">1</a><A class=x HREF=//b.com/y>2</A><a href='http&#58;//c&#46;com&sol;z?a&amp;b'>3</a><a href="rel/page">4</a>
+    <a href="#top">5</a><a href="mailto:x@y.org">6</a><!-- <a href="http://no1.com">x</a> --><script>"<a href='http://no2.com/'>"</script><link href=https://d.com/s.css>"""
+    rows = spark.createDataFrame([(html,), (None,), ("",), ("<a href='x'>",)], "html string").select(op1.links_of(F.col("html")).alias("v")).collect()
+    assert rows[0]["v"] == ["http://A.com/x", "http://b.com/y", "http://c.com/z?a&b", "http://base.org/x/", "https://d.com/s.css"]
+    assert rows[1]["v"] is None and rows[2]["v"] == [] and rows[3]["v"] == []
+
+
+def test_trust_equals_brute_force(spark):
+    r = random.Random(8)
+    names = [f"h{i}" for i in range(30)]
+    links = {(r.choice(names), r.choice(names)): r.randint(1, 4) for _ in range(70)}
+    links = {(a, b): n for (a, b), n in links.items() if a != b}
+    out = {a: sum(n for (x, _), n in links.items() if x == a) for a in names}
+    weights = {(a, b): n / out[a] for (a, b), n in links.items()}
+    into = {b: sum(w for (_, y), w in weights.items() if y == b) for b in names}
+    good, bad = set(names[:3]), set(names[3:5])
+
+    def walk(seeds, step):
+        mass = dict.fromkeys(names, 0.0)
+        for _ in range(300):
+            new = {h: 0.15 * (h in seeds) for h in names}
+            for a, b, w in step:
+                new[b] += 0.85 * mass[a] * w
+            mass = new
+        return mass
+
+    trust = walk(good, [(a, b, w) for (a, b), w in weights.items()])
+    distrust = walk(bad, [(b, a, w / into[b]) for (a, b), w in weights.items()])
+    seeds = spark.createDataFrame([(h, float(h in good), float(h in bad)) for h in names], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, weight double")
+    got = {x["host"]: x for x in op1.propagate(seeds, edges).collect()}
+    for h in names:
+        assert (got[h]["trust"] if h in got else 0, got[h]["distrust"] if h in got else 0) == pytest.approx((trust[h], distrust[h]), abs=1e-3)
+    assert max(trust[h] for h in names if h not in good) > 0.01 and any(h in got for h in names[5:])
+
+
 # 2
 
 PAGE = "<html><head><title>T</title></head><body><nav><ul><li>Menu</li></ul></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One <b>t</b>wo<br>three\n  four<p>five</article><section id=comments><p>hi</p></section><footer>F</footer></body></html>"
@@ -603,6 +640,8 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in connected_components(chain).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert connected_components(chain.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
 
 
 def test_simhash_edges(spark):

@@ -13,15 +13,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Each round is a fixed number of joins and aggregations on keys; nothing is collected but a checksum.
     Every round's edges are written to the shared folder, so lost executors cost one round at most.
-    Rounds grow with the logarithm of the largest component. An empty table gives an empty table.
+    Rounds grow with the logarithm of the largest component; not to end within ``max_rounds`` is an error. An empty table gives an empty table.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e)
     before = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
         mark = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before or not mark[0]:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"components are not finished after {max_rounds} rounds")
         before = mark
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))

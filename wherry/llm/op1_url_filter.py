@@ -2,7 +2,8 @@
 
 A url's host and path are read from the text alone. The rule with the longest host + path that fits
 decides. Hosts whose pages no rule decides are judged by the link graph: edges go from a page's host to
-the hosts of the absolute links in its html; trust is personalised PageRank from trusted seed hosts
+the hosts of the links in its html (those with a scheme or ``//``, and relative ones under a ``base``;
+comments, scripts and styles have none; character references are read); trust is personalised PageRank from trusted seed hosts
 along the edges, distrust the same from blocked seed hosts against them (a host that links to blocked
 hosts is suspect). A host is blocked where its distrust exceeds its trust by ``MARGIN`` of a seed's
 mean mass, and allowed otherwise, links or none.
@@ -11,9 +12,10 @@ Seeds come from the rules: a host is trusted if rules allow some of its pages an
 if rules block over half of its pages.
 
 Scale: edges are counted by (host, host) before any iteration; both walks are one table that is joined
-once a round; every few rounds the table is written to the shared folder. Mass that leaves no edge goes
-back to the seeds in closed form (scores are used relative to each other only), so no global sum is
-needed. If there is no edge between two hosts the rounds change nothing and are skipped.
+once a round; every few rounds the table is written to the shared folder and compared with the round before,
+until all of its changes are below ``TOLERANCE`` of the seeds' mass. What is left after k rounds is DAMPING^k
+of that mass at most, which bounds their number. A host's share that leaves by no edge is lost from its walk.
+If there is no edge between two hosts the rounds change nothing and are skipped.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, and no rule; null html has no
 links; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -21,6 +23,7 @@ links; repeated rows are judged alike; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +52,7 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-4
 MARGIN = 0.05
 CUT_EVERY = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,33 +75,58 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     return text, verdict
 
 
+_HREF = r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: Character references that can hide what a link's host is read from.
+_REFERENCES = ((r"&(?:#0*58|#[xX]0*3[aA]|colon);?", ":"), (r"&(?:#0*47|#[xX]0*2[fF]|sol);?", "/"), (r"&(?:#0*46|#[xX]0*2[eE]|period);?", "."), (r"&(?:#0*63|#[xX]0*3[fF]|quest);?", "?"), (r"&(?:#0*38|#[xX]0*26|amp);?", "&"))
+
+
+def links_of(html: Column) -> Column:
+    """Absolute links of a page, one for each that it has."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", " ")
+
+    def read(link: Column) -> Column:
+        out = F.btrim(link, F.lit(" \t\r\n\f\"'"))
+        for pattern, char in _REFERENCES:
+            out = F.regexp_replace(out, pattern, char)
+        return F.when(out.startswith("//"), F.concat(F.lit("http:"), out)).otherwise(out)
+
+    is_url = lambda x: F.rlike(x, F.lit("(?i)^https?://"))
+    base = read(F.regexp_extract(bare, r"(?is)<base\b[^>]*?\s" + _HREF, 1))
+    found = F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<(?!base\b)[a-z][^>]*?\s" + _HREF), 1), read)
+    relative = lambda x: ~F.rlike(x, F.lit("(?i)^[a-z][a-z0-9+.-]*:")) & ~x.startswith("#")
+    return F.filter(F.transform(found, lambda x: F.when(is_url(x), x).when(is_url(base) & relative(x), base)), lambda x: x.isNotNull())
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): shares of a host's outgoing links to other hosts."""
-    links = pages.select(
-        host_of(F.col("url")).alias("src"),
-        F.explode(F.expr(r"""regexp_extract_all(html, '(?i)href\\s*=\\s*["\']?(https?://[^"\'\\s>]+)', 1)""")).alias("link"),
-    )
+    links = pages.filter(F.contains(F.lower("html"), F.lit("href"))).select(host_of(F.col("url")).alias("src"), F.explode(links_of(F.col("html"))).alias("link"))
     counted = links.select("src", host_of(F.col("link")).alias("dst")).filter("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     out = counted.groupBy("src").agg(F.sum("n").alias("total"))
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of every host with mass; ``seeds``: host, trust, distrust; ``edges``: src, dst, weight."""
     forward = edges.select(F.lit("trust").alias("walk"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight")
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
     back = edges.join(into, "dst").select(F.lit("distrust").alias("walk"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("weight") / F.col("total")).alias("weight"))
     steps = materialize(forward.union(back))
     start = materialize(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (walk, mass)")).filter("mass > 0"))
-    rank = start.withColumn("mass", F.col("mass") * (1 - damping))  # what any number of rounds gives without edges
+    kept = start.select("walk", "host", (F.col("mass") * (1 - damping)).alias("mass"))
+    rank = kept  # what any number of rounds gives without edges
     if not steps.isEmpty():
-        rank = start
-        for k in range(1, rounds + 1):
+        total = start.agg(F.sum("mass")).first()[0] or 0.0
+        for k in range(1, math.ceil(math.log(tolerance) / math.log(damping)) + 1):
             moved = rank.join(steps, ["walk", "host"]).select("walk", F.col("to").alias("host"), (F.col("mass") * F.col("weight") * damping).alias("mass"))
-            kept = start.select("walk", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-            rank = moved.union(kept).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
-            if k % CUT_EVERY == 0 or k == rounds:
+            before, rank = rank, moved.union(kept).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
+            if k % CUT_EVERY == CUT_EVERY - 1:
+                rank = materialize(rank)
+            elif k % CUT_EVERY == 0:
                 rank = materialize(rank)
+                change = rank.union(before.withColumn("mass", -F.col("mass"))).groupBy("walk", "host").agg(F.abs(F.sum("mass")).alias("d")).agg(F.sum("d")).first()[0]
+                if change <= tolerance * total:
+                    break
+        rank = materialize(rank)
     return rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("walk") == w, F.col("mass"))), F.lit(0.0)).alias(w) for w in ("trust", "distrust")))
 
 
