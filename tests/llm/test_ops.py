@@ -403,10 +403,6 @@ def test_warc_records_are_gzip_members(spark, tmp_path):
 # 7
 
 
-def word_count(line):
-    return max(line.count(" ") + 1, line.count(" ") + len(re.findall("[぀-ヿ一-鿿฀-๿]", line))) if line else 0
-
-
 def brute_runs(docs, lines):
     """Every text without the lines that lie in a run which stands earlier, all runs being compared; ``docs``: (id, text) in order."""
     seen, left = set(), []
@@ -414,7 +410,7 @@ def brute_runs(docs, lines):
         cut = lines[text]
         key, gone = [u.strip(op7.BLANKS) for u in cut], set()
         for i in range(len(key) - op7.W + 1):
-            n = op7.W if sum(map(word_count, key[i : i + op7.W])) >= op7.MIN_WORDS else op7.MANY
+            n = op7.W if sum(len(u.encode()) for u in cut[i : i + op7.W]) >= op7.LEAST else op7.MANY
             if i + n <= len(key):
                 run = (n, *key[i : i + n])
                 if run in seen:

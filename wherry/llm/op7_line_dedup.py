@@ -1,10 +1,9 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-A document's lines are its text cut after each line feed and, within a line, before each word whose hash is
-less than those of the ``RADIUS`` words on either side (of equal ones the first). The same words are cut alike
-wherever they stand, every ``2 * RADIUS + 1`` words on average, so a passage in the midst of a long line has
-lines of its own. Words end at blanks; each letter of a script without blanks is a word; blank lines belong to
-the line before them, and white space around a line does not count.
+A document's lines are its text cut after line feeds and, within a line, between words of which one ends and the
+next begins with letters of two fixed halves of the alphabet, which is so for about one pair in four. The same
+words are cut alike wherever they stand, so a passage in the midst of a long line has lines of its own. Words end at blanks; a letter of a script without
+blanks is a word; blank lines belong to the line before them, and white space around a line does not count.
 
 Of every ``W`` line hashes in a row the least is selected, the rightmost among equals: these are the
 fingerprints, and two places that have the same W lines have the same one. Fingerprints that occur once are
@@ -13,8 +12,8 @@ run is joined with its first occurrence (least doc_id, then position), never wit
 all later ones are deleted. Runs are compared with one another, whatever document they come from, so a run that
 a first document holds in part only is still found in the second.
 
-Guarantee: exactly those lines go that lie in a run of W lines, of ``MIN_WORDS`` words or more together, that
-stands earlier; where W lines have fewer words, in a run of ``MANY`` lines. A deleted line equals one that
+Guarantee: exactly those lines go that lie in a run of W lines, of ``LEAST`` bytes or more together, that
+stands earlier; where W lines are shorter, in a run of ``MANY`` lines. A deleted line equals one that
 stands earlier, so the first copy of every line stays.
 
 Defined cases: null text stays null and has no lines; texts of fewer than W lines lose nothing; rows without
@@ -31,87 +30,66 @@ from pyspark.sql import functions as F
 
 from wherry.llm.common import materialize, table
 
-#: Lines of a run, and of one that has too few words for that.
-W, MANY = 3, 8
-MIN_WORDS = 8
-#: Words on either side that a word which starts a line has the least hash of.
-RADIUS = 2
-#: Letters of scripts that put no blanks between words; each has three bytes or more.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-#: Put behind each word and split at, which is faster than looking behind every character.
-MARK = "\x01"
-BLANKS = " \t\r\n"
+#: Lines of a run, and of one that is too short for that.
+W, MANY = 4, 8
+#: Bytes of a run of W lines, about eight words.
+LEAST = 40
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once for a row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _ranges(step: int, width: int, *spans: tuple[int, int]) -> str:
+    return "".join(f"\\u{a:04x}-\\u{a + width - 1:04x}" for low, high in spans for a in range(low, high, step))
 
 
-def _words(text: Column) -> Column:
-    """The words with the white space behind them, so that they join to the text again."""
-    plain = ~F.contains(text, F.lit(MARK)) & ((F.octet_length(text) - F.char_length(text) < 2) | ~F.rlike(text, F.lit(UNSPACED)))
-    marked = F.replace(F.replace(text, F.lit(" "), F.lit(" " + MARK)), F.lit("\n"), F.lit("\n" + MARK))
-    return F.when(plain, F.split(marked, MARK)).otherwise(F.split(text, f"(?<=[ \n])|(?<={UNSPACED})"))
+#: The halves of ASCII that a word ends with before a line's end, and that the next one begins with, by the code's two last bits.
+ENDS, BEGINS = ("".join(f"\\x{c:02x}" for c in range(33, 127) if c % 4 in rest) for rest in ((0, 1), (1, 2)))
+#: Beyond Latin, first letters alone decide: four of sixteen of other alphabets (Greek to Arabic) and a quarter of every 128
+#: code points of the scripts from there to Hangul.
+OTHERS = _ranges(16, 4, (0x370, 0x700)) + _ranges(0x80, 0x20, (0x700, 0xE00), (0x10A0, 0x1780), (0x1800, 0x2000), (0xAC00, 0xD7A0))
+#: Letters that begin a line wherever they stand, as their scripts put no blanks between words: Thai to Burmese, Khmer, Kana, Han.
+UNSPACED = _ranges(0x30, 12, (0xE00, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100)) + _ranges(0x100, 0x40, (0x3400, 0xA000))
+LATIN_CUT = rf"(?<=[ \n])(?:(?<=[{ENDS}] )(?=[{BEGINS}])|(?<=\n)(?!\n))"
+CUT = rf"{LATIN_CUT}|(?<= )(?=[{OTHERS}])|(?<=[^\n])(?=[{UNSPACED}])"
+BLANKS = " \t\r\n"
 
 
-def _starts(t: Column, h: Column, i: Column) -> Column:
-    """Whether word i begins a line."""
-    own = F.get(h, i)
-    least = own < F.get(h, i - 1)
-    for j in range(1, RADIUS + 1):
-        least = least & (own <= F.get(h, i + j)) & (own < F.get(h, i - j) if j > 1 else F.lit(True))
-    return (F.endswith(F.get(t, i - 1), F.lit("\n")) | least) & (F.btrim(F.get(t, i), F.lit(BLANKS)) != "")
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def lines_of(text: Column) -> Column:
     """The lines with the white space that ends them, so that they join to the text again."""
-
-    def cut(t: Column) -> Column:
-        return _let(F.transform(t, lambda x: F.xxhash64(F.btrim(x, F.lit(BLANKS)))), lambda h: joined(t, h))
-
-    def joined(t: Column, h: Column) -> Column:
-        return _let(F.transform(t, lambda x, i: F.when(_starts(t, h, i), 1).otherwise(0)), lambda s: grouped(t, s))
-
-    def grouped(t: Column, s: Column) -> Column:
-        # A mark before each first word; texts that hold the mark themselves are put together word by word.
-        marked = F.split(F.array_join(F.zip_with(t, s, lambda x, b: F.when(b == 1, F.concat(F.lit(MARK), x)).otherwise(x)), ""), MARK)
-        at = F.concat(F.array(F.lit(0)), F.array_compact(F.transform(s, lambda b, i: F.when(b == 1, i))), F.array(F.size(t)))
-        slow = _let(at, lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda j: F.array_join(F.slice(t, F.get(a, j - 1) + 1, F.get(a, j) - F.get(a, j - 1)), "")))
-        return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(marked)
-
-    return _let(_words(text), cut)
-
-
-def words_of(line: Column) -> Column:
-    """Words of a line without white space around it, MIN_WORDS at most being of interest."""
-    blanks = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
-    letters = F.when(F.octet_length(line) - F.char_length(line) >= 2 * (MIN_WORDS // W), F.regexp_count(line, F.lit(UNSPACED))).otherwise(0)
-    return F.when(line == "", 0).otherwise(F.greatest(blanks + 1, blanks + letters))
+    beyond_latin = (F.octet_length(text) - F.char_length(text) >= 2) & F.rlike(text, F.lit(r"[\u0250-\uffff]"))
+    return F.when(beyond_latin, F.split(text, CUT)).otherwise(F.split(text, LATIN_CUT))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, h, w): hashes and word counts of each document's lines; ``twin``: 0, or the text's hash where texts share an id."""
+    """(doc_id, twin, h, n): hashes and bytes of each document's lines; ``twin``: 0, or the text's hash where texts share an id."""
+    # A line that ends with a blank alone is trimmed in less time.
+    trimmed = lambda x: F.when(x.endswith("\n"), F.btrim(x, F.lit(BLANKS))).otherwise(F.rtrim(x))
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), lines_of(F.col("text")).alias("v"))
-    rows = rows.filter(F.size("v") >= W).withColumn("v", F.transform("v", lambda u: F.btrim(u, F.lit(BLANKS))))
-    made = materialize(rows.select("doc_id", "digest", F.transform("v", lambda x: F.xxhash64(x)).alias("h"), F.transform("v", words_of).alias("w")))
-    shared = made.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    rows = rows.select("doc_id", "digest", F.transform("v", lambda x: F.xxhash64(trimmed(x))).alias("h"), F.transform("v", lambda x: F.octet_length(x)).alias("n"))
+    made = materialize(rows).filter(F.size("h") >= W)
+    shared = made.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
     if shared.isEmpty():
-        return made.select("doc_id", F.lit(0).cast("long").alias("twin"), "h", "w")
+        return made.select("doc_id", F.lit(0).cast("long").alias("twin"), "h", "n")
     shared = materialize(shared.withColumn("some", F.lit(True)))
-    named = made.join(shared, "doc_id", "left").select("doc_id", F.when(F.col("some"), F.col("digest")).otherwise(0).alias("twin"), "h", "w")
+    named = made.join(shared, "doc_id", "left").select("doc_id", F.when(F.col("some"), F.col("digest")).otherwise(0).alias("twin"), "h", "n")
     return materialize(named.dropDuplicates(["doc_id", "twin"]))
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, twin, fp, pos): the least of each W = 3 line hashes in a row, the rightmost among equals, with its position."""
+    """(doc_id, twin, fp, pos): the least of each W line hashes in a row, the rightmost among equals, with its position."""
     h = F.col("h")
 
-    def chosen(x: Column, i: Column) -> Column:
-        left, right = x <= F.get(h, i - 1), x < F.get(h, i + 1)
-        ends, holds, begins = left & (x <= F.get(h, i - 2)), left & right, right & (x < F.get(h, i + 2))
-        return F.when(ends | holds | begins, x)
+    def reach(i: Column, before: bool, x: Column) -> Column:
+        """How many neighbours in a row, W - 1 at most, leave x the choice."""
+        n = F.lit(W - 1)
+        for j in range(W - 1, 0, -1):
+            n = F.when(F.get(h, i - j) >= x if before else F.get(h, i + j) > x, n).otherwise(F.lit(j - 1))
+        return n
 
+    chosen = lambda x, i: F.when(reach(i, True, x) + reach(i, False, x) >= W - 1, x)
     return lines.select("doc_id", "twin", F.posexplode(F.transform(h, chosen)).alias("pos", "fp")).filter("fp is not null")
 
 
@@ -123,14 +101,14 @@ def runs(lines: DataFrame) -> DataFrame:
     last = F.size("h") - W
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - W + 1), F.least(p, last)))))
     some = lambda n, i: F.xxhash64(F.lit(n), *(F.get("h", i + j) for j in range(n)))
-    enough = lambda i: sum((F.get("w", i + j) for j in range(1, W)), F.get("w", i)) >= MIN_WORDS
+    enough = lambda i: sum((F.get("bytes", i + j) for j in range(1, W)), F.get("bytes", i)) >= LEAST
 
     def run(i: Column) -> Column:
         return F.when(enough(i), F.struct(some(W, i).alias("run"), i.alias("pos"), F.lit(W).alias("n"))).when(
             i + MANY <= F.size("h"), F.struct(some(MANY, i).alias("run"), i.alias("pos"), F.lit(MANY).alias("n"))
         )
 
-    return hits.join(lines, ["doc_id", "twin"]).select("doc_id", "twin", F.inline(F.array_compact(F.transform(starts, run)))).select("run", "doc_id", "twin", "pos", "n")
+    return hits.join(lines.withColumnRenamed("n", "bytes"), ["doc_id", "twin"]).select("doc_id", "twin", F.inline(F.array_compact(F.transform(starts, run)))).select("run", "doc_id", "twin", "pos", "n")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
