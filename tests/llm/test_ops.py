@@ -409,8 +409,8 @@ def brute_runs(docs, lines):
     for _, text in docs:
         cut = lines[text]
         key, gone = [u.strip(op7.BLANKS) for u in cut], set()
-        for i in range(len(key) - op7.W + 1):
-            n = op7.W if sum(len(u.encode()) for u in cut[i : i + op7.W]) >= op7.LEAST else op7.MANY
+        for i in range(len(key) - op7.RUN + 1):
+            n = op7.RUN if sum(len(u.encode()) for u in cut[i : i + op7.RUN]) >= op7.LEAST else op7.MANY
             if i + n <= len(key):
                 run = (n, *key[i : i + n])
                 if run in seen:

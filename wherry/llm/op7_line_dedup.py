@@ -5,18 +5,18 @@ next begins with letters of two fixed halves of the alphabet, which is so for ab
 words are cut alike wherever they stand, so a passage in the midst of a long line has lines of its own. Words end at blanks; a letter of a script without
 blanks is a word; blank lines belong to the line before them, and white space around a line does not count.
 
-Of every ``W`` line hashes in a row the least is selected, the rightmost among equals: these are the
-fingerprints, and two places that have the same W lines have the same one. Fingerprints that occur once are
-left; the others' positions are joined and extended both ways to the W runs of W lines that hold them. Each
-run is joined with its first occurrence (least doc_id, then position), never with all others, and the lines of
-all later ones are deleted. Runs are compared with one another, whatever document they come from, so a run that
-a first document holds in part only is still found in the second.
-
-Guarantee: exactly those lines go that lie in a run of W lines, of ``LEAST`` bytes or more together, that
-stands earlier; where W lines are shorter, in a run of ``MANY`` lines. A deleted line equals one that
+``K`` lines in a row have one hash. Of every ``W`` such hashes in a row the least is selected, the rightmost among
+equals: these are the fingerprints, and two places that have the same ``RUN`` = W + K - 1 lines have the same one.
+Fingerprints that occur once are left; the others' positions are joined and extended both ways to the W runs of RUN
+lines that hold them. Each run is joined with its first occurrence (least doc_id, then position), never with all
+others, and the lines of all later ones are deleted. Runs are compared with one another, whatever document they come
+from, so a run that a first document holds in part only is still found in the second.
+
+Guarantee: exactly those lines go that lie in a run of RUN lines, of ``LEAST`` bytes or more together, that
+stands earlier; where RUN lines are shorter, in a run of ``MANY`` lines. A deleted line equals one that
 stands earlier, so the first copy of every line stays.
 
-Defined cases: null text stays null and has no lines; texts of fewer than W lines lose nothing; rows without
+Defined cases: null text stays null and has no lines; texts of fewer than RUN lines lose nothing; rows without
 an id are passed on as they are; rows that repeat an id and text are one document and are cut alike; rows that
 repeat an id with other texts are documents of their own, in the order of their texts' hashes; documents that
 lose nothing keep their text to the byte; other columns are passed on by ``dedup_documents``, whatever their
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from wherry.llm.common import materialize, table
 
+K, W = 2, 3
 #: Lines of a run, and of one that is too short for that.
-W, MANY = 4, 8
-#: Bytes of a run of W lines, about eight words.
+RUN, MANY = W + K - 1, 8
+#: Bytes of a run of RUN lines, about eight words.
 LEAST = 40
 
 
@@ -69,7 +70,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     trimmed = lambda x: F.when(x.endswith("\n"), F.btrim(x, F.lit(BLANKS))).otherwise(F.rtrim(x))
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), lines_of(F.col("text")).alias("v"))
     rows = rows.select("doc_id", "digest", F.transform("v", lambda x: F.xxhash64(trimmed(x))).alias("h"), F.transform("v", lambda x: F.octet_length(x)).alias("n"))
-    made = materialize(rows).filter(F.size("h") >= W)
+    made = materialize(rows).filter(F.size("h") >= RUN)
     shared = made.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
     if shared.isEmpty():
         return made.select("doc_id", F.lit(0).cast("long").alias("twin"), "h", "n")
@@ -79,8 +80,11 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, twin, fp, pos): the least of each W line hashes in a row, the rightmost among equals, with its position."""
-    h = F.col("h")
+    """(doc_id, twin, fp, pos): the least of each W hashes of K = 2 lines in a row, the rightmost among equals, with its position."""
+    n = F.size("h") - 1
+    grams = F.zip_with(F.slice("h", F.lit(1), n), F.slice("h", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    lines = lines.select("doc_id", "twin", grams.alias("g"))
+    h = F.col("g")
 
     def reach(i: Column, before: bool, x: Column) -> Column:
         """How many neighbours in a row, W - 1 at most, leave x the choice."""
@@ -90,7 +94,7 @@ def fingerprints(lines: DataFrame) -> DataFrame:
         return n
 
     chosen = lambda x, i: F.when(reach(i, True, x) + reach(i, False, x) >= W - 1, x)
-    return lines.select("doc_id", "twin", F.posexplode(F.transform(h, chosen)).alias("pos", "fp")).filter("fp is not null")
+    return lines.select("doc_id", "twin", F.posexplode(F.transform("g", chosen)).alias("pos", "fp")).filter("fp is not null")
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -98,13 +102,13 @@ def runs(lines: DataFrame) -> DataFrame:
     found = fingerprints(lines)
     again = found.groupBy("fp").agg(F.count("*").alias("times")).filter("times > 1").select("fp")
     hits = found.join(again.hint("shuffle_hash"), "fp").groupBy("doc_id", "twin").agg(F.collect_list("pos").alias("hits"))
-    last = F.size("h") - W
+    last = F.size("h") - RUN
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - W + 1), F.least(p, last)))))
     some = lambda n, i: F.xxhash64(F.lit(n), *(F.get("h", i + j) for j in range(n)))
-    enough = lambda i: sum((F.get("bytes", i + j) for j in range(1, W)), F.get("bytes", i)) >= LEAST
+    enough = lambda i: sum((F.get("bytes", i + j) for j in range(1, RUN)), F.get("bytes", i)) >= LEAST
 
     def run(i: Column) -> Column:
-        return F.when(enough(i), F.struct(some(W, i).alias("run"), i.alias("pos"), F.lit(W).alias("n"))).when(
+        return F.when(enough(i), F.struct(some(RUN, i).alias("run"), i.alias("pos"), F.lit(RUN).alias("n"))).when(
             i + MANY <= F.size("h"), F.struct(some(MANY, i).alias("run"), i.alias("pos"), F.lit(MANY).alias("n"))
         )
 
