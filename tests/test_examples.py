@@ -208,6 +208,80 @@ def test_fnv_values(spark):
     assert one(spark, v.fnv1a32(F.lit("foobar"))) == 0xBF9CF968
 
 
+@pytest.mark.parametrize(
+    ("scores", "want"),
+    [([0.9, 0.5], ["high", "low"]), ([0.86, 0.77], ["high", "medium"]), ([0.86, 0.80], ["medium", "medium"]), ([0.9], ["high"]), ([0.0, -1.0], ["low", "low"]), ([0.7, 0.1], ["medium", "low"])],
+)
+def test_confidence(spark, scores, want):
+    df = spark.createDataFrame([(0, s, i + 1) for i, s in enumerate(scores)], "query_id long, score double, rank int")
+    assert [r["confidence"] for r in rank.assign_confidence(df).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize(("place", "scores", "want"), [(1, [1.0, 0.7, 0.6, 0.9], 3), (2, [1.0, 0.9], 1), (1, [1.0, 0.5, 0.9], 2), (1, [-1.0, -2.0, -9.0, -9.0], 3), (1, [0.0], 1)])
+def test_shown_windows(spark, place, scores, want):
+    df = spark.createDataFrame([(0, 1, place, 5 * i + 1, 500, s) for i, s in enumerate(scores)], "query_id long, id long, rank int, start int, lines int, score double")
+    assert pack.select_spans(df).count() == want
+
+
+def test_budget_edges(spark):
+    gold = spark.createDataFrame([(0, "a", 1, 100), (1, "a", 1, 90_000), (2, "a", 1, 3)], "query_id long, file string, start int, end int")
+    shown = spark.createDataFrame([(0, 1, "a", 1, 5), (2, 1, "a", 1, 3)], "query_id long, rank int, file string, start int, end int")
+    got = {r["query_id"]: r["ndcg_b"] for r in metrics.budget_ndcg(shown, gold, 10).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 1.0}
+    assert metrics.clipped(gold).filter("end = 5001").count() == 1
+    assert {r["query_id"]: r["hit_region"] for r in metrics.hit_region(shown, gold).collect()} == {0: 1.0, 1: 0.0, 2: 1.0}
+
+
+@pytest.mark.parametrize(
+    ("doc", "want"),
+    [("// Foo reads. It ends.", "Foo reads."), ("/** A\n * b\n\nc. d", "A b"), ('"""Text of one. Two', "Text of one."), ("é" * 200, "é" * 110), ("", ""), ("v1.2 is out", "v1.2 is out")],
+)
+def test_first_sentences(spark, doc, want):
+    assert one(spark, t.first_sentence(F.lit(doc))) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"), [("fix(db): keep pages (#3)", "keep pages"), ("pkg/kv: do it", "do it"), ("feat! #12 add x", "add x"), ("Big change: a b", "Big change: a b"), ("docs: see: that", "that")]
+)
+def test_subjects(spark, raw, want):
+    assert one(spark, t.clean_subject(F.lit(raw))) == want
+
+
+def test_spans_of_text(spark):
+    assert [tuple(r) for r in one(spark, t.parse_spans(F.lit("3-9, 14 - 20,7,x-1,9-3")))] == [(3, 9), (14, 20), (9, 3)]
+    assert one(spark, t.parse_span(F.lit("120-380"))) == (120, 380)
+    assert one(spark, t.parse_span(F.lit("9-3"))) is None and one(spark, t.parse_span(F.lit("7"))) is None
+
+
+def test_redaction_keeps_empty(spark):
+    assert one(spark, t.redact(F.lit(""))) == "" and one(spark, t.redact(F.lit("a"))) == "h:ca978112ca1b"
+
+
+@pytest.mark.parametrize(("path", "name", "want"), [("a/b.go", "p.Foo", "public"), ("a/b.go", "p.foo", "internal"), ("x.test.ts", "F", "internal"), ("x.js", "f", "public"), ("x.py", "_f", "public")])
+def test_visible(spark, path, name, want):
+    assert one(spark, rank.visibility(F.lit(name), F.lit(path))) == want
+
+
+def test_nested_first(spark):
+    rows = [(0, 1, 1, "a", 1, 50), (0, 2, 2, "b", 1, 9), (0, 3, 3, "a", 10, 20), (0, 4, 4, "a", 1, 50)]
+    df = spark.createDataFrame(rows, "query_id long, id long, rank int, file string, start int, end int")
+    assert [r["id"] for r in rank.prefer_nested(df).orderBy("rank").collect()] == [3, 2, 1, 4]
+
+
+def test_walk_without_known_seed(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    g = graph.build(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), nodes)
+    seeds = spark.createDataFrame([(0, 9, 1.0), (1, 1, 0.0)], "query_id long, id long, weight double")
+    got = graph.personalized_pagerank(g, nodes, seeds).collect()
+    assert len(got) == 6 and sum(r["score"] for r in got) == pytest.approx(2)
+
+
+def test_grep(spark):
+    texts = spark.createDataFrame([("a", "xread_filey"), ("b", "read file"), ("c", None)], "file string, text string")
+    needles = spark.createDataFrame([(0, "read_file"), (1, "read"), (2, ""), (3, "zz")], "query_id long, needle string")
+    assert sorted((r["query_id"], r["file"]) for r in readers.grep_files(needles, texts).collect()) == [(0, "a"), (1, "a"), (1, "b")]
+
+
 def test_merge_spans_touching(spark):
     df = spark.createDataFrame([(0, 1, 5), (0, 5, 9), (0, 11, 12)], "id long, start int, end int")
     assert [(r["start"], r["end"]) for r in pack.merge_spans(df, ["id"]).orderBy("start").collect()] == [(1, 9), (11, 12)]

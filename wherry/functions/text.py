@@ -160,25 +160,63 @@ def file_ext(c: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring_index(c, "/", -1), r"\.([^.]*)$", 1))
 
 
+def cut_bytes(c: Column, n: int) -> Column:
+    """The first n bytes of a text; a character that the cut would split goes whole."""
+    raw = c.cast("binary")
+    inside = lambda k: F.left(F.hex(F.substring(raw, k + 1, 1)), F.lit(1)).isin("8", "9", "A", "B")
+    size = F.when(~inside(n), n).when(~inside(n - 1), n - 1).when(~inside(n - 2), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.decode(F.substring(raw, F.lit(1), size), "utf-8"))
+
+
+# Tokens of comment syntax that are no words of a sentence, and the marks that are cut from the others.
+COMMENT_TOKENS = ("//", "///", "/*", "/**", "*", "*/", '"""', "'''", "#")
+SENTENCE_BYTES = 220
+
+
 def first_sentence(c: Column) -> Column:
-    """Text up to the first sentence end that white space or the end follows."""
-    t = F.btrim(F.coalesce(c, F.lit("")))
-    s = F.regexp_extract(t, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
-    return F.when(s == "", t).otherwise(s)
+    """The first sentence of the first paragraph without comment syntax: up to the first stop that a blank follows, 220 bytes at most."""
+    t = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    at = F.instr(t, "\n\n")
+    paragraph = F.when(at > 1, F.left(t, at - 1)).otherwise(t)
+    fields = F.filter(F.split(paragraph, r"\s+"), lambda f: ~f.isin("", *COMMENT_TOKENS))
+    words = F.array_join(F.transform(fields, lambda f: F.regexp_replace(F.regexp_replace(f, '^"""', ""), "^'''", "")), " ")
+    stop = F.instr(words, ". ")
+    return cut_bytes(F.when(stop > 1, F.left(words, stop)).otherwise(words), SENTENCE_BYTES)
+
+
+def strip_leading_name(sentence: Column, name: Column) -> Column:
+    """A sentence without the symbol's own name in front, whatever its case; a lone name stays."""
+    fields = F.filter(F.split(sentence, r"\s+"), lambda f: f != "")
+    leads = (F.size(fields) > 1) & (F.lower(F.get(fields, F.lit(0))) == F.lower(name))
+    return F.when(leads, F.array_join(F.slice(fields, F.lit(2), F.size(fields)), " ")).otherwise(sentence)
 
 
 def clean_subject(c: Column) -> Column:
-    """A commit subject without its conventional prefix and trailing issue number."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"^[a-z]+(\([^)]*\))?!?:\s*", ""), r"\s*\(#\d+\)\s*$", ""))
+    """A commit subject without its conventional prefix, its issue numbers and a path in front."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^[a-z]+(\([^)]*\))?[:!]\s*", ""), r"\(?#\d+\)?", "")
+    at = F.instr(bare, ": ")
+    path = (at > 1) & ~F.contains(F.left(bare, at - 1), F.lit(" "))
+    return F.btrim(F.when(path, F.substring(bare, at + 2, F.char_length(bare))).otherwise(bare), F.lit(" \t\n\x0b\f\r"))
+
+
+def is_compound(subject: Column) -> Column:
+    """Whether a subject bundles several changes: two commas, a plus sign between blanks, or a semicolon."""
+    return (F.regexp_count(subject, F.lit(",")) >= 2) | F.contains(subject, F.lit(" + ")) | F.contains(subject, F.lit(";"))
+
+
+_SPAN = r"^\s*(\+?\d+)\s*-\s*([+-]?\d+)\s*$"
+
+
+def parse_spans(c: Column) -> Column:
+    """Array of (start, end) of the ranges in a list like 3-9,14-20; what is no range is left out."""
+    parts = F.filter(F.split(c, ","), lambda p: p.rlike(_SPAN))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, _SPAN, 1).cast("int").alias("start"), F.regexp_extract(p, _SPAN, 2).cast("int").alias("end")))
 
 
 def parse_span(c: Column) -> Column:
-    """Array of (start, end) of a list like 3-9,14-20; a single number is both."""
-    parts = F.filter(F.split(c, ","), lambda p: p.rlike(r"^\s*\d+(-\d+)?\s*$"))
-    return F.transform(
-        parts,
-        lambda p: F.struct(F.regexp_extract(p, r"(\d+)", 1).cast("int").alias("start"), F.regexp_extract(p, r"(\d+)\s*$", 1).cast("int").alias("end")),
-    )
+    """(start, end) of one range that does not run backwards, else null."""
+    start, end = (F.try_to_number(F.nullif(F.regexp_extract(c, _SPAN, k), F.lit("")), F.lit("S999999999")).cast("int") for k in (1, 2))
+    return F.when(c.rlike(_SPAN) & (start <= end), F.struct(start.alias("start"), end.alias("end")))
 
 
 def sha256_hex(c: Column) -> Column:
@@ -186,5 +224,5 @@ def sha256_hex(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """A repeatable stand-in for a text, so that joins survive redaction."""
-    return F.concat(F.lit("h:"), F.left(sha256_hex(c), F.lit(12)))
+    """A repeatable stand-in for a text, so that joins survive redaction; an empty text stays empty."""
+    return F.when(c == "", c).otherwise(F.concat(F.lit("h:"), F.left(sha256_hex(c), F.lit(12))))

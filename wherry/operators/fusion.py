@@ -53,10 +53,15 @@ def blend(candidates: DataFrame, alpha: Column) -> DataFrame:
 
 
 def protect_top_seed(ranked: DataFrame, top_seed: DataFrame) -> DataFrame:
-    """Move each query's top vector seed (query_id, id) to the head; the list keeps its length."""
-    marked = ranked.join(top_seed.select("query_id", "id", F.lit(0).alias("_head")), ["query_id", "id"], "left")
-    order = marked.withColumn("rank", F.row_number().over(by_query(F.coalesce("_head", F.lit(1)), "rank")))
-    return order.drop("_head")
+    """(query_id, id, rank) with each query's top vector seed (query_id, id) at the head, put in where it was missing.
+
+    The list keeps its length: a seed that was not in it takes the last one's place. Queries without rows get none.
+    """
+    sizes = ranked.groupBy("query_id").agg(F.count("*").alias("_size"))
+    head = top_seed.select("query_id", "id", F.lit(0).alias("rank"))
+    rest = ranked.select("query_id", "id", "rank").join(head.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    placed = head.unionByName(rest.withColumn("rank", F.col("rank").cast("int"))).withColumn("_n", F.row_number().over(by_query("rank", "id")))
+    return placed.join(sizes, "query_id").filter(F.col("_n") <= F.col("_size")).select("query_id", "id", F.col("_n").alias("rank"))
 
 
 def append_missing(pool: DataFrame, extra: DataFrame, limit: int, why: str) -> DataFrame:
@@ -68,16 +73,21 @@ def append_missing(pool: DataFrame, extra: DataFrame, limit: int, why: str) -> D
     return pool.select("query_id", "id", "rank", F.lit("pool").alias("why")).unionByName(added)
 
 
-def append_top_seeds(pool: DataFrame, seeds: DataFrame, unconditional: int = 12, overlap: float = 0.25) -> DataFrame:
-    """Missing vector seeds (query_id, id, rank, name_overlap): the first ones always, the rest with enough overlap."""
-    return append_missing(pool, seeds.filter((F.col("rank") <= unconditional) | (F.col("name_overlap") >= overlap)), 1 << 30, "vector_seed")
+def append_top_seeds(pool: DataFrame, seeds: DataFrame, protect: int = 20, unconditional: int = 12, overlap: float = 0.25) -> DataFrame:
+    """Missing ones of the first ``protect`` vector seeds (query_id, id, rank, name_overlap): the first ones always, the rest with enough overlap."""
+    wanted = seeds.filter((F.col("rank") <= protect) & ((F.col("rank") <= unconditional) | (F.col("name_overlap") >= overlap)))
+    return append_missing(pool, wanted, protect, "vector_seed")
 
 
-def append_anchor_neighbours(pool: DataFrame, edges: DataFrame, ppr: DataFrame, limit: int, agreement: int = 2) -> DataFrame:
-    """Neighbours that at least ``agreement`` pool members share, by agreement, then walk score, then id."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()
-    hits = pool.join(both, "id").groupBy("query_id", F.col("other").alias("id")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= agreement)
-    ranked = hits.join(ppr, ["query_id", "id"], "left").withColumn("rank", F.row_number().over(by_query(F.desc("hits"), F.desc(F.coalesce("ppr_score", F.lit(0.0))), "id")))
+def append_anchor_neighbours(pool: DataFrame, anchors: DataFrame, graph: DataFrame, walked: DataFrame, limit: int, agreement: int = 2) -> DataFrame:
+    """Neighbours that the pool lacks of a query's anchors (query_id, id), by the number of edges from them, walk score and id.
+
+    ``graph``: a, b, both directions of every edge, parallel ones as they are; ``walked``: query_id, id, ppr_score. Anchors
+    themselves are none; a neighbour needs ``agreement`` edges.
+    """
+    hits = anchors.select("query_id", F.col("id").alias("a")).join(graph, "a").groupBy("query_id", F.col("b").alias("id")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= agreement)
+    new = hits.join(anchors.select("query_id", "id"), ["query_id", "id"], "left_anti").join(walked.select("query_id", "id", "ppr_score"), ["query_id", "id"], "left")
+    ranked = new.withColumn("rank", F.row_number().over(by_query(F.desc("hits"), F.desc(F.coalesce("ppr_score", F.lit(0.0))), "id")))
     return append_missing(pool, ranked, limit, "anchor")
 
 

@@ -96,14 +96,21 @@ def same_symbol(a: Column, b: Column) -> Column:
 
 
 def linked_tests(symbols: DataFrame, tests: DataFrame, limit: int = 3) -> DataFrame:
-    """(id, test_id, n): tests whose short name holds a symbol's or is held by it.
+    """(id, test_id, n): the first tests whose short name holds a symbol's, whatever their case, or is held by it.
 
-    Names are matched by their lowered word pieces first, so the containment test sees pairs with a piece in common only.
+    Every name is keyed by all its substrings that are as long as some name of the other side, so containment is an
+    equi-join; what is exploded is bounded by a name's length times the number of different lengths.
     """
-    pieces = lambda c: F.array_distinct(F.transform(F.split(c, r"_|(?<=[a-z0-9])(?=[A-Z])"), lambda x: F.lower(x)))
-    s = symbols.select("id", "name").withColumn("piece", F.explode(pieces(F.col("name"))))
-    t = tests.select(F.col("id").alias("test_id"), F.col("name").alias("test_name")).withColumn("piece", F.explode(pieces(F.col("test_name"))))
-    hit = s.join(t, "piece").filter(F.contains(F.lower("test_name"), F.lower("name")) | F.contains(F.lower("name"), F.lower("test_name"))).select("id", "test_id").distinct()
+    s = symbols.select("id", F.lower(short_name(F.col("name"))).alias("name")).filter("name != ''")
+    t = tests.select(F.col("id").alias("test_id"), F.lower(short_name(F.col("name"))).alias("test_name")).filter("test_name != ''")
+
+    def within(inner: DataFrame, inner_name: str, outer: DataFrame, outer_name: str, inner_id: str, outer_id: str) -> DataFrame:
+        sizes = inner.agg(F.collect_set(F.char_length(inner_name)).alias("sizes"))  # lengths of names: a few dozen numbers
+        keyed = outer.crossJoin(F.broadcast(sizes)).select(outer_id, outer_name, F.explode(F.filter("sizes", lambda k: k <= F.char_length(outer_name))).alias("k"))
+        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(outer_name) - F.col("k") + 1), lambda i: F.substring(F.col(outer_name), i, F.col("k"))))
+        return keyed.select(outer_id, F.explode(parts).alias(inner_name)).join(inner, inner_name).select("id", "test_id")
+
+    hit = within(s, "name", t, "test_name", "id", "test_id").union(within(t, "test_name", s, "name", "test_id", "id")).distinct()
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("test_id"))).filter(F.col("n") <= limit)
 
 

@@ -123,16 +123,37 @@ def explore_metrics(shown: DataFrame, gold_regions: DataFrame, gold_files: DataF
     )
 
 
+LONGEST_REGION = 5000
+
+
+def clipped(regions: DataFrame) -> DataFrame:
+    """Regions (start, end) of LONGEST_REGION lines and one at most, so that one whole file does not drown the rest."""
+    return regions.withColumn("end", F.least("end", F.col("start") + LONGEST_REGION))
+
+
 def budget_ndcg(shown: DataFrame, gold_regions: DataFrame, budget: int) -> DataFrame:
-    """(query_id, ndcg_b): first-cover gains of the prefix over the gold regions, largest first, while they fit."""
-    gold = line_set(gold_regions, ["query_id"])
+    """(query_id, ndcg_b) of every query with a gold region: first-cover gains of the prefix over those of the regions themselves.
+
+    The ideal takes the regions, largest first, until one does not fit the budget; 0 where none fits. ``shown`` is the prefix.
+    """
+    regions = clipped(gold_regions)
+    gold = line_set(regions.filter("start <= end"), ["query_id"])
     lines = shown.select("query_id", "rank", "file", F.explode(F.sequence("start", "end")).alias("line")).join(gold, ["query_id", "file", "line"], "left_semi")
     first = lines.groupBy("query_id", "file", "line").agg(F.min("rank").alias("rank"))
     dcg = first.groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "file", "start")
-    sized = gold_regions.withColumn("n", F.col("end") - F.col("start") + 1).filter("n > 0").withColumn("i", F.row_number().over(w)).withColumn("spent", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ideal = sized.filter(F.col("spent") <= budget).groupBy("query_id").agg(F.sum(F.col("n") / F.log2(F.col("i") + 1)).alias("ideal"))
-    return ideal.join(dcg, "query_id", "left").select("query_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg_b"))
+    sized = regions.withColumn("n", F.col("end") - F.col("start") + 1).filter("n > 0").withColumn("i", F.row_number().over(w)).withColumn("spent", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ideal = sized.filter(F.lit(budget <= 0) | (F.col("spent") <= budget)).groupBy("query_id").agg(F.sum(F.col("n") / F.log2(F.col("i") + 1)).alias("ideal"))
+    every = gold_regions.select("query_id").distinct().join(ideal, "query_id", "left").join(dcg, "query_id", "left")
+    return every.select("query_id", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg_b"))
+
+
+def hit_region(shown: DataFrame, gold_regions: DataFrame) -> DataFrame:
+    """(query_id, hit_region): share of a query's gold regions that a shown span overlaps; regions and spans: file, start, end."""
+    r = clipped(gold_regions).withColumn("region", F.row_number().over(Window.partitionBy("query_id").orderBy("file", "start", "end")))
+    on = (F.col("r.query_id") == F.col("s.query_id")) & (F.col("r.file") == F.col("s.file")) & (F.col("r.start") <= F.col("s.end")) & (F.col("s.start") <= F.col("r.end"))
+    seen = r.alias("r").join(shown.alias("s"), on, "left_semi").groupBy("query_id").agg(F.count("*").alias("seen"))
+    return r.groupBy("query_id").agg(F.count("*").alias("n")).join(seen, "query_id", "left").select("query_id", (F.coalesce("seen", F.lit(0)) / F.col("n")).alias("hit_region"))
 
 
 def run_diff(base: DataFrame, now: DataFrame, noise: float = 0.02) -> DataFrame:
@@ -188,6 +209,14 @@ def hard_negatives(ranked: DataFrame, relevant: DataFrame, k: int = 8) -> DataFr
     return ranked.join(relevant, ["query_id", "id"], "left_anti").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query_id", "id", "n")
 
 
+def training_rows(negatives: DataFrame, relevant: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, positives, negatives): the first relevant ids in id order and the mined negatives in rank order; queries without either are skipped."""
+    placed = relevant.distinct().withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("k") <= most)
+    good = placed.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("positives"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda s: s["id"])
+    return good.join(negatives.groupBy("query_id").agg(ordered.alias("negatives")), "query_id")
+
+
 def holdout(key: Column, percent: int) -> Column:
     """Whether a key falls into the held-out part, by FNV-1a modulo 100."""
     from wherry.functions.vec import fnv1a32

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherry.functions.text import estimate_tokens, first_line
+from wherry.functions.text import cut_bytes, estimate_tokens, first_line, identifier_words
 
 FULL_BODIES = 6
 WINDOW_LINES, WINDOW_STRIDE, MAX_WINDOWS, LONG_BODY = 10, 5, 64, 24
 CHUNK_LINES, CHUNK_OVERLAP, MAX_CHUNKS, CHUNK_BYTES = 40, 10, 48, 4000
-GAP = "\n...\n"
+# Fixed value: the line that stands between windows of a body.
+GAP = "\n// ...\n"
 
 
 def pack(ranked: DataFrame, budget: int, cost: Column) -> DataFrame:
@@ -20,9 +21,16 @@ def pack(ranked: DataFrame, budget: int, cost: Column) -> DataFrame:
     return rows.withColumn("running", run).filter(F.col("running") <= budget)
 
 
+def compact_body(body: Column, signature: Column, docstring: Column) -> Column:
+    """The signature, or the body's first line where there is none, and the first line of the documentation as a comment."""
+    head = F.when(F.coalesce(signature, F.lit("")) != "", signature).otherwise(F.when(F.instr(body, "\n") > 1, first_line(body)).otherwise(body))
+    doc = first_line(F.coalesce(docstring, F.lit("")))
+    return F.when(doc == "", head).otherwise(F.concat(head, F.lit("\n// "), doc))
+
+
 def tiered_body(rank: Column, body: Column, signature: Column, docstring: Column, full: int = FULL_BODIES) -> Column:
-    """Full body for the first results, then the signature and the first line of the documentation."""
-    return F.when(rank <= full, body).otherwise(F.concat_ws("\n", signature, F.when(F.coalesce(docstring, F.lit("")) != "", first_line(docstring))))
+    """The body for the first results, the compact form below."""
+    return F.when(rank <= full, body).otherwise(compact_body(body, signature, docstring))
 
 
 def windows(bodies: DataFrame, id_col: str, body: str) -> DataFrame:
@@ -36,13 +44,34 @@ def windows(bodies: DataFrame, id_col: str, body: str) -> DataFrame:
     return made.select("id", start.alias("start"), F.least(start + WINDOW_LINES - 1, F.col("lines")).alias("end"), "lines")
 
 
+SHORTLIST, TOP_WINDOWS, KEEP_RATIO = 8, 3, 0.6
+
+
+def rank_windows(windows: DataFrame, query_vectors: DataFrame, shortlist: int = SHORTLIST) -> DataFrame:
+    """Windows (query_id, id, start, v) scored by the dot product with their query's vector (query_id, qv).
+
+    Adds score and n, the place among a result's windows (ties by start); windows beyond ``shortlist`` are left out
+    (0: all are kept), which is what a cross-encoder would score anew.
+    """
+    from wherry.functions.vec import dot
+
+    scored = windows.join(query_vectors.select("query_id", "qv"), "query_id").withColumn("score", dot(F.col("qv"), F.col("v"))).drop("qv")
+    placed = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc("score"), "start")))
+    return placed.filter(F.col("n") <= shortlist) if shortlist > 0 else placed
+
+
 def select_spans(scored: DataFrame, context: int = 3) -> DataFrame:
-    """Per (query_id, id): the best window, a runner-up of 0.6 of its score, and a third for rank 1; widened by context lines."""
+    """Spans of the windows that are shown: three at most for a query's first result, one for the others, widened by context lines.
+
+    Beyond the best window the list ends at the first that scores less than 0.6 of it; a best score of zero or less tells
+    nothing and lets all pass.
+    """
     w = Window.partitionBy("query_id", "id")
     ranked = scored.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "start"))).withColumn("best", F.max("score").over(w))
-    keep = F.when(F.col("rank") == 1, 3).otherwise(2)
-    kept = ranked.filter((F.col("n") <= keep) & ((F.col("n") == 1) | (F.col("score") >= 0.6 * F.col("best"))))
-    return kept.select("query_id", "id", F.greatest(F.lit(1), F.col("start") - context).alias("start"), F.least(F.col("end") + context, F.col("lines")).alias("end"))
+    keep = F.when(F.col("rank") == 1, TOP_WINDOWS).otherwise(1)
+    # Scores fall along n, so the windows that pass are a prefix.
+    kept = ranked.filter((F.col("n") <= keep) & ((F.col("n") == 1) | (F.col("best") <= 0) | (F.col("score") >= KEEP_RATIO * F.col("best"))))
+    return kept.select("query_id", "id", F.greatest(F.lit(1), F.col("start") - context).alias("start"), F.least(F.col("start") + WINDOW_LINES - 1 + context, F.col("lines")).alias("end"))
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,55 +89,128 @@ def render_spans(body: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.array_join(F.slice(lines, s["start"], s["end"] - s["start"] + 1), "\n")), GAP)
 
 
-def chunk_lines(docs: DataFrame, id_col: str, body: str) -> DataFrame:
-    """(id, chunk, start, end, text): overlapping chunks of bodies of two lines or more, trimmed and cut to CHUNK_BYTES characters."""
+ELLIPSIS = " ..."
+
+
+def truncated(c: Column, n: int) -> Column:
+    """A field cut to n bytes, with dots where something was cut."""
+    return F.when(F.octet_length(c) > n, F.concat(cut_bytes(c, n), F.lit(ELLIPSIS))).otherwise(c)
+
+
+def text_head(qualified_name: Column, kind: Column, path: Column) -> Column:
+    """``words - kind in words of the path`` and a line feed; parts without words are left out."""
+    name, where = identifier_words(qualified_name), identifier_words(path)
+    return F.concat(F.when(name != "", F.concat(name, F.lit(" - "))).otherwise(""), kind, F.when(where != "", F.concat(F.lit(" in "), where)).otherwise(""), F.lit("\n"))
+
+
+def chunk_lines(docs: DataFrame, id_col: str, body: str, head: Column | None = None) -> DataFrame:
+    """(id, chunk, start, end, text): overlapping windows of bodies of two lines or more, trimmed, cut and put behind a head.
+
+    Blank windows are left out and do not count against MAX_CHUNKS; ``head`` is an expression over ``docs`` (none: no head).
+    """
     step = CHUNK_LINES - CHUNK_OVERLAP
-    rows = docs.select(F.col(id_col).alias("id"), F.split(body, "\n").alias("lines"))
-    rows = rows.filter(F.size("lines") >= 2)
+    rows = docs.select(F.col(id_col).alias("id"), F.split(body, "\n").alias("lines"), (F.lit("") if head is None else head).alias("head")).filter(F.size("lines") >= 2)
     n = F.size("lines")
-    count = F.least(F.lit(MAX_CHUNKS), F.when(n <= CHUNK_LINES, 1).otherwise(F.ceil((n - CHUNK_LINES) / step).cast("int") + 1))
-    made = rows.select("id", "lines", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    start = F.col("chunk") * step + 1
-    return made.select("id", "chunk", start.alias("start"), F.least(start + CHUNK_LINES - 1, n).alias("end"), F.left(F.btrim(F.array_join(F.slice("lines", start, F.lit(CHUNK_LINES)), "\n"), F.lit(" \n\t\r")), F.lit(CHUNK_BYTES)).alias("text"))
-
-
-def cap_body(body: Column, cap: int = 2000, marker: str = "\n... (truncated)") -> Column:
-    """A body cut to a number of characters, with a marker where something was cut."""
-    return F.when(F.char_length(body) > cap, F.concat(F.left(body, F.lit(cap)), F.lit(marker))).otherwise(body)
-
-
-def embedding_text(kind: Column, words: Column, path: Column, doc: Column, neighbours: Column, body: Column) -> Column:
-    """The text that is embedded for a symbol: head, documentation of 500, eight neighbours, body of 1600 characters."""
-    return F.concat_ws(
-        "\n",
-        F.concat_ws(" ", kind, words),
-        F.concat(F.lit("path: "), path),
-        F.when(F.coalesce(doc, F.lit("")) != "", F.left(doc, F.lit(500))),
-        F.when(F.size(neighbours) > 0, F.concat(F.lit("calls: "), F.array_join(F.slice(neighbours, 1, 8), ", "))),
-        F.left(F.coalesce(body, F.lit("")), F.lit(1600)),
-    )
+    count = F.when(n <= CHUNK_LINES, 1).otherwise(F.ceil((n - CHUNK_LINES) / step).cast("int") + 1)
+    made = rows.select("id", "lines", "head", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    start = F.col("k") * step + 1
+    text = F.btrim(F.array_join(F.slice("lines", start, F.lit(CHUNK_LINES)), "\n"), F.lit(" \t\n\x0b\f\r"))
+    made = made.select("id", "k", "head", start.alias("start"), F.least(start + CHUNK_LINES - 1, n).alias("end"), text.alias("text")).filter("text != ''")
+    placed = made.withColumn("chunk", F.row_number().over(Window.partitionBy("id").orderBy("k")) - 1).filter(F.col("chunk") < MAX_CHUNKS)
+    return placed.select("id", "chunk", "start", "end", F.concat("head", truncated(F.col("text"), CHUNK_BYTES)).alias("text"))
 
 
-def branch_control(line: Column) -> Column:
-    return F.btrim(line).rlike(r"^(\}?\s*else\b|if\b|switch\b|case\b|default:|select\b|match\b|when\b|elif\b)")
+# Fixed value: what ends an excerpt of a longer body.
+TRUNCATED = "\n// ... [truncated]"
+
 
+def cap_body(body: Column, cap: int = 2000, marker: str = TRUNCATED) -> Column:
+    """A body cut to a number of bytes, with a marker where something was cut."""
+    return F.when(F.octet_length(body) > cap, F.concat(cut_bytes(body, cap), F.lit(marker))).otherwise(body)
 
-def call_site(body: Column, line: Column) -> Column:
-    """Three lines before a call, the call and one after, if any of them is a branch; 120 characters a line."""
-    lines = F.slice(F.split(body, "\n"), F.greatest(F.lit(1), line - 3), F.lit(5))
-    return F.when(F.exists(lines, branch_control), F.array_join(F.transform(lines, lambda x: F.left(F.btrim(x), F.lit(120))), "\n"))
 
+DOC_BYTES, SIGNATURE_BYTES, BODY_BYTES, NEIGHBOURS = 500, 300, 1600, 8
 
-def section_cost(rendered: DataFrame, text: str = "text") -> DataFrame:
-    """(section, lines, tokens) of rendered answers: which part of a response costs what."""
-    lines = rendered.select(F.explode(F.split(text, "\n")).alias("line"))
-    section = (
-        F.when(F.col("line").rlike(r"^#"), "heading")
-        .when(F.col("line").rlike(r"^(callers|callees|flow|siblings|tests):"), "graph")
-        .when(F.col("line").rlike(r"^(next|hint|confidence):"), "guidance")
-        .otherwise("body")
+
+def embedding_text(qualified_name: Column, kind: Column, path: Column, language: Column, signature: Column, doc: Column, body: Column, neighbours: Column | None = None) -> Column:
+    """The text that is embedded for a symbol: head, documentation, the first neighbours' words, then the fields that are not empty."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    field = lambda key, c: F.when(some(c), F.concat(F.lit(f"{key}: "), c, F.lit("\n"))).otherwise("")
+    parts = [text_head(qualified_name, kind, path), F.when(some(doc), F.concat(truncated(doc, DOC_BYTES), F.lit("\n"))).otherwise("")]
+    if neighbours is not None:
+        words = F.slice(F.filter(F.transform(neighbours, identifier_words), lambda w: w != ""), 1, NEIGHBOURS)
+        parts.append(F.when(F.size(words) > 0, F.concat(F.lit("related: "), F.array_join(words, ", "), F.lit("\n"))).otherwise(""))
+    parts += [field("symbol", qualified_name), field("kind", kind), field("file", path), field("language", language), field("signature", truncated(F.coalesce(signature, F.lit("")), SIGNATURE_BYTES))]
+    return F.concat(*parts, F.when(some(body), F.concat(F.lit("body:\n"), truncated(body, BODY_BYTES))).otherwise(""))
+
+
+# What a line that decides between paths begins with.
+BRANCH_PREFIXES = ("if ", "if(", "else", "switch ", "switch(", "case ", "case:", "default:", "select ", "match ", "when ")
+BLANK = " \t\n\x0b\f\r"
+
+
+def branch_control(line: Column) -> Column:
+    t = F.btrim(line, F.lit(BLANK))
+    found = F.lit(False)
+    for p in BRANCH_PREFIXES:
+        found = found | t.startswith(p)
+    return found
+
+
+def call_site(body: Column, first: Column, call: Column) -> Column:
+    """Numbered lines around a call, three before and one after, if one of them up to the call is a branch; else empty.
+
+    ``first``: number of the body's first line; ``call``: number of the call's. Blank lines are left out, long ones cut.
+    """
+    lines = F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n")
+    at = call - first
+    low, high = F.greatest(F.lit(0), at - 3), F.least(at + 1, F.size(lines) - 1)
+    good = (body != "") & (first > 0) & (at >= 0) & (at < F.size(lines))
+
+    def shown(i: Column) -> Column:
+        t = F.btrim(F.get(lines, i), F.lit(BLANK))
+        return F.when(t != "", F.concat((first + i).cast("string"), F.lit(" "), F.when(F.char_length(t) > 120, F.concat(F.left(t, F.lit(120)), F.lit("…"))).otherwise(t)))
+
+    sensitive = F.exists(F.slice(lines, low + 1, F.greatest(at - low + 1, F.lit(0))), branch_control)
+    text = F.array_join(F.array_compact(F.transform(F.sequence(low, F.greatest(low, high)), shown)), " | ")
+    return F.when(F.coalesce(good, F.lit(False)), F.when(sensitive, text).otherwise("")).otherwise("")
+
+
+# How the parts of a rendered answer are told apart.
+_HEADER, _GRAPH, _NUMBER = r"^\d+\. \*\*", r"^(callers|callees|tests|siblings)", r"^(\d+\t)"
+_EXPAND, _CALLSITE, _TEASER = r" \[excerpt [^\]]*\]", r" \[callsite: [^\]]*\]", " — "
+_DISCLAIMER = " (path_status=static_unverified; verify branch/dispatch)"
+_NUDGE = " (pass to record_feedback)"
+
+
+def section_cost(rendered: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """(section, tokens) of rendered answers: what each part costs, parts of parts being told besides their whole."""
+    lines = rendered.select(F.col(id_col).alias("answer"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    fence = F.col("line").startswith("```")
+    before = F.sum(fence.cast("int")).over(Window.partitionBy("answer").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines.withColumns({"fence": fence, "code": F.coalesce(before, F.lit(0)) % 2 == 1})
+    line, cost = F.col("line"), estimate_tokens(F.col("line"))
+    part = lambda name, tokens: F.struct(F.lit(name).alias("section"), tokens.cast("long").alias("tokens"))
+    found = lambda pattern: estimate_tokens(F.regexp_extract(line, pattern, 0))
+    at = F.instr(line, _TEASER)
+    teaser = F.when(at > 0, estimate_tokens(F.substring(line, at, F.char_length(line)))).otherwise(0)
+    sites = F.aggregate(F.regexp_extract_all(line, F.lit(_CALLSITE), 0), F.lit(0).cast("long"), lambda a, s: a + estimate_tokens(s))
+    boiler = F.when(F.contains(line, F.lit(_DISCLAIMER)), (len(_DISCLAIMER) + 3) // 4).otherwise(0)
+    blank = F.btrim(line, F.lit(BLANK)) == ""
+    parts = (
+        F.when(F.col("fence"), F.array(part("fences_and_blanks", cost)))
+        .when(F.col("code"), F.array(part("code", cost), part("line_numbers", found(_NUMBER))))
+        .when(blank, F.array(part("fences_and_blanks", cost)))
+        .when(line.startswith("req:"), F.array(part("request_id", cost)))
+        .when(line.rlike(_HEADER), F.array(part("result_header", cost - teaser), part("expand_hint", found(_EXPAND)), part("compact_teaser", teaser)))
+        .when(line.rlike(_GRAPH), F.array(part("graph_refs", cost), part("path_status", boiler), part("callsites", sites)))
+        .when(line.startswith("companions:"), F.array(part("companions", cost)))
+        .when(line.startswith("flow:"), F.array(part("flow_context", cost)))
+        .when(line.startswith("note:"), F.array(part("confidence_note", cost)))
+        .otherwise(F.array(part("fences_and_blanks", cost)))
     )
-    return lines.groupBy(section.alias("section")).agg(F.count("*").alias("lines"), F.sum(estimate_tokens(F.col("line"))).alias("tokens"))
+    nudges = rendered.filter(F.contains(text, F.lit(_NUDGE))).select(F.lit("feedback_nudge").alias("section"), F.lit((len(_NUDGE) + 3) // 4).cast("long").alias("tokens"))
+    return rows.select(F.inline(parts)).unionByName(nudges).groupBy("section").agg(F.sum("tokens").alias("tokens"))
 
 
 def companions(files: DataFrame) -> DataFrame:

@@ -151,8 +151,15 @@ def constructor_boost(score: Column, constructor: Column) -> Column:
     return F.when(constructor, score * 1.15).otherwise(score)
 
 
-def provenance(from_vector: Column, from_text: Column) -> Column:
-    return F.when(from_vector & from_text, "vector_seed+fts_seed").when(from_vector, "vector_seed").when(from_text, "fts_seed").otherwise("ppr_neighbor")
+def provenance(from_vector: Column, from_text: Column, kept: Column) -> Column:
+    """Where a result comes from; only a seed that was ``kept`` bears a seed's label."""
+    label = F.when(from_vector & from_text, "hybrid_seed").when(from_text, "fts_seed").otherwise("vector_seed")
+    return F.when(kept & (from_vector | from_text), label).otherwise("ppr_neighbor")
+
+
+def callable_kind(kind: Column) -> Column:
+    """Whether calls of such a symbol mean anything; edges into constants, variables and types are accidents of their names."""
+    return ~kind.isin("const", "var", "type")
 
 
 def ambiguity(ranked: DataFrame) -> DataFrame:
@@ -222,9 +229,12 @@ def test_floor(ranked: DataFrame, floor: int, test: Column) -> DataFrame:
 
 
 def assign_confidence(ranked: DataFrame) -> DataFrame:
-    """Adds confidence: high with a score above .85 and a lead of over .10 on the next row (1 for the last), medium above .65."""
+    """Adds confidence: high with a score above .85 and a lead of over a tenth of it on the next row, medium above .65.
+
+    The lead is 1 for a query's last row and for scores of zero or less.
+    """
     following = F.lead("score").over(Window.partitionBy("query_id").orderBy("rank"))
-    gap = F.when(following.isNull(), 1.0).otherwise(F.col("score") - following)
+    gap = F.when(following.isNull() | (F.col("score") <= 0), 1.0).otherwise((F.col("score") - following) / F.col("score"))
     return ranked.withColumn("confidence", F.when((F.col("score") > 0.85) & (gap > 0.10), "high").when(F.col("score") > 0.65, "medium").otherwise("low"))
 
 
@@ -247,10 +257,38 @@ def retrieval_health(ranked: DataFrame) -> DataFrame:
     return h.select("query_id", gap.alias("gap"), "tied", "consensus", label.alias("confidence"))
 
 
-def visibility(name: Column, file: Column) -> Column:
-    """Exported or internal by a language's own rule; test code is told apart; else public."""
+def visibility(qualified_name: Column, file: Column) -> Column:
+    """public or internal: by the short name's first letter in Go, by the file's name in TypeScript and JavaScript, else public."""
+    ext = F.regexp_extract(file, r"(\.[^./\\\\]*)$", 1)
+    short = short_name(qualified_name)
+    script = F.contains(file, F.lit("_test")) | file.endswith(".test.ts") | file.endswith(".test.tsx") | file.endswith(".spec.ts")
     return (
-        F.when(file.rlike(r"\.go$"), F.when(name.rlike(r"^\p{Lu}"), "exported").otherwise("internal"))
-        .when(is_test_file(file), "test")
+        F.when(ext == ".go", F.when((short == "") | short.rlike(r"^\p{Lu}"), "public").otherwise("internal"))
+        .when(ext.isin(".ts", ".tsx", ".js", ".jsx") & script, "internal")
         .otherwise("public")
     )
+
+
+def prefer_nested(ranked: DataFrame) -> DataFrame:
+    """Move a result that lies within another of the same file (file, start, end) before it; other pairs keep their order.
+
+    Pairs are looked at in rank order, the outer one first, and swap their places if the inner one comes later. An answer
+    is one group of some dozens of rows, so this is done per query.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)
+
+    def run(pdf):
+        pdf = pdf.sort_values(["rank"], kind="stable").reset_index(drop=True)
+        rows = list(zip(pdf["file"], pdf["start"], pdf["end"]))
+        place = list(range(len(rows)))
+        for i, (outer, a, b) in enumerate(rows):
+            for j, (inner, c, d) in enumerate(rows):
+                if i != j and outer == inner and a <= c and d <= b and b - a > d - c and place[j] > place[i]:
+                    place[i], place[j] = place[j], place[i]
+        first = pdf["rank"].sort_values().to_list()
+        order = sorted(range(len(rows)), key=place.__getitem__)
+        out = pdf.iloc[order].copy()
+        out["rank"] = first
+        return out
+
+    return ranked.groupBy("query_id").applyInPandas(run, fields)

@@ -42,3 +42,16 @@ def r6(c: Column | str) -> Column:
 
 def big(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def cut_sql(text: str, n: int) -> str:
+    """The first n bytes of a text in SQL; a character that the cut would split goes whole."""
+    h = f"hex(encode({text}))"
+    inside = lambda k: f"substr({h}, {2 * k + 1}, 1) IN ('8', '9', 'A', 'B')"
+    size = f"CASE WHEN NOT {inside(n)} THEN {n} WHEN NOT {inside(n - 1)} THEN {n - 1} WHEN NOT {inside(n - 2)} THEN {n - 2} ELSE {n - 3} END"
+    return f"CASE WHEN octet_length(encode({text})) <= {n} THEN {text} ELSE decode(unhex(substr({h}, 1, 2 * ({size})))) END"
+
+
+def short_sql(text: str, n: int, marker: str = " ...") -> str:
+    """The same with a marker behind it where something was cut."""
+    return f"CASE WHEN octet_length(encode({text})) > {n} THEN ({cut_sql(text, n)}) || '{marker}' ELSE {text} END"

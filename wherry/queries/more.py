@@ -14,23 +14,23 @@ from wherry.streaming import events as ev
 
 @query(
     "gc_siblings",
-    """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), a AS (SELECT id AS anchor, e FROM v WHERE id < 30), n AS (SELECT a.anchor, v.id, 1 / (1 + sqrt(greatest(0, 2 - 2 * list_inner_product(a.e, v.e)))) AS score FROM a CROSS JOIN v),
+    """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), a AS (SELECT id AS anchor, e FROM v WHERE id IN (SELECT item_id FROM benchmark)), n AS (SELECT a.anchor, v.id, 1 / (1 + sqrt(greatest(0, 2 - 2 * list_inner_product(a.e, v.e)))) AS score FROM a CROSS JOIN v),
     r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, id) AS r FROM n), f AS (SELECT anchor, id, row_number() OVER (PARTITION BY anchor ORDER BY r) AS n FROM r WHERE r <= 10 AND score >= 0.75 AND id <> anchor AND id % 5 <> 0) SELECT anchor, id, CAST(n AS BIGINT) AS n FROM f WHERE n <= 3""",
 )
 def gc_siblings(x: Tables):
     vec = x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = F.lit(0).cast("long").alias("query_id")
-    anchors = vec.filter("id < 30").select(q, F.col("id").alias("anchor"), "v")
+    anchors = vec.join(x.benchmark.select(F.col("item_id").alias("id")), "id", "left_semi").select(q, F.col("id").alias("anchor"), "v")
     chosen = vec.filter("id % 5 = 0").select(q, "id")
     return context.siblings(anchors, vec, chosen).select("anchor", "id", big("n").alias("n"))
 
 
 @query(
     "gc_structure",
-    """WITH r AS (SELECT o_custkey AS query_id, 'p' || (o_orderkey % 3) AS package, 's' || (o_orderkey % 10) AS name FROM orders WHERE o_custkey <= 300), g AS (SELECT query_id, package, string_agg(DISTINCT name, ',' ORDER BY name) AS symbols, count(*) AS n FROM r GROUP BY 1, 2) SELECT query_id, package, symbols, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, package) = 1 AS top FROM g""",
+    """WITH r AS (SELECT o_custkey AS query_id, 'p' || (o_orderkey % 3) AS package, 's' || (o_orderkey % 10) AS name FROM orders), g AS (SELECT query_id, package, string_agg(DISTINCT name, ',' ORDER BY name) AS symbols, count(*) AS n FROM r GROUP BY 1, 2) SELECT query_id, package, symbols, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, package) = 1 AS top FROM g""",
 )
 def gc_structure(x: Tables):
-    r = x.orders.filter("o_custkey <= 300").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("package"), F.concat(F.lit("s"), (F.col("o_orderkey") % 10).cast("string")).alias("name"))
+    r = x.orders.select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("package"), F.concat(F.lit("s"), (F.col("o_orderkey") % 10).cast("string")).alias("name"))
     return context.structure_view(r).select("query_id", "package", F.array_join("symbols", ",").alias("symbols"), "n", "top")
 
 
@@ -45,14 +45,16 @@ def gc_name_context(x: Tables):
 
 @query(
     "gc_call_site",
-    r"""WITH b AS (SELECT doc_id, string_split('a' || chr(10) || 'if x {' || chr(10) || lang || '()' || chr(10) || '}' || chr(10) || 'z', chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(list_transform(l[1:5], lambda s: trim(s)), chr(10)) AS site FROM b""",
+    r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '10 a | 11 if x { | 13 ' || lang || '() | 14 }' WHEN 1 THEN '10 a | 11 if x {' WHEN 2 THEN '' ELSE '' END AS site FROM documents""",
 )
 def gc_call_site(x: Tables):
-    body = F.concat(F.lit("a\nif x {\n"), F.col("lang"), F.lit("()\n}\nz"))
-    return x.documents.select("doc_id", pack.call_site(body, F.lit(4)).alias("site"))
+    """Calls behind a branch, on it, before it and outside of the body; a blank line is left out."""
+    body = F.concat(F.lit("a\r\n  if x {\n\n"), F.col("lang"), F.lit("()\n}\nz"))
+    call = F.element_at(F.array(F.lit(13), F.lit(11), F.lit(10), F.lit(40)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return x.documents.select("doc_id", pack.call_site(body, F.lit(10), call).alias("site"))
 
 
-@query("ev_render", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:2], chr(10)) || chr(10) || '...' || chr(10) || array_to_string(string_split(text, chr(10))[4:4], chr(10)) AS shown FROM documents WHERE len(string_split(text, chr(10))) >= 4")
+@query("ev_render", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:2], chr(10)) || chr(10) || '// ...' || chr(10) || array_to_string(string_split(text, chr(10))[4:4], chr(10)) AS shown FROM documents WHERE len(string_split(text, chr(10))) >= 4")
 def ev_render(x: Tables):
     span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     rows = x.documents.filter(F.size(F.split("text", "\n")) >= 4)
@@ -61,13 +63,15 @@ def ev_render(x: Tables):
 
 @query(
     "j_linked_tests",
-    """WITH s AS (SELECT p_partkey AS id, 'run_' || (p_partkey % 40) AS name FROM part WHERE p_partkey <= 100), t AS (SELECT p_partkey AS test_id, 'test_run_' || (p_partkey % 40) || '_ok' AS name FROM part WHERE p_partkey > 100 AND p_partkey <= 200),
+    """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'parse' ELSE 'run' END || lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS name FROM part WHERE p_partkey % 2 = 0), t AS (SELECT p_partkey AS test_id, CASE WHEN p_partkey % 3 = 0 THEN 'reparse' || lpad(CAST((p_partkey - 1) % 1000 AS VARCHAR), 4, '0') || 'test' ELSE 'test_run' || lpad(CAST((p_partkey - 1) % 1000 AS VARCHAR), 4, '0') END AS name FROM part WHERE p_partkey % 2 = 1),
     h AS (SELECT s.id, t.test_id FROM s JOIN t ON contains(t.name, s.name) OR contains(s.name, t.name)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY test_id) AS n FROM h) SELECT id, test_id, CAST(n AS BIGINT) AS n FROM r WHERE n <= 3""",
 )
 def j_linked_tests(x: Tables):
-    k = (F.col("p_partkey") % 40).cast("string")
-    s = x.part.filter("p_partkey <= 100").select(F.col("p_partkey").alias("id"), F.concat(F.lit("run_"), k).alias("name"))
-    tests = x.part.filter("p_partkey > 100 AND p_partkey <= 200").select(F.col("p_partkey").alias("id"), F.concat(F.lit("test_run_"), k, F.lit("_ok")).alias("name"))
+    """Names within names, also where no word of the one is a word of the other."""
+    k = F.col("p_partkey")
+    digits = lambda c: F.lpad((c % 1000).cast("string"), 4, "0")
+    s = x.part.filter("p_partkey % 2 = 0").select(k.alias("id"), F.concat(F.lit("pkg."), F.when(k % 4 == 0, "Parse").otherwise("run"), digits(k)).alias("name"))
+    tests = x.part.filter("p_partkey % 2 = 1").select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("reparse"), digits(k - 1), F.lit("Test"))).otherwise(F.concat(F.lit("test_run"), digits(k - 1))).alias("name"))
     return joins.linked_tests(s, tests).select("id", "test_id", big("n").alias("n"))
 
 
@@ -84,15 +88,15 @@ def ag_chain_coverage(x: Tables):
 
 @query(
     "ag_region_misses",
-    """WITH r AS (SELECT p_partkey AS region, p_partkey % 30 AS file, CAST(p_size AS BIGINT) AS a, CAST(p_size + 3 AS BIGINT) AS b FROM part), s AS (SELECT l_suppkey % 40 AS file, l_linenumber * 8 AS a, l_linenumber * 8 + 2 AS b, l_linenumber * 8 - 3 AS ba, l_linenumber * 8 + 4 AS bb FROM lineitem WHERE l_orderkey <= 20), i AS (SELECT DISTINCT l_suppkey % 50 AS file, l_linenumber * 7 AS a, l_linenumber * 7 + 6 AS b FROM lineitem WHERE l_orderkey <= 300),
+    """WITH r AS (SELECT p_partkey AS region, p_partkey % 30 AS file, CAST(p_size AS BIGINT) AS a, CAST(p_size + 3 AS BIGINT) AS b FROM part), s AS (SELECT DISTINCT l_suppkey % 20 AS file, l_linenumber * 8 AS a, l_linenumber * 8 + 2 AS b, l_linenumber * 8 - 3 AS ba, l_linenumber * 8 + 4 AS bb FROM lineitem WHERE l_linenumber <> 3), i AS (SELECT DISTINCT l_suppkey % 25 AS file, l_linenumber * 7 AS a, l_linenumber * 7 + 6 AS b FROM lineitem WHERE l_linenumber <> 5),
     v AS (SELECT r.region, coalesce(bool_or(r.a <= s.b AND s.a <= r.b), false) AS hit, coalesce(bool_or(r.a <= s.bb AND s.ba <= r.b), false) AS held, bool_or(s.file IS NOT NULL) AS seen FROM r LEFT JOIN s ON s.file = r.file GROUP BY 1), k AS (SELECT DISTINCT r.region FROM r JOIN i ON i.file = r.file AND r.a <= i.b AND i.a <= r.b)
     SELECT v.region, CASE WHEN hit THEN 'hit' WHEN held THEN 'trimmed' WHEN k.region IS NULL THEN 'not_indexed' WHEN seen THEN 'wrong_symbol' ELSE 'file_missed' END AS verdict FROM v LEFT JOIN k ON k.region = v.region""",
 )
 def ag_region_misses(x: Tables):
     regions = x.part.select(F.col("p_partkey").alias("region"), (F.col("p_partkey") % 30).alias("file"), big("p_size").alias("start"), (big("p_size") + 3).alias("end"))
     n = F.col("l_linenumber")
-    shown = x.lineitem.filter("l_orderkey <= 20").select((F.col("l_suppkey") % 40).alias("file"), (n * 8).alias("start"), (n * 8 + 2).alias("end"), (n * 8 - 3).alias("body_start"), (n * 8 + 4).alias("body_end"))
-    symbols = x.lineitem.filter("l_orderkey <= 300").select((F.col("l_suppkey") % 50).alias("file"), (n * 7).alias("start"), (n * 7 + 6).alias("end")).distinct()
+    shown = x.lineitem.filter(n != 3).select((F.col("l_suppkey") % 20).alias("file"), (n * 8).alias("start"), (n * 8 + 2).alias("end"), (n * 8 - 3).alias("body_start"), (n * 8 + 4).alias("body_end")).distinct()
+    symbols = x.lineitem.filter(n != 5).select((F.col("l_suppkey") % 25).alias("file"), (n * 7).alias("start"), (n * 7 + 6).alias("end")).distinct()
     return context.region_misses(regions, shown, symbols)
 
 
@@ -117,10 +121,10 @@ def ag_false_confidence(x: Tables):
 
 @query(
     "ag_alpha_sweep",
-    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0 AS s, (o_orderkey * 104729 % 1000) / 1000.0 AS p FROM orders WHERE o_custkey <= 200), a AS (SELECT unnest([0.0, 0.5, 1.0]) AS alpha), r AS (SELECT alpha, query_id, id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(CAST(alpha * s + (1 - alpha) * p AS DOUBLE), 9) DESC, id) AS rank FROM c CROSS JOIN a) SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(CASE WHEN id % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS hit1 FROM r WHERE rank = 1 GROUP BY 1""",
+    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0 AS s, (o_orderkey * 104729 % 1000) / 1000.0 AS p FROM orders), a AS (SELECT unnest([0.0, 0.5, 1.0]) AS alpha), r AS (SELECT alpha, query_id, id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(CAST(alpha * s + (1 - alpha) * p AS DOUBLE), 9) DESC, id) AS rank FROM c CROSS JOIN a) SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(CASE WHEN id % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS hit1 FROM r WHERE rank = 1 GROUP BY 1""",
 )
 def ag_alpha_sweep(x: Tables):
-    c = x.orders.filter("o_custkey <= 200").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 7919 % 1000) / 1000.0).alias("s"), ((F.col("o_orderkey") * 104729 % 1000) / 1000.0).alias("p"))
+    c = x.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 7919 % 1000) / 1000.0).alias("s"), ((F.col("o_orderkey") * 104729 % 1000) / 1000.0).alias("p"))
     grid = c.withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
     score = F.round(F.col("alpha") * F.col("s") + (1 - F.col("alpha")) * F.col("p"), 9)
     top = grid.withColumn("rank", F.row_number().over(Window.partitionBy("alpha", "query_id").orderBy(F.desc(score), "id"))).filter("rank = 1")

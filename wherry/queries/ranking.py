@@ -4,18 +4,18 @@ from pyspark.sql import functions as F
 
 from wherry.functions import text as t
 from wherry.operators import joins, locate, pack, rank
-from wherry.queries.base import Tables, big, query, r6
+from wherry.queries.base import Tables, big, cut_sql, query, r6, short_sql
 from wherry.queries.retrieval import BM25_CTE, bm25_top
 
 # A ranked list per customer: orders by price, ten at most; scores in 0..1, a file of twenty names.
-RANKED_SQL = """rk AS (SELECT o_custkey AS query_id, o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0 AS score, 'f' || (o_orderkey % 4) || CASE WHEN o_orderkey % 5 = 0 THEN '.test.ts' ELSE '.ts' END AS file FROM orders WHERE o_custkey <= 400),
+RANKED_SQL = """rk AS (SELECT o_custkey AS query_id, o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0 AS score, 'f' || (o_orderkey % 4) || CASE WHEN o_orderkey % 5 = 0 THEN '.test.ts' ELSE '.ts' END AS file FROM orders),
 rl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rk)"""
 
 
 def ranked(x: Tables):
     from wherry.operators.fusion import by_query
 
-    rows = x.orders.filter("o_custkey <= 400").select(
+    rows = x.orders.select(
         F.col("o_custkey").alias("query_id"),
         F.col("o_orderkey").alias("id"),
         ((F.col("o_orderkey") * 7919 % 1000) / 1000.0).alias("score"),
@@ -36,7 +36,7 @@ def rk_ambiguity(x: Tables):
 
 @query(
     "rk_confidence",
-    f"WITH {RANKED_SQL}, g AS (SELECT query_id, id, score, coalesce(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 1) AS gap FROM rl) SELECT query_id, id, CASE WHEN score > 0.85 AND gap > 0.10 THEN 'high' WHEN score > 0.65 THEN 'medium' ELSE 'low' END AS confidence FROM g",
+    f"WITH {RANKED_SQL}, g AS (SELECT query_id, id, score, CASE WHEN lead(score) OVER w IS NULL OR score <= 0 THEN 1 ELSE (score - lead(score) OVER w) / score END AS gap FROM rl WINDOW w AS (PARTITION BY query_id ORDER BY rank)) SELECT query_id, id, CASE WHEN score > 0.85 AND gap > 0.10 THEN 'high' WHEN score > 0.65 THEN 'medium' ELSE 'low' END AS confidence FROM g",
 )
 def rk_confidence(x: Tables):
     return rank.assign_confidence(ranked(x)).select("query_id", "id", "confidence")
@@ -99,9 +99,30 @@ def rk_constructor_boost(x: Tables):
     return x.part.select("p_partkey", r6(rank.constructor_boost(F.col("p_retailprice").cast("double"), made)).alias("score"))
 
 
-@query("rk_provenance", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'vector_seed+fts_seed' WHEN event_id % 2 = 0 THEN 'vector_seed' WHEN event_id % 3 = 0 THEN 'fts_seed' ELSE 'ppr_neighbor' END AS why FROM events")
+@query("rk_provenance", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ppr_neighbor' WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'hybrid_seed' WHEN event_id % 3 = 0 THEN 'fts_seed' WHEN event_id % 2 = 0 THEN 'vector_seed' ELSE 'ppr_neighbor' END AS why FROM events")
 def rk_provenance(x: Tables):
-    return x.events.select("event_id", rank.provenance(F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0).alias("why"))
+    k = F.col("event_id")
+    return x.events.select("event_id", rank.provenance(k % 2 == 0, k % 3 == 0, k % 5 != 0).alias("why"))
+
+
+@query("flt_callable", "SELECT p_partkey FROM part WHERE p_size % 6 NOT IN (1, 2, 3)")
+def flt_callable(x: Tables):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("function", "const", "var", "type", "method", "class")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return x.part.filter(rank.callable_kind(kind)).select("p_partkey")
+
+
+@query(
+    "rk_nested",
+    """WITH RECURSIVE s AS (SELECT n_nationkey AS k, n_regionkey AS q, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS rank FROM nation) SELECT q AS query_id, k AS id, CASE WHEN rank = 1 THEN 2 WHEN rank = 2 THEN 1 ELSE rank END AS rank FROM s""",
+)
+def rk_nested(x: Tables):
+    """The second of each region lies within the first; the others stand apart."""
+    from pyspark.sql import Window
+
+    rows = x.nation.select(F.col("n_regionkey").alias("query_id"), F.col("n_nationkey").alias("id"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long").alias("rank"))
+    r = F.col("rank")
+    spans = rows.withColumns({"file": F.lit("a.go"), "start": F.when(r == 1, 1).when(r == 2, 5).otherwise(r * 100).cast("long"), "end": F.when(r == 1, 50).when(r == 2, 9).otherwise(r * 100 + 3).cast("long")})
+    return rank.prefer_nested(spans).select("query_id", "id", "rank")
 
 
 @query("rk_intent_verbs", r"""SELECT conv_id, turn, lower(text) LIKE 'write%' OR lower(text) LIKE 'run %' AS leads FROM conversations WHERE regexp_matches(lower(text), '^[a-z]+ ')""")
@@ -137,9 +158,15 @@ def pk_budget(x: Tables):
     return pack.pack(rows, 4000, t.estimate_tokens(F.col("text"))).select("query_id", "id", "tokens", "running")
 
 
-@query("pk_tiers", "SELECT doc_id, CASE WHEN doc_id % 10 <= 6 THEN text ELSE lang || chr(10) || string_split(text, chr(10))[1] END AS body FROM documents WHERE text <> ''")
+@query(
+    "pk_tiers",
+    """WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS sig, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source || chr(10) || 'more' END AS doc FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 10 <= 6 THEN text ELSE (CASE WHEN sig <> '' THEN sig WHEN strpos(text, chr(10)) > 1 THEN string_split(text, chr(10))[1] ELSE text END) || (CASE WHEN doc <> '' THEN chr(10) || '// ' || string_split(doc, chr(10))[1] ELSE '' END) END AS body FROM d""",
+)
 def pk_tiers(x: Tables):
-    return x.documents.filter("text != ''").select("doc_id", pack.tiered_body(F.col("doc_id") % 10, F.col("text"), F.col("lang"), F.col("text")).alias("body"))
+    sig = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
+    doc = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat("source", F.lit("\nmore")))
+    return x.documents.select("doc_id", pack.tiered_body(F.col("doc_id") % 10, F.col("text"), sig, doc).alias("body"))
 
 
 @query(
@@ -170,44 +197,86 @@ def ev_merge_spans(x: Tables):
     return pack.merge_spans(line_spans(x), ["id"])
 
 
+@query(
+    "ev_rank_windows",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e FROM v WHERE vec_id IN (SELECT item_id FROM benchmark)), w AS (SELECT vec_id % 10 AS id, vec_id AS start, e FROM v),
+    s AS (SELECT q.query_id, w.id, w.start, list_inner_product(q.e, w.e) AS score FROM q JOIN w ON w.id = q.query_id % 10), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, start) AS n FROM s)
+    SELECT query_id, id, start, round(score, 6) AS score, CAST(n AS BIGINT) AS n FROM n WHERE n <= 8""",
+)
+def ev_rank_windows(x: Tables):
+    """Vectors stand for windows of ten results; each query looks at one of them."""
+    q = x.embeddings.join(x.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    w = x.embeddings.select((F.col("vec_id") % 10).alias("id"), F.col("vec_id").alias("start"), F.col("embedding").alias("v"))
+    mine = q.select("query_id", (F.col("query_id") % 10).alias("id")).join(w, "id")
+    return pack.rank_windows(mine, q).select("query_id", "id", "start", r6("score").alias("score"), big("n").alias("n"))
+
+
 @query(
     "ev_select_spans",
-    """WITH w AS (SELECT l_orderkey AS query_id, l_linenumber % 2 AS id, CAST(l_partkey AS BIGINT) AS start, (l_suppkey % 100) / 100.0 AS score, (l_linenumber % 2) + 1 AS rank FROM lineitem WHERE l_orderkey <= 2000),
+    """WITH w AS (SELECT l_orderkey AS query_id, l_linenumber % 2 AS id, CAST(l_partkey AS BIGINT) AS start, CASE WHEN l_orderkey % 7 = 0 THEN -(l_suppkey % 100) / 100.0 ELSE (l_suppkey % 100) / 100.0 END AS score, (l_linenumber % 2) + 1 AS rank FROM lineitem),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, start) AS n, max(score) OVER (PARTITION BY query_id, id) AS best FROM w)
-    SELECT query_id, CAST(id AS BIGINT) AS id, greatest(1, start - 3) AS start, start + 12 AS "end" FROM n WHERE n <= (CASE WHEN rank = 1 THEN 3 ELSE 2 END) AND (n = 1 OR score >= 0.6 * best)""",
+    SELECT query_id, CAST(id AS BIGINT) AS id, greatest(1, start - 3) AS start, start + 12 AS "end" FROM n WHERE n <= (CASE WHEN rank = 1 THEN 3 ELSE 1 END) AND (n = 1 OR best <= 0 OR score >= 0.6 * best)""",
 )
 def ev_select_spans(x: Tables):
-    w = x.lineitem.filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("query_id"), big(F.col("l_linenumber") % 2).alias("id"), big("l_partkey").alias("start"), (big("l_partkey") + 9).alias("end"), ((F.col("l_suppkey") % 100) / 100.0).alias("score"), (F.col("l_linenumber") % 2 + 1).alias("rank"), F.lit(1 << 40).alias("lines"))
+    share = (F.col("l_suppkey") % 100) / 100.0
+    w = x.lineitem.select(F.col("l_orderkey").alias("query_id"), big(F.col("l_linenumber") % 2).alias("id"), big("l_partkey").alias("start"), F.when(F.col("l_orderkey") % 7 == 0, -share).otherwise(share).alias("score"), (F.col("l_linenumber") % 2 + 1).alias("rank"), F.lit(1 << 40).alias("lines"))
     return pack.select_spans(w)
 
 
+HEAD_SQL = """CASE WHEN source <> '' THEN lower(trim(regexp_replace(regexp_replace(source, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) || ' - ' ELSE '' END || 'function in ' || lower(lang) || chr(10)"""
+
+
 @query(
     "ch_chunks",
-    """WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents), n AS (SELECT id, ls, len(ls) AS n FROM l WHERE len(ls) >= 2),
-    c AS (SELECT id, ls, n, unnest(range(0, least(48, CASE WHEN n <= 40 THEN 1 ELSE CAST(ceil((n - 40) / 30.0) AS BIGINT) + 1 END))) AS chunk FROM n)
-    SELECT id, chunk, chunk * 30 + 1 AS start, least(chunk * 30 + 40, n) AS "end", CAST(length(left(trim(array_to_string(ls[chunk * 30 + 1 : chunk * 30 + 40], chr(10)), ' ' || chr(10) || chr(9) || chr(13)), 4000)) AS BIGINT) AS n_chars FROM c""",
+    f"""WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls, {HEAD_SQL} AS head FROM documents), n AS (SELECT id, ls, head, len(ls) AS n FROM l WHERE len(ls) >= 2),
+    c AS (SELECT id, ls, head, n, unnest(range(0, CASE WHEN n <= 40 THEN 1 ELSE CAST(ceil((n - 40) / 30.0) AS BIGINT) + 1 END)) AS k FROM n),
+    t AS (SELECT id, head, k, n, trim(array_to_string(ls[k * 30 + 1 : k * 30 + 40], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS chunk FROM t WHERE body <> '')
+    SELECT id, chunk, k * 30 + 1 AS start, least(k * 30 + 40, n) AS "end", sha256(head || {short_sql('body', 4000)}) AS text FROM r WHERE chunk < 48""",
 )
 def ch_chunks(x: Tables):
-    return pack.chunk_lines(x.documents, "doc_id", "text").select("id", big("chunk").alias("chunk"), big("start").alias("start"), big("end").alias("end"), big(F.char_length("text")).alias("n_chars"))
+    head = pack.text_head(F.col("source"), F.lit("function"), F.col("lang"))
+    return pack.chunk_lines(x.documents, "doc_id", "text", head).select("id", big("chunk").alias("chunk"), big("start").alias("start"), big("end").alias("end"), t.sha256_hex(F.col("text")).alias("text"))
 
 
-@query("ch_cap", "SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '... (truncated)' ELSE text END AS body FROM documents")
+@query("ch_cap", f"SELECT doc_id, sha256({short_sql('text', 2000, chr(10) + '// ... [truncated]')}) AS body FROM documents")
 def ch_cap(x: Tables):
-    return x.documents.select("doc_id", pack.cap_body(F.col("text")).alias("body"))
+    return x.documents.select("doc_id", t.sha256_hex(pack.cap_body(F.col("text"))).alias("body"))
 
 
-@query("ch_embedding_text", "SELECT doc_id, 'function ' || source || chr(10) || 'path: ' || lang || chr(10) || left(text, 500) || chr(10) || left(text, 1600) AS t FROM documents WHERE text <> ''")
+@query(
+    "ch_embedding_text",
+    f"""SELECT doc_id, sha256({HEAD_SQL} || CASE WHEN text <> '' THEN {short_sql('text', 500)} || chr(10) ELSE '' END || 'related: read file, parse csv' || chr(10)
+    || CASE WHEN source <> '' THEN 'symbol: ' || source || chr(10) ELSE '' END || 'kind: function' || chr(10) || 'file: ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'language: ' || lang || chr(10) ELSE '' END
+    || CASE WHEN text <> '' THEN 'signature: ' || {short_sql('text', 300)} || chr(10) || 'body:' || chr(10) || {short_sql('text', 1600)} ELSE '' END) AS t FROM documents""",
+)
 def ch_embedding_text(x: Tables):
-    none = F.array().cast("array<string>")
-    return x.documents.filter("text != ''").select("doc_id", pack.embedding_text(F.lit("function"), F.col("source"), F.col("lang"), F.col("text"), none, F.col("text")).alias("t"))
+    near = F.array(*[F.lit(n) for n in ("ReadFile", "--", "parseCSV")])
+    language = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    made = pack.embedding_text(F.col("source"), F.lit("function"), F.col("lang"), language, F.col("text"), F.col("text"), F.col("text"), near)
+    return x.documents.select("doc_id", t.sha256_hex(made).alias("t"))
+
+
+ANSWERS = """concat_ws(chr(10), '1. **pkg.' || source || '** [excerpt 3 lines] x', '```go', '12' || chr(9) || lang, 'code ' || source, '```', '', 'callers (path_status=static_unverified; verify branch/dispatch): a [callsite: 3 if x] b [callsite: y]', 'companions: a', 'flow: b', 'note: c', '2. **p** — ' || lang, 'req: ' || doc_id || ' (pass to record_feedback)', 'other')"""
 
 
 @query(
     "sv_section_cost",
-    r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CASE WHEN regexp_matches(line, '^#') THEN 'heading' WHEN regexp_matches(line, '^(callers|callees|flow|siblings|tests):') THEN 'graph' WHEN regexp_matches(line, '^(next|hint|confidence):') THEN 'guidance' ELSE 'body' END AS section, count(*) AS lines, CAST(sum(floor((octet_length(encode(line)) + 3) / 4)) AS BIGINT) AS tokens FROM l GROUP BY 1""",
+    f"""WITH a AS (SELECT doc_id, {ANSWERS} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM a), k AS (SELECT *, CAST(floor((octet_length(encode(line)) + 3) / 4) AS BIGINT) AS c FROM l),
+    e AS (SELECT doc_id, unnest(regexp_extract_all(line, ' \\[callsite: [^\\]]*\\]')) AS s FROM k WHERE i = 7),
+    p AS (SELECT 'result_header' AS section, sum(c) AS t FROM k WHERE i = 1 UNION ALL SELECT 'expand_hint', count(*) * 5 FROM a UNION ALL SELECT 'fences_and_blanks', sum(c) FROM k WHERE i IN (2, 5, 6, 13) UNION ALL SELECT 'code', sum(c) FROM k WHERE i IN (3, 4) UNION ALL SELECT 'line_numbers', count(*) FROM a
+      UNION ALL SELECT 'graph_refs', sum(c) FROM k WHERE i = 7 UNION ALL SELECT 'path_status', count(*) * 14 FROM a UNION ALL SELECT 'callsites', sum(CAST(floor((octet_length(encode(s)) + 3) / 4) AS BIGINT)) FROM e UNION ALL SELECT 'companions', sum(c) FROM k WHERE i = 8 UNION ALL SELECT 'flow_context', sum(c) FROM k WHERE i = 9 UNION ALL SELECT 'confidence_note', sum(c) FROM k WHERE i = 10
+      UNION ALL SELECT 'result_header', sum(c - CAST(floor((octet_length(encode(substr(line, strpos(line, ' — ')))) + 3) / 4) AS BIGINT)) FROM k WHERE i = 11 UNION ALL SELECT 'compact_teaser', sum(CAST(floor((octet_length(encode(substr(line, strpos(line, ' — ')))) + 3) / 4) AS BIGINT)) FROM k WHERE i = 11 UNION ALL SELECT 'request_id', sum(c) FROM k WHERE i = 12 UNION ALL SELECT 'feedback_nudge', count(*) * 7 FROM a)
+    SELECT section, CAST(sum(t) AS BIGINT) AS tokens FROM p GROUP BY 1""",
 )
 def sv_section_cost(x: Tables):
-    return pack.section_cost(x.documents)
+    k = F.col("doc_id").cast("string")
+    lines = (
+        F.concat(F.lit("1. **pkg."), "source", F.lit("** [excerpt 3 lines] x")), F.lit("```go"), F.concat(F.lit("12\t"), "lang"), F.concat(F.lit("code "), "source"), F.lit("```"), F.lit(""),
+        F.lit("callers (path_status=static_unverified; verify branch/dispatch): a [callsite: 3 if x] b [callsite: y]"), F.lit("companions: a"), F.lit("flow: b"), F.lit("note: c"),
+        F.concat(F.lit("2. **p** — "), "lang"), F.concat(F.lit("req: "), k, F.lit(" (pass to record_feedback)")), F.lit("other"),
+    )
+    return pack.section_cost(x.documents.select("doc_id", F.concat_ws("\n", *lines).alias("text")), "doc_id")
 
 
 @query(
@@ -226,11 +295,11 @@ def j_enclosing(x: Tables):
 
 @query(
     "j_overlaps",
-    f"""WITH a AS (SELECT l_partkey % 50 AS file, l_orderkey * 10 + l_linenumber AS id, l_suppkey AS start, l_suppkey + l_linenumber AS "end" FROM lineitem WHERE l_orderkey <= 400), b AS (SELECT ps AS file, id, start, "end" FROM (SELECT p_partkey % 50 AS ps, p_partkey AS id, p_size AS start, p_size + 5 AS "end" FROM part))
+    f"""WITH a AS (SELECT l_partkey % 50 AS file, l_orderkey * 10 + l_linenumber AS id, l_suppkey AS start, l_suppkey + l_linenumber AS "end" FROM lineitem), b AS (SELECT ps AS file, id, start, "end" FROM (SELECT p_partkey % 50 AS ps, p_partkey AS id, p_size AS start, p_size + 5 AS "end" FROM part))
     SELECT a.file, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.file = b.file AND a.start <= b."end" AND b.start <= a."end\"""",
 )
 def j_overlaps(x: Tables):
-    a = x.lineitem.filter("l_orderkey <= 400").select((F.col("l_partkey") % 50).alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("start"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("end"))
+    a = x.lineitem.select((F.col("l_partkey") % 50).alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("start"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("end"))
     b = x.part.select((F.col("p_partkey") % 50).alias("file"), F.col("p_partkey").alias("id"), F.col("p_size").alias("start"), (F.col("p_size") + 5).alias("end"))
     return joins.overlaps(a, b)
 
@@ -265,13 +334,13 @@ def j_resolve_paths(x: Tables):
 @query(
     "j_resolve_calls",
     """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'part' || p_partkey ELSE p_name END AS p_name FROM part), s AS (SELECT p_partkey AS id, 'pkg' || (p_partkey % 7) || '.' || p_name AS qn FROM p), ex AS (SELECT qn, max(id) AS id FROM s GROUP BY 1), un AS (SELECT string_split(qn, '.')[-1] AS short, min(id) AS id FROM s GROUP BY 1 HAVING count(DISTINCT id) = 1),
-    c AS (SELECT DISTINCT l_partkey AS src, 'x.' || p_name AS callee FROM lineitem JOIN p ON p.p_partkey = l_suppkey WHERE l_orderkey <= 500)
+    c AS (SELECT DISTINCT l_partkey AS src, 'x.' || p_name AS callee FROM lineitem JOIN p ON p.p_partkey = l_suppkey)
     SELECT DISTINCT c.src, coalesce(ex.id, un.id) AS dst FROM c LEFT JOIN ex ON ex.qn = c.callee LEFT JOIN un ON un.short = string_split(c.callee, '.')[-1] WHERE coalesce(ex.id, un.id) IS NOT NULL AND c.src <> coalesce(ex.id, un.id)""",
 )
 def j_resolve_calls(x: Tables):
     p = x.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("part"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")).alias("p_name"))
     symbols = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("pkg"), (F.col("p_partkey") % 7).cast("string"), F.lit("."), F.col("p_name")).alias("qualified_name"))
-    calls = x.lineitem.filter("l_orderkey <= 500").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("p_partkey")).distinct().join(p.select("p_partkey", F.concat(F.lit("x."), F.col("p_name")).alias("callee")), "p_partkey").select("src", "callee")
+    calls = x.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("p_partkey")).distinct().join(p.select("p_partkey", F.concat(F.lit("x."), F.col("p_name")).alias("callee")), "p_partkey").select("src", "callee")
     return joins.resolve_calls(calls, symbols)
 
 
@@ -349,12 +418,13 @@ def loc_literal(x: Tables):
     return locate.literal_files(q, post).select("query_id", "file", big("names").alias("names"), r6("score").alias("score"))
 
 
+RELATED_SQL = "[" + ", ".join(f"'{w}'" for w in locate.RELATED_STOPWORDS) + "]"
 WORDS = r"list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))"
 
 
 @query(
     "loc_related",
-    rf"""WITH po AS (SELECT DISTINCT unnest({WORDS}) AS term, doc_id AS symbol, source AS file FROM documents), ed AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'))) AS term FROM benchmark),
+    rf"""WITH po AS (SELECT DISTINCT unnest({WORDS}) AS term, doc_id AS symbol, source AS file FROM documents), ed AS (SELECT item_id AS query_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')), lambda z: NOT list_contains({RELATED_SQL}, z))) AS term FROM benchmark),
     h AS (SELECT term, count(*) AS n FROM po GROUP BY 1), r AS (SELECT ed.query_id, po.file, sum(1.0 / h.n) AS score FROM ed JOIN po USING (term) JOIN h USING (term) WHERE h.n < 120 GROUP BY 1, 2)
     SELECT query_id, file, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file) AS rank FROM r) WHERE rank <= 5""",
 )
@@ -376,9 +446,9 @@ def loc_absent(x: Tables):
 
 @query(
     "pk_companions",
-    """WITH f AS (SELECT o_custkey AS query_id, 'd/x' || (o_orderkey % 5) || CASE WHEN o_orderkey % 2 = 0 THEN '_test.go' ELSE '.go' END AS file FROM orders WHERE o_custkey <= 300), u AS (SELECT DISTINCT query_id, file FROM f)
+    """WITH f AS (SELECT o_custkey AS query_id, 'd/x' || (o_orderkey % 5) || CASE WHEN o_orderkey % 2 = 0 THEN '_test.go' ELSE '.go' END AS file FROM orders), u AS (SELECT DISTINCT query_id, file FROM f)
     SELECT DISTINCT a.query_id, a.file, b.file AS companion FROM u a JOIN u b ON b.query_id = a.query_id AND b.file = regexp_replace(a.file, '\\.[^.]*$', '') || '_test.go'""",
 )
 def pk_companions(x: Tables):
-    f = x.orders.filter("o_custkey <= 300").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("d/x"), (F.col("o_orderkey") % 5).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "_test.go").otherwise(".go")).alias("file")).distinct()
+    f = x.orders.select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("d/x"), (F.col("o_orderkey") % 5).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "_test.go").otherwise(".go")).alias("file")).distinct()
     return pack.companions(f).select("query_id", "file", "companion")

@@ -107,11 +107,11 @@ def ret_max_sim(x: Tables):
 
 
 # The bipartite order graph: customers and orders as nodes, an order's customer as an edge.
-EDGE_SQL = "e AS (SELECT o_custkey AS src, 1000000000 + o_orderkey AS dst FROM orders WHERE o_custkey <= 300), g AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT DISTINCT a AS id FROM g), dg AS (SELECT a AS id, count(*) AS degree FROM g GROUP BY a)"
+EDGE_SQL = "e AS (SELECT o_custkey AS src, 1000000000 + o_orderkey AS dst FROM orders), g AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT DISTINCT a AS id FROM g), dg AS (SELECT a AS id, count(*) AS degree FROM g GROUP BY a)"
 
 
 def order_graph(x: Tables):
-    e = x.orders.filter("o_custkey <= 300").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"))
+    e = x.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"))
     nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
     return e, nodes, graph.build(e, nodes)
 
@@ -127,29 +127,47 @@ def gr_hub_penalty(x: Tables):
 
 
 def _ppr_sql(rounds: int) -> str:
-    steps = [f"r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM seeds) AS s FROM seeds)"]
+    steps = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM seeds) AS s FROM seeds)"]
     for k in range(1, rounds + 1):
         steps.append(
             f"r{k} AS (SELECT id, sum(p) AS s FROM (SELECT g.b AS id, 0.85 * r.s / dg.degree AS p FROM r{k - 1} r JOIN g ON g.a = r.id JOIN dg ON dg.id = r.id UNION ALL SELECT id, 0.15 / (SELECT count(*) FROM seeds) FROM seeds) GROUP BY id)"
         )
-    return f"WITH {EDGE_SQL}, seeds AS (SELECT DISTINCT id FROM n WHERE id IN (1, 2, 7, 10, 11)), {', '.join(steps)} SELECT id, round(s, 6) AS score FROM r{rounds} WHERE s >= 0.001"
+    return f"WITH {EDGE_SQL}, seeds AS (SELECT DISTINCT id FROM n WHERE id IN (1, 2, 7, 10, 11)), {', '.join(steps)} SELECT id, round(s, 6) AS score FROM r{rounds}"
 
 
-@query("gr_pagerank", _ppr_sql(5))
+@query("gr_pagerank", _ppr_sql(30))
 def gr_pagerank(x: Tables):
+    """As many rounds as the engine makes; the change of a round is above its tolerance until then."""
     _, nodes, g = order_graph(x)
     seeds = nodes.filter(F.col("id").isin(1, 2, 7, 10, 11)).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(1.0).alias("weight"))
-    return graph.personalized_pagerank(g, nodes, seeds, rounds=5, tolerance=None).filter("score >= 0.001").select(big("id").alias("id"), r6("score").alias("score"))
+    return graph.personalized_pagerank(g, nodes, seeds).select(big("id").alias("id"), r6("score").alias("score"))
+
+
+def _unseeded_sql(rounds: int) -> str:
+    steps = ["r0 AS (SELECT id, 1.0 / n AS s FROM n, t)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} AS (SELECT coalesce(sum(s), 0) / (SELECT n FROM t) AS m FROM r{k - 1} r WHERE r.id NOT IN (SELECT id FROM dg))")
+        steps.append(f"r{k} AS (SELECT id, sum(p) AS s FROM (SELECT g.b AS id, 0.85 * r.s / dg.degree AS p FROM r{k - 1} r JOIN g ON g.a = r.id JOIN dg ON dg.id = r.id UNION ALL SELECT n.id, (0.15 + 0.85 * m) / t.n FROM n, t, l{k}) GROUP BY id)")
+    return f"WITH e AS (SELECT n_nationkey AS src, 100 + n_regionkey AS dst FROM nation WHERE n_nationkey <> 3), g AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT n_nationkey AS id FROM nation UNION ALL SELECT 100 + r_regionkey FROM region), t AS (SELECT count(*) AS n FROM n), dg AS (SELECT a AS id, count(*) AS degree FROM g GROUP BY a), {', '.join(steps)} SELECT id, round(s, 6) AS score FROM r{rounds}"
+
+
+@query("gr_pagerank_unseeded", _unseeded_sql(5))
+def gr_pagerank_unseeded(x: Tables):
+    """A query whose seed is no node restarts at all nodes; one nation has no edge and loses mass."""
+    e = x.nation.filter("n_nationkey != 3").select(big("n_nationkey").alias("src"), (big("n_regionkey") + 100).alias("dst"))
+    nodes = x.nation.select(big("n_nationkey").alias("id")).union(x.region.select(big("r_regionkey") + 100))
+    seeds = x.region.filter("r_regionkey = 0").select(F.lit(0).cast("long").alias("query_id"), F.lit(-1).cast("long").alias("id"), F.lit(1.0).alias("weight"))
+    return graph.personalized_pagerank(graph.build(e, nodes), nodes, seeds, rounds=5, tolerance=None).select("id", r6("score").alias("score"))
 
 
 @query(
     "gr_blend",
-    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS seed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS ppr FROM orders WHERE o_custkey <= 200),
+    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS seed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS ppr FROM orders),
     f AS (SELECT query_id, id, CAST(0.7 AS DOUBLE) * (seed / max(seed) OVER (PARTITION BY query_id)) + (1 - CAST(0.7 AS DOUBLE)) * coalesce(coalesce(ppr, 0.0) / nullif(max(ppr) OVER (PARTITION BY query_id), 0), 0) AS fused FROM c)
     SELECT query_id, id, round(fused, 6) AS fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS BIGINT) AS fused_rank FROM f""",
 )
 def gr_blend(x: Tables):
-    c = x.orders.filter("o_custkey <= 200").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("seed_score"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 97).cast("double")).alias("ppr_score"))
+    c = x.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("seed_score"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 97).cast("double")).alias("ppr_score"))
     return fusion.blend(c, F.lit(0.7)).select("query_id", "id", r6("fused").alias("fused"), big("fused_rank").alias("fused_rank"))
 
 
@@ -171,21 +189,33 @@ def gr_append_missing(x: Tables):
 
 @query(
     "gr_protect_top",
-    f"WITH {RRF_CTE}, p AS (SELECT rr.query_id, rr.id, rr.rank, CASE WHEN kn.rank = 1 THEN 0 ELSE 1 END AS h FROM rr LEFT JOIN kn ON kn.query_id = rr.query_id AND kn.id = rr.id WHERE rr.rank <= 20) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h, rank) AS BIGINT) AS rank FROM p",
+    f"WITH {RRF_CTE}, h AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN -1 ELSE id END AS id FROM kn WHERE rank = 1), z AS (SELECT query_id, count(*) AS n FROM rr WHERE rank <= 20 GROUP BY 1), p AS (SELECT query_id, id, 0 AS rank FROM h UNION ALL SELECT rr.query_id, rr.id, rr.rank FROM rr LEFT JOIN h ON h.query_id = rr.query_id AND h.id = rr.id WHERE rr.rank <= 20 AND h.id IS NULL), o AS (SELECT p.query_id, p.id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank, p.id) AS rank, z.n FROM p JOIN z ON z.query_id = p.query_id) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM o WHERE rank <= n",
 )
 def gr_protect_top(x: Tables):
-    return fusion.protect_top_seed(rrf_top(x, 20).select("query_id", "id", "rank"), knn_top(x, 1)).select("query_id", "id", big("rank").alias("rank"))
+    """Every third query's top seed is one that the list lacks."""
+    head = knn_top(x, 1).select("query_id", F.when(F.col("query_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("id")).alias("id"))
+    return fusion.protect_top_seed(rrf_top(x, 20).select("query_id", "id", "rank"), head).select("query_id", "id", big("rank").alias("rank"))
 
 
 @query(
     "gr_anchor_neighbours",
-    f"WITH {EDGE_SQL}, pool AS (SELECT o_orderstatus AS st, o_orderkey + 1000000000 AS id, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_custkey <= 300 AND o_orderkey % 4 = 1), hits AS (SELECT e.src AS id, count(*) AS hits FROM pool JOIN (SELECT DISTINCT src, dst FROM e) e ON e.dst = pool.id GROUP BY 1 HAVING count(*) >= 2) SELECT id, CAST(hits AS BIGINT) AS hits FROM hits",
+    f"""WITH {EDGE_SQL}, a AS (SELECT DISTINCT src % 7 AS query_id, dst AS id FROM e WHERE (dst - 1000000000) % 4 = 1), hits AS (SELECT a.query_id, g.b AS id, count(*) AS hits FROM a JOIN g ON g.a = a.id GROUP BY 1, 2 HAVING count(*) >= 2),
+    pool AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM (SELECT DISTINCT src % 7 AS query_id, src AS id FROM e)), pl AS (SELECT query_id, id, k AS rank FROM pool WHERE k <= 3),
+    r AS (SELECT h.query_id, h.id, row_number() OVER (PARTITION BY h.query_id ORDER BY hits DESC, (h.id * 7919) % 1000 DESC, h.id) AS k FROM hits h LEFT JOIN a ON a.query_id = h.query_id AND a.id = h.id WHERE a.id IS NULL),
+    nb AS (SELECT r.query_id, r.id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.k) AS k FROM r LEFT JOIN pl ON pl.query_id = r.query_id AND pl.id = r.id WHERE pl.id IS NULL), m AS (SELECT query_id, max(rank) AS last FROM pl GROUP BY 1)
+    SELECT query_id, id, CAST(rank AS BIGINT) AS rank, 'pool' AS why FROM pl UNION ALL SELECT nb.query_id, nb.id, CAST(k + last AS BIGINT), 'anchor' FROM nb JOIN m ON m.query_id = nb.query_id WHERE k <= 10""",
 )
 def gr_anchor_neighbours(x: Tables):
-    e, _, _ = order_graph(x)
-    pool = e.filter("(dst - 1000000000) % 4 = 1").select(F.lit(0).cast("long").alias("query_id"), F.col("dst").alias("id"))
-    both = e.select(F.col("dst").alias("id"), F.col("src").alias("other")).distinct()
-    return pool.distinct().join(both, "id").groupBy(big("other").alias("id")).agg(F.count("*").alias("hits")).filter("hits >= 2")
+    """Seven queries whose anchors are orders; what several of them share are their customers. A pool of three of those."""
+    from pyspark.sql import Window
+
+    e, _, g = order_graph(x)
+    by = (F.col("src") % 7).cast("long").alias("query_id")
+    anchors = e.filter("(dst - 1000000000) % 4 = 1").select(by, F.col("dst").alias("id")).distinct()
+    mine = e.select(by, F.col("src").cast("long").alias("id")).distinct()
+    pool = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter("rank <= 3")
+    walked = mine.withColumn("ppr_score", ((F.col("id") * 7919) % 1000).cast("double"))
+    return fusion.append_anchor_neighbours(pool, anchors, g, walked, 10).select("query_id", big("id").alias("id"), big("rank").alias("rank"), "why")
 
 
 @query(
@@ -197,24 +227,22 @@ def gr_callers(x: Tables):
     return graph.neighbours(e, 5).select("id", "other", big("n").alias("n"), big("total").alias("total"))
 
 
-TWO_SQL = """e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey + 1000 * (l_linenumber % 3) AS dst FROM lineitem WHERE l_orderkey % 20 = 1)"""
-
-
-def small_edges(x: Tables):
-    return x.lineitem.filter("l_orderkey % 20 = 1").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") + 1000 * (F.col("l_linenumber") % 3)).alias("dst")).distinct()
+TWO_SQL = "e0 AS (SELECT DISTINCT l_partkey AS src, 10000000 + l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), st AS (SELECT DISTINCT dst AS id FROM e0 WHERE dst % 25 = 0)"
 
 
 @query(
     "gr_two_hops",
-    f"""WITH {TWO_SQL}, st AS (SELECT DISTINCT src AS id FROM e WHERE src % 25 = 0),
+    f"""WITH {TWO_SQL},
     n1 AS (SELECT st.id, e.dst AS other FROM st JOIN e ON e.src = st.id UNION SELECT st.id, e.src FROM st JOIN e ON e.dst = st.id),
     f AS (SELECT u.id, b.src AS other, 0 AS side FROM (SELECT st.id, e.src AS mid FROM st JOIN e ON e.dst = st.id) u JOIN e b ON b.dst = u.mid UNION ALL SELECT d.id, b.dst, 1 FROM (SELECT st.id, e.dst AS mid FROM st JOIN e ON e.src = st.id) d JOIN e b ON b.src = d.mid),
     m AS (SELECT f.id, f.other, min(side) AS side FROM f LEFT JOIN n1 ON n1.id = f.id AND n1.other = f.other WHERE f.id <> f.other AND n1.id IS NULL GROUP BY 1, 2)
     SELECT id, other, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, other) AS rank FROM m) WHERE rank <= 5""",
 )
 def gr_two_hops(x: Tables):
-    e = small_edges(x)
-    return graph.two_hops(e, e.filter("src % 25 = 0").select(F.col("src").alias("id")).distinct()).select(big("id").alias("id"), big("other").alias("other"), big("rank").alias("rank"))
+    """Parts and their first suppliers, edges both ways; every twenty-fifth supplier asks."""
+    e = x.lineitem.filter("l_linenumber = 1").select(big("l_partkey").alias("src"), (big("l_suppkey") + 10_000_000).alias("dst")).distinct()
+    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.two_hops(both, e.filter("dst % 25 = 0").select(F.col("dst").alias("id")).distinct()).select(big("id").alias("id"), big("other").alias("other"), big("rank").alias("rank"))
 
 
 @query(
@@ -232,10 +260,10 @@ def gr_hop_distance(x: Tables):
 
 @query(
     "gr_chunk_graph",
-    "WITH d AS (SELECT source AS name, doc_id AS chunk FROM documents), u AS (SELECT left(text, 12) AS name, min(doc_id) AS dst FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 1), c AS (SELECT doc_id + 1 AS chunk, left(text, 12) AS name FROM documents) SELECT DISTINCT c.chunk AS src, u.dst FROM c JOIN u ON u.name = c.name WHERE c.chunk <> u.dst",
+    "WITH d AS (SELECT md5(text) AS name, doc_id AS chunk FROM documents), u AS (SELECT name, min(chunk) AS dst FROM d GROUP BY 1 HAVING count(DISTINCT chunk) = 1), c AS (SELECT chunk + 1 AS chunk, name FROM d) SELECT DISTINCT c.chunk AS src, u.dst FROM c JOIN u ON u.name = c.name WHERE c.chunk <> u.dst",
 )
 def gr_chunk_graph(x: Tables):
-    d = x.documents.select(F.left("text", F.lit(12)).alias("name"), F.col("doc_id").alias("chunk"))
+    d = x.documents.select(F.md5(F.col("text").cast("binary")).alias("name"), F.col("doc_id").alias("chunk"))
     return graph.chunk_graph(d, d.select("name", (F.col("chunk") + 1).alias("chunk")))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wherry.functions import text as t
 from wherry.functions import vec as v
 from wherry.operators import pack, rank
-from wherry.queries.base import Tables, big, query, r6
+from wherry.queries.base import Tables, big, cut_sql, query, r6
 
 BM25_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
@@ -84,34 +84,61 @@ def paths(x: Tables):
     return x.pages.select("page_id", t.normal_path(F.regexp_replace("url", "^[a-z]+://", "")).alias("path"), t.file_dir(F.col("url")).alias("dir"), t.file_ext(F.col("url")).alias("ext"))
 
 
-@query(
-    "s_first_sentence",
-    r"""SELECT doc_id, CASE WHEN regexp_extract(trim(text), '(?s)^(.*?[.!?])(?:\s|$)', 1) = '' THEN trim(text) ELSE regexp_extract(trim(text), '(?s)^(.*?[.!?])(?:\s|$)', 1) END AS sentence FROM documents""",
-)
+# Documents with comment syntax around and two paragraphs in every second one.
+SENTENCE_SQL = r"""WITH a AS (SELECT doc_id, trim('// ' || CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Foo  * reads.' || chr(10) || chr(10) || text END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS d FROM documents),
+p AS (SELECT doc_id, CASE WHEN strpos(d, chr(10) || chr(10)) > 1 THEN left(d, strpos(d, chr(10) || chr(10)) - 1) ELSE d END AS d FROM a),
+w AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(d, '\s+'), lambda z: NOT list_contains(['', '//', '///', '/*', '/**', '*', '*/', '#'], z)), ' ') AS d FROM p),
+s AS (SELECT doc_id, CASE WHEN strpos(d, '. ') > 1 THEN left(d, strpos(d, '. ')) ELSE d END AS d FROM w)"""
+
+
+@query("s_first_sentence", f"{SENTENCE_SQL} SELECT doc_id, {cut_sql('d', 220)} AS sentence FROM s")
 def first_sentence(x: Tables):
-    return x.documents.select("doc_id", t.first_sentence(F.col("text")).alias("sentence"))
+    doc = F.concat(F.lit("// "), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("Foo  * reads.\n\n"), "text")))
+    return x.documents.select("doc_id", t.first_sentence(doc).alias("sentence"))
 
 
-@query("s_clean_subject", r"SELECT item_id, trim(regexp_replace(regexp_replace('fix(' || item_id || '): ' || text || ' (#12)', '^[a-z]+(\([^)]*\))?!?:\s*', ''), '\s*\(#\d+\)\s*$', '')) AS subject FROM benchmark")
+@query("s_strip_name", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'returns the ' || p_type WHEN p_partkey % 3 = 1 THEN 'Gives ' || p_type ELSE 'foo' END AS sentence FROM part")
+def strip_name(x: Tables):
+    m = F.col("p_partkey") % 3
+    raw = F.when(m == 0, F.concat(F.lit("FOO returns the "), "p_type")).when(m == 1, F.concat(F.lit("Gives "), "p_type")).otherwise("foo")
+    return x.part.select("p_partkey", t.strip_leading_name(raw, F.lit("Foo")).alias("sentence"))
+
+
+@query(
+    "s_clean_subject",
+    r"""WITH s AS (SELECT item_id, replace(replace(replace(text, chr(10), ' '), '#', ''), ': ', ' ') AS b FROM benchmark) SELECT item_id, CASE item_id % 3 WHEN 0 THEN trim('see  for ' || b) WHEN 1 THEN trim('see  for ' || b) ELSE trim('fix(x)! see  for ' || b) END AS subject FROM s""",
+)
 def clean_subject(x: Tables):
-    raw = F.concat(F.lit("fix("), F.col("item_id").cast("string"), F.lit("): "), F.col("text"), F.lit(" (#12)"))
+    """An issue number in the midst goes, as does a conventional prefix; a path in front goes last and leaves the prefix behind it."""
+    body = F.concat(F.lit("see (#12) for "), F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit("")), F.lit(": "), F.lit(" ")))
+    m = F.col("item_id") % 3
+    raw = F.when(m == 0, F.concat(F.lit("fix(a)! "), body)).when(m == 1, F.concat(F.lit("pkg/kv: "), body)).otherwise(F.concat(F.lit("pkg/kv: fix(x)! "), body))
     return x.benchmark.select("item_id", t.clean_subject(raw).alias("subject"))
 
 
+@query("flt_compound", "SELECT doc_id, len(string_split(text, ',')) > 2 OR contains(text, ' + ') OR contains(text, ';') AS compound FROM documents")
+def compound(x: Tables):
+    return x.documents.select("doc_id", t.is_compound(F.col("text")).alias("compound"))
+
+
 @query(
     "s_parse_span",
-    """SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS starts, CAST(sum(l_linenumber + CAST(l_quantity AS INTEGER)) AS BIGINT) AS ends FROM lineitem GROUP BY l_orderkey""",
+    """WITH l AS (SELECT l_orderkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) - 5 AS b, l_linenumber % 3 AS m FROM lineitem) SELECT l_orderkey, CAST(coalesce(sum(CASE WHEN m > 0 AND b >= 0 THEN a END), 0) AS BIGINT) AS starts, CAST(coalesce(sum(CASE WHEN m > 0 AND b >= 0 THEN b END), 0) AS BIGINT) AS ends, CAST(count(*) FILTER (m > 0 AND b >= 0 AND b >= a) AS BIGINT) AS forward FROM l GROUP BY l_orderkey""",
 )
 def parse_span(x: Tables):
-    spans = x.lineitem.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).cast("string"))), ",").alias("span"))
-    s = t.parse_span(F.col("span"))
-    total = lambda k: big(F.aggregate(s, F.lit(0), lambda a, z: a + z[k]))
-    return spans.select("l_orderkey", total("start").alias("starts"), total("end").alias("ends"))
+    """Ranges in a list, single numbers and words among them; only one that does not run backwards is a range by itself."""
+    a, b = F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") - 5
+    one = F.when((a % 3 > 0) & (b >= 0), F.concat_ws(" - ", a.cast("string"), b.cast("string"))).when(a % 3 > 0, "x-2").otherwise(a.cast("string"))
+    rows = x.lineitem.select("l_orderkey", one.alias("one"))
+    spans = rows.groupBy("l_orderkey").agg(F.array_join(F.collect_list("one"), ",").alias("span"), F.count(t.parse_span(F.col("one"))).alias("forward"))
+    s = t.parse_spans(F.col("span"))
+    total = lambda k: big(F.aggregate(s, F.lit(0), lambda acc, z: acc + z[k]))
+    return spans.select("l_orderkey", total("start").alias("starts"), total("end").alias("ends"), "forward")
 
 
-@query("s_redact", "SELECT DISTINCT source, 'h:' || left(sha256(source), 12) AS redacted FROM documents")
+@query("s_redact", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'h:' || left(sha256(source), 12) END AS redacted FROM documents")
 def redact(x: Tables):
-    return x.documents.select("source", t.redact(F.col("source")).alias("redacted")).distinct()
+    return x.documents.select("doc_id", t.redact(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source"))).alias("redacted"))
 
 
 @query("s_sha256", "SELECT page_id, sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages")
@@ -165,10 +192,14 @@ def percentiles(x: Tables):
     return nearest_rank(x.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).join(x.events.groupBy("event_type").agg(F.max("value").alias("top")), "event_type").select("event_type", r6("p50").alias("p50"), r6("p95").alias("p95"), r6("top").alias("top"))
 
 
-@query("s_visibility", r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (CASE WHEN regexp_matches(p_name, '^\p{Lu}') THEN 'exported' ELSE 'internal' END) WHEN p_partkey % 3 = 1 THEN 'test' ELSE 'public' END AS visibility FROM part""")
+@query(
+    "s_visibility",
+    r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN (CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 'public' ELSE 'internal' END) WHEN 2 THEN 'internal' WHEN 3 THEN 'internal' ELSE 'public' END AS visibility FROM part""",
+)
 def visibility(x: Tables):
-    file = F.when(F.col("p_partkey") % 3 == 0, "a.go").when(F.col("p_partkey") % 3 == 1, "a.test.ts").otherwise("a.py")
-    return x.part.select("p_partkey", rank.visibility(F.col("p_name"), file).alias("visibility"))
+    m = F.col("p_partkey") % 6
+    file = F.when(m == 0, "a.go").when(m == 1, "b/c.ts").when(m == 2, "a.test.ts").when(m == 3, "x_test.js").when(m == 4, "a_test.py").otherwise("Makefile")
+    return x.part.select("p_partkey", rank.visibility(F.concat(F.lit("pkg."), "p_name"), file).alias("visibility"))
 
 
 @query("s_test_files", r"""SELECT page_id, regexp_matches(url, '(^|/)(test|tests|testdata|mock|mocks|fixtures|e2e|bench|benchmarks)(/|$)') AS infra FROM pages""")
@@ -176,6 +207,9 @@ def test_files(x: Tables):
     return x.pages.select("page_id", F.col("url").rlike(r"(^|/)(test|tests|testdata|mock|mocks|fixtures|e2e|bench|benchmarks)(/|$)").alias("infra"))
 
 
-@query("s_branch_lines", r"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda z: regexp_matches(trim(z), '^(\}?\s*else\b|if\b|switch\b|case\b|default:|select\b|match\b|when\b|elif\b)'))) AS BIGINT) AS branches FROM documents""")
+BRANCH_SQL = " OR ".join(f"starts_with(trim(z, ' ' || chr(9) || chr(13)), '{p}')" for p in pack.BRANCH_PREFIXES)
+
+
+@query("s_branch_lines", f"SELECT doc_id, CAST(len(list_filter(string_split('else if' || chr(10) || '}} else' || chr(10) || text || chr(10) || 'If x', chr(10)), lambda z: {BRANCH_SQL})) AS BIGINT) AS branches FROM documents")
 def branch_lines(x: Tables):
-    return x.documents.select("doc_id", big(F.size(F.filter(F.split("text", "\n"), pack.branch_control))).alias("branches"))
+    return x.documents.select("doc_id", big(F.size(F.filter(F.split(F.concat(F.lit("else if\n} else\n"), "text", F.lit("\nIf x")), "\n"), pack.branch_control))).alias("branches"))

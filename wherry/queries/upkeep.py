@@ -68,10 +68,23 @@ def src_overlay(x: Tables):
 
 @query(
     "src_grep_cost",
-    "WITH h AS (SELECT b.item_id, d.source, min(d.doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 24)) GROUP BY 1, 2) SELECT item_id, count(*) AS files FROM h GROUP BY 1",
+    "WITH n AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS needle FROM benchmark), u AS (SELECT DISTINCT needle FROM n), h AS (SELECT DISTINCT u.needle, d.source FROM u JOIN documents d ON contains(d.text, u.needle)), f AS (SELECT n.item_id, n.needle, count(*) AS files FROM n JOIN h ON h.needle = n.needle GROUP BY 1, 2) SELECT item_id, count(*) AS needles, CAST(sum(files) AS BIGINT) AS reads, min(files) AS fewest FROM f GROUP BY 1",
 )
 def src_grep_cost(x: Tables):
-    return readers.grep_files(x.benchmark.select(F.col("item_id").alias("query_id"), F.left("text", F.lit(24)).alias("needle")), x.documents.select(F.col("source").alias("file"), "text")).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("files"))
+    """The words of each question as needles: how many have a file, how many files a reader opens, and for the rarest needle."""
+    needles = x.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("needle"))
+    hits = readers.grep_files(needles, x.documents.select(F.col("source").alias("file"), "text")).groupBy("query_id", "needle").agg(F.count("*").alias("files"))
+    return hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("needles"), F.sum("files").alias("reads"), F.min("files").alias("fewest"))
+
+
+@query(
+    "src_reads_to_target",
+    "WITH n AS (SELECT DISTINCT item_id, regexp_extract(lower(text), '[a-z]{8,}', 0) AS needle FROM benchmark), h AS (SELECT DISTINCT n.item_id, d.source FROM n JOIN documents d ON n.needle <> '' AND contains(d.text, n.needle)), r AS (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY source) AS k FROM h) SELECT item_id, CAST(min(CASE WHEN source = 'src7' THEN k END) AS BIGINT) AS reads FROM r GROUP BY 1",
+)
+def src_reads_to_target(x: Tables):
+    needles = x.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract(F.lower("text"), "[a-z]{8,}", 0).alias("needle")).filter("needle != ''").distinct()
+    hits = readers.grep_files(needles, x.documents.select(F.col("source").alias("file"), "text")).select("query_id", "file").distinct()
+    return readers.reads_to_target(hits, hits.select("query_id").distinct().withColumn("file", F.lit("src7"))).select(F.col("query_id").alias("item_id"), big("reads").alias("reads"))
 
 
 OLD = "old AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 3), new AS (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN 'x' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 10 <> 7)"
@@ -136,11 +149,11 @@ def snk_dependents(x: Tables):
     return maintain.edge_dependents(e, s, s.filter("file_id < 5").select("file_id").distinct())
 
 
-@query("snk_redacted_export", "SELECT event_id, 'h:' || left(sha256(CAST(user_id AS VARCHAR)), 12) AS user_hash, event_type FROM events")
+@query("snk_redacted_export", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'h:' || left(sha256(CAST(user_id AS VARCHAR)), 12) END AS user_hash, event_type FROM events")
 def snk_redacted_export(x: Tables):
     from wherry.functions.text import redact
 
-    return x.events.select("event_id", redact(F.col("user_id").cast("string")).alias("user_hash"), "event_type")
+    return x.events.select("event_id", redact(F.when(F.col("event_id") % 9 == 0, "").otherwise(F.col("user_id").cast("string"))).alias("user_hash"), "event_type")
 
 
 @query(
@@ -207,15 +220,20 @@ def ag_weighted(x: Tables):
     return rounded(metrics.weighted(metrics.summarize(cases(x).withColumn("project", F.col("query_id") % 4), ["project"])))
 
 
-GRADED = f"""WITH {BM25_CTE}, qr AS (SELECT DISTINCT q.item_id AS query_id, l.doc_id AS id, l.quality + l.toxic AS grade FROM benchmark q JOIN labels l ON (q.item_id + l.doc_id) % 7 = 0), gd AS (SELECT * FROM qr WHERE grade > 0),
+# Judgements: each label belongs to one question, so they grow with the labels alone.
+QREL_SQL = "qr AS (SELECT DISTINCT doc_id % 40 AS query_id, doc_id AS id, quality + toxic AS grade FROM labels)"
+GRADED = f"""WITH {BM25_CTE}, {QREL_SQL}, gd AS (SELECT * FROM qr WHERE grade > 0),
 i AS (SELECT query_id, sum(CASE WHEN n <= 10 THEN (pow(2, grade) - 1) / log2(n + 1) END) AS ideal, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS n FROM gd) GROUP BY 1),
 d AS (SELECT bm.query_id, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) END) AS dcg, count(*) FILTER (rank <= 100) AS found FROM bm JOIN gd ON gd.query_id = bm.query_id AND gd.id = bm.doc GROUP BY 1), pq AS (SELECT i.query_id, coalesce(dcg, 0) / ideal AS ndcg, coalesce(found, 0) / i.n AS recall FROM i LEFT JOIN d USING (query_id))"""
 
 
+def judged(x: Tables):
+    return x.labels.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("id"), (F.col("quality") + F.col("toxic")).alias("grade")).distinct()
+
+
 def graded(x: Tables):
-    qrels = x.benchmark.select(F.col("item_id").alias("query_id")).join(x.labels, (F.col("query_id") + F.col("doc_id")) % 7 == 0).select("query_id", F.col("doc_id").alias("id"), (F.col("quality") + F.col("toxic")).alias("grade")).distinct()
-    rows = bm25_top(x, 1 << 30).select("query_id", F.col("doc").alias("id"), "rank")
-    return metrics.graded_ndcg(rows, qrels)
+    rows = bm25_top(x, 100).select("query_id", F.col("doc").alias("id"), "rank")
+    return metrics.graded_ndcg(rows, judged(x))
 
 
 @query("ag_graded_ndcg", GRADED + " SELECT query_id, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall FROM pq")
@@ -228,11 +246,11 @@ def ag_pooled_macro(x: Tables):
     return metrics.pooled_and_macro(graded(x).withColumn("repo", F.col("query_id") % 3), "repo", "ndcg").select("repo", "n", r6("value").alias("value"))
 
 
-SHOWN = """sh AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_suppkey % 3 AS file, l_partkey % 40 AS start, l_partkey % 40 + l_linenumber AS "end" FROM lineitem WHERE l_orderkey <= 1200), gr AS (SELECT l_orderkey AS query_id, l_suppkey % 3 AS file, l_partkey % 40 + 1 AS start, l_partkey % 40 + 4 AS "end" FROM lineitem WHERE l_orderkey <= 1200 AND l_linenumber % 2 = 1)"""
+SHOWN = """sh AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_suppkey % 3 AS file, l_partkey % 40 AS start, l_partkey % 40 + l_linenumber AS "end" FROM lineitem), gr AS (SELECT l_orderkey AS query_id, l_suppkey % 3 AS file, l_partkey % 40 + 1 AS start, l_partkey % 40 + 4 AS "end" FROM lineitem WHERE l_linenumber % 2 = 1)"""
 
 
 def shown_gold(x: Tables):
-    rows = x.lineitem.filter("l_orderkey <= 1200")
+    rows = x.lineitem
     start = big(F.col("l_partkey") % 40)
     shown = rows.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") % 3).alias("file"), start.alias("start"), (start + F.col("l_linenumber")).alias("end"))
     gold = rows.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 3).alias("file"), (start + 1).alias("start"), (start + 4).alias("end"))
@@ -260,15 +278,24 @@ def ag_line_budget(x: Tables):
 
 @query(
     "ag_budget_ndcg",
-    f"""WITH {SHOWN}, g AS (SELECT DISTINCT query_id, file, unnest(range(start, "end" + 1)) AS line FROM gr), f AS (SELECT s.query_id, s.file, s.line, min(s.rank) AS rank FROM (SELECT query_id, rank, file, unnest(range(start, "end" + 1)) AS line FROM sh) s JOIN g USING (query_id, file, line) GROUP BY 1, 2, 3), d AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM f GROUP BY 1),
-    z AS (SELECT *, "end" - start + 1 AS n FROM gr), i AS (SELECT query_id, n, row_number() OVER w AS i, sum(n) OVER (PARTITION BY query_id ORDER BY n DESC, file, start ROWS UNBOUNDED PRECEDING) AS spent FROM z WINDOW w AS (PARTITION BY query_id ORDER BY n DESC, file, start)), k AS (SELECT query_id, sum(n / log2(i + 1)) AS ideal FROM i WHERE spent <= 12 GROUP BY 1)
-    SELECT k.query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg_b FROM k LEFT JOIN d USING (query_id)""",
+    f"""WITH {SHOWN}, rg AS (SELECT query_id, file, start, least(CASE WHEN query_id % 8 = 1 THEN start + 90 WHEN query_id % 8 = 2 THEN start + 9000 ELSE "end" END, start + 5000) AS "end" FROM gr), g AS (SELECT DISTINCT query_id, file, unnest(range(start, "end" + 1)) AS line FROM rg), f AS (SELECT s.query_id, s.file, s.line, min(s.rank) AS rank FROM (SELECT query_id, rank, file, unnest(range(start, "end" + 1)) AS line FROM sh) s JOIN g USING (query_id, file, line) GROUP BY 1, 2, 3), d AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM f GROUP BY 1),
+    z AS (SELECT *, "end" - start + 1 AS n FROM rg), i AS (SELECT query_id, n, row_number() OVER w AS i, sum(n) OVER (PARTITION BY query_id ORDER BY n DESC, file, start ROWS UNBOUNDED PRECEDING) AS spent FROM z WINDOW w AS (PARTITION BY query_id ORDER BY n DESC, file, start)), k AS (SELECT query_id, sum(n / log2(i + 1)) AS ideal FROM i WHERE spent <= 12 GROUP BY 1), q AS (SELECT DISTINCT query_id FROM gr)
+    SELECT q.query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END, 6) AS ndcg_b FROM q LEFT JOIN k ON k.query_id = q.query_id LEFT JOIN d ON d.query_id = q.query_id""",
 )
 def ag_budget_ndcg(x: Tables):
+    """Some questions have a first region beyond the budget (they score 0), some a region that is clipped."""
     shown, gold = shown_gold(x)
+    k = F.col("query_id") % 8
+    gold = gold.withColumn("end", F.when(k == 1, F.col("start") + 90).when(k == 2, F.col("start") + 9000).otherwise(F.col("end")))
     return metrics.budget_ndcg(shown, gold, 12).select("query_id", r6("ndcg_b").alias("ndcg_b"))
 
 
+@query("ag_hit_region", f"""WITH {SHOWN}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file, start, "end") AS k FROM gr), h AS (SELECT r.query_id, r.k, max(CASE WHEN s.query_id IS NULL THEN 0 ELSE 1 END) AS hit FROM r LEFT JOIN (SELECT * FROM sh WHERE rank <= 2) s ON s.query_id = r.query_id AND s.file = r.file AND r.start <= s."end" AND s.start <= r."end" GROUP BY 1, 2) SELECT query_id, round(avg(hit), 6) AS hit_region FROM h GROUP BY 1""")
+def ag_hit_region(x: Tables):
+    shown, gold = shown_gold(x)
+    return metrics.hit_region(shown.filter("rank <= 2"), gold).select("query_id", r6("hit_region").alias("hit_region"))
+
+
 @query(
     "ag_run_diff",
     "WITH a AS (SELECT n_name AS metric, n_nationkey / 25.0 AS v FROM nation WHERE n_nationkey <> 3), b AS (SELECT n_name AS metric, n_nationkey / 25.0 + (n_nationkey % 3 - 1) * 0.05 AS v FROM nation WHERE n_nationkey <> 4) SELECT coalesce(a.metric, b.metric) AS metric, round(b.v - a.v, 6) AS delta, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'gone' WHEN abs(b.v - a.v) <= 0.02 THEN 'even' WHEN b.v > a.v THEN 'better' ELSE 'worse' END AS verdict FROM a FULL JOIN b ON a.metric = b.metric",
@@ -331,14 +358,28 @@ def sm_stride(x: Tables):
 
 @query(
     "sm_hard_negatives",
-    f"WITH {BM25_CTE}, rel AS (SELECT doc_id FROM labels WHERE quality = 1), n AS (SELECT query_id, doc AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM bm WHERE doc NOT IN (SELECT doc_id FROM rel)) SELECT query_id, id, CAST(n AS BIGINT) AS n FROM n WHERE n <= 8",
+    f"WITH {BM25_CTE}, rel AS (SELECT DISTINCT doc_id % 40 AS query_id, doc_id AS id FROM labels WHERE quality = 1), n AS (SELECT bm.query_id, doc AS id, row_number() OVER (PARTITION BY bm.query_id ORDER BY rank) AS n FROM bm LEFT JOIN rel ON rel.query_id = bm.query_id AND rel.id = bm.doc WHERE rel.id IS NULL) SELECT query_id, id, CAST(n AS BIGINT) AS n FROM n WHERE n <= 8",
 )
 def sm_hard_negatives(x: Tables):
-    rows = bm25_top(x, 1 << 30).select("query_id", F.col("doc").alias("id"), "rank")
-    good = x.labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct().crossJoin(F.broadcast(x.benchmark.select(F.col("item_id").alias("query_id"))))
+    """A list of eight and as many as a question has good documents holds eight others."""
+    good = x.labels.filter("quality = 1").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("id")).distinct()
+    most = good.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = bm25_top(x, 8 + most).select("query_id", F.col("doc").alias("id"), "rank")
     return metrics.hard_negatives(rows, good).select("query_id", "id", big("n").alias("n"))
 
 
+@query(
+    "sm_training_rows",
+    f"WITH {BM25_CTE}, rel AS (SELECT DISTINCT doc_id % 40 AS query_id, doc_id AS id FROM labels WHERE quality = 1), p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM rel), n AS (SELECT bm.query_id, doc AS id, row_number() OVER (PARTITION BY bm.query_id ORDER BY rank) AS n FROM bm LEFT JOIN rel ON rel.query_id = bm.query_id AND rel.id = bm.doc WHERE rel.id IS NULL), ng AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS negatives FROM n WHERE n <= 8 GROUP BY 1) SELECT p.query_id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS positives, ng.negatives FROM p JOIN ng ON ng.query_id = p.query_id WHERE k <= 4 GROUP BY 1, 3",
+)
+def sm_training_rows(x: Tables):
+    good = x.labels.filter("quality = 1").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("id")).distinct()
+    most = good.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = bm25_top(x, 8 + most).select("query_id", F.col("doc").alias("id"), "rank")
+    made = metrics.training_rows(metrics.hard_negatives(rows, good), good)
+    return made.select("query_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positives", "negatives")))
+
+
 @query(
     "sm_holdout",
     "WITH s AS (SELECT DISTINCT source FROM documents), h AS (SELECT source, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(source, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM s) SELECT source, h % 100 < 30 AS held_out FROM h",

@@ -96,11 +96,69 @@ def overlay_docs(symbols: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("doc", F.concat_ws("\n", "summary", "doc")).drop("summary")
 
 
-def grep_files(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, file) of files whose text contains a query's needle: the stated needles meet every text once."""
-    return texts.join(F.broadcast(needles), F.contains("text", "needle")).select("query_id", "file").distinct()
+#: Characters of needles that one automaton holds; more are searched in several passes.
+NEEDLE_CHARS = 1 << 24
+
 
+def grep_files(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, needle, file) of files (file, text) that hold a needle (query_id, needle) anywhere in their text.
 
+    All needles are one automaton, so each text is read once however many there are; what is shuffled is the distinct
+    pairs found. Empty needles match nothing.
+    """
+    found = contained(needles.select("needle"), texts, "file", "text")
+    return needles.select("query_id", "needle").distinct().join(found, "needle").select("query_id", "needle", "file")
+
+
+def contained(needles: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct (needle, key) of texts that contain a needle; the distinct needles are a stated set and travel in blocks."""
+    import ahocorasick
+    import pyarrow as pa
+
+    blocks: list[list[str]] = [[]]
+    size = 0
+    for r in needles.select("needle").filter("needle != ''").distinct().toLocalIterator():
+        if size > NEEDLE_CHARS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r[0])
+        size += len(r[0])
+    kind = texts.schema[key].dataType.simpleString()
+
+    def search(words):
+        def run(batches):
+            automaton = ahocorasick.Automaton()
+            for w in words.value:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, hits = [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    seen = {w for _, w in automaton.iter(t)} if t else ()
+                    rows += [i] * len(seen)
+                    hits += seen
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["needle", key])
+
+        return run
+
+    out = None
+    for block in blocks:
+        words = texts.sparkSession.sparkContext.broadcast(block)
+        part = texts.select(key, text).mapInArrow(search(words), f"needle string, `{key}` {kind}") if block else texts.select(F.lit("").alias("needle"), key).limit(0)
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
+def reads_to_target(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, reads): how many of a query's files (query_id, file) are opened in path order until its target; null if it is not among them."""
+    from pyspark.sql import Window
+
+    placed = hits.select("query_id", "file").distinct().withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("file")))
+    found = placed.join(targets.distinct(), ["query_id", "file"], "left_semi").groupBy("query_id").agg(F.min("k").alias("reads"))
+    return hits.select("query_id").distinct().join(found, "query_id", "left")
+
+
+# Lines of documentation that say nothing of the code: tags, pragmas of tools, rules.
 _TAG = r"^[@\\][a-zA-Z]+"
 _PRAGMA = r"^(NOLINT|nolint|noinspection|eslint-|prettier-|tslint:|@ts-|istanbul |c8 |codebeat|SPDX-|Copyright|coverage:)"
 _RULE = r"^[-=~_*{}\[\]()<>|/\\ \t]*$"
