@@ -1,6 +1,11 @@
 """Corpus pipeline: toxicity, line deduplication, near-duplicates, decontamination, tokenisation.
 
 Each stage works on all its predecessor kept. All but the last return the columns of ``documents``.
+
+What a text is rejected for depends on the text alone, so toxicity and decontamination decide by row, whatever its id.
+Of near-duplicates the rows with the least id stay: rows that repeat an id stand or fall together, rows without an id
+stay. Null and empty texts are kept by every stage (empty ones are near-duplicates of each other); empty tables give
+empty tables; further columns are passed on.
 """
 
 from __future__ import annotations
@@ -15,9 +20,7 @@ from wherry.llm.components import connected_components
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects; it is trained on these documents and the labels."""
-    trained = op4_toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rejected = materialize(op4_toxicity.score(docs, trained).filter("predicted = 1").select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return op4_toxicity.accepted(docs, op4_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of any benchmark item; op10's ``contaminated`` asks for several and is not used."""
-    found = op10_decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaked = materialize(found.filter("n_hit > 0").select("doc_id").distinct())
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    index = op10_decontaminate.build_index(docs.select(F.xxhash64("text").alias("doc_id"), "text"))
+    leaked = op10_decontaminate.search(index, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("digest"))
+    leaked = materialize(leaked.distinct())
+    return docs.join(leaked, F.xxhash64(docs["text"]) == leaked["digest"], "left_anti")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,6 +162,12 @@ def test_html_classes_need_end_tags(spark):
     assert "body/div[class=a]" in t and "body/div[class=b]" not in t
 
 
+def test_html_unclosed_elements_swallow_nothing():
+    assert op2.extract("<article><p>a<svg><path><p>b<select><option>c</article>") == "a b c"
+    assert op2.extract("<article>a <svg><text>no</text></svg>b <math><mi>x</mi></math> <object>c</object><select><option>no</select></article>") == "a b x c"
+    assert op2.extract("<article>a<noscript>no</noscript></article>") == "a"
+
+
 def test_html_articles_lose_nothing():
     anchors = "<article><header><h1>Title</h1></header><section id='related-work'><h2 id=search>Search</h2><p>a</p></section><div id='form-validation'>b</div><div class=share>c</div></article>"
     assert op2.extract(f"<body><nav>n</nav><header>top</header>{anchors}</body>") == "Title Search a b"
@@ -749,6 +755,26 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.toxicity(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_rows_without_and_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("i1", words(1, 20))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, labels = toxic_tables(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bad, leak, clean = words(500, 30) + " zzgrump moronik zzgrump", words(2, 5) + " " + words(1, 20), words(3, 30)
+    rows = [(None, bad), (None, leak), (None, clean), (7000, bad), (7000, clean), (7001, leak), (7001, words(4, 30)), (7002, None), (7003, "")]
+    odd = frame(spark, rows).select("doc_id", "text", "lang").withColumn("digest", F.lit("clash"))
+    kept = corpus_pipeline.toxicity(spark, odd.unionByName(docs.withColumns({"lang": F.lit("x"), "digest": F.lit("y")})), str(tmp_path)).filter("doc_id is null or doc_id >= 7000")
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str) == sorted(((i or 0, t) for i, t in rows if t != bad), key=str)
+    kept = corpus_pipeline.decontaminate(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str) == sorted(((i or 0, t) for i, t in rows if t != leak), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+        if name != "toxicity":
+            assert (7002, None) in [(r["doc_id"], r["text"]) for r in stage(spark, odd, str(tmp_path)).collect()], name
+
+
 def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
     import corpus_pipeline
 

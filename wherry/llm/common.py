@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    The setting names the cluster's shared store. Only where it is unset (a local session, tests)
-    a folder of this machine is chosen and remembered in the session.
+    The setting names the cluster's shared store. Where it is unset, a local session gets a folder of this machine,
+    remembered in the session; on a cluster that would be another one on each node, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.wherry.localShared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         base = "file://" + tempfile.mkdtemp(prefix="wherry-")
         spark.conf.set("spark.wherry.localShared", base)
     return f"{base.rstrip('/')}/wherry-{uuid.uuid4().hex}"

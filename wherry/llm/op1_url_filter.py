@@ -99,7 +99,9 @@ def links_of(html: Column) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): shares of a host's outgoing links to other hosts."""
-    links = pages.filter(F.contains(F.lower("html"), F.lit("href"))).select(host_of(F.col("url")).alias("src"), F.explode(links_of(F.col("html"))).alias("link"))
+    # Pages whose links are all relative, and have no base, are left before their markup is read.
+    some = pages.filter(F.rlike("html", F.lit(r"""(?i)href\s*=\s*["']?\s*(?:https?[:&]|//|&)|<base\b""")))
+    links = some.select(host_of(F.col("url")).alias("src"), F.explode(links_of(F.col("html"))).alias("link"))
     counted = links.select("src", host_of(F.col("link")).alias("dst")).filter("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     out = counted.groupBy("src").agg(F.sum("n").alias("total"))
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))

@@ -47,7 +47,9 @@ from wherry.llm.common import materialize, pieces, table
 MAX_BROADCAST_BYTES = 8 << 20
 
 # HTML element names.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
+#: Elements that hold no text of the page if they are closed; without an end tag they swallow nothing.
+CLOSED_RAW = ("svg", "canvas", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -68,7 +70,7 @@ ENDS_P = BLOCKS - frozenset("br button caption option td th tr tbody thead tfoot
 ENDS_LEFT_OUT = frozenset("html head body p li dt dd tr td th thead tbody tfoot option".split())
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<part>" + "|".join(CLOSED_RAW) + r")\b[^>]*>.*?</(?P=part)\s*>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -117,7 +119,7 @@ class Tokens:
             at = m.end()
             name = m["name"]
             if name is None:
-                boundary = boundary or m["raw"] is not None
+                boundary = boundary or m["raw"] is not None or m["part"] is not None
                 continue
             name = name.lower()
             if name not in BLOCKS:

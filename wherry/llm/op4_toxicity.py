@@ -316,6 +316,19 @@ def score(docs: DataFrame, trained: ToxicModel) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, trained: ToxicModel) -> DataFrame:
+    """The rows of documents(text, ...) that are not predicted to be toxic, all columns as they are."""
+    parts = (trained.table.keys, trained.weights, trained.bias, trained.trained)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = ToxicModel(*parts)
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(m.score(batch.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -93,8 +93,8 @@ def fingerprints(lines: DataFrame) -> DataFrame:
             n = F.when(F.get(h, i - j) >= x if before else F.get(h, i + j) > x, n).otherwise(F.lit(j - 1))
         return n
 
-    chosen = lambda x, i: F.when(reach(i, True, x) + reach(i, False, x) >= W - 1, x)
-    return lines.select("doc_id", "twin", F.posexplode(F.transform("g", chosen)).alias("pos", "fp")).filter("fp is not null")
+    chosen = lambda x, i: F.when(reach(i, True, x) + reach(i, False, x) >= W - 1, F.struct(i.alias("pos"), x.alias("fp")))
+    return lines.select("doc_id", "twin", F.inline(F.array_compact(F.transform("g", chosen))))
 
 
 def runs(lines: DataFrame) -> DataFrame:
