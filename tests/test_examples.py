@@ -194,12 +194,13 @@ def test_alpha_gate(spark):
 
 
 def test_anchor_slots():
-    ranked = [{"id": i, "file": f"f{i}"} for i in range(10)]
-    anchors = [{"id": 99, "file": "new"}, {"id": 98, "file": "f1"}]
-    got = fusion.reserve_anchor_slots(ranked, anchors, 10)
-    assert [r["id"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 99, 8]
-
-
+    row = lambda i, file, anchor=False: {"id": i, "file": file, "is_anchor": anchor}
+    rows = [row(i, f"f{i}") for i in range(12)] + [row(98, "f1", True), row(99, "new", True), row(97, "new", True)]
+    assert [r["id"] for r in fusion.reserve_anchor_slots(rows, 10)] == [0, 1, 2, 3, 4, 5, 6, 7, 99, 8]
+    assert fusion.reserve_anchor_slots(rows[:10], 10) == rows[:10]
+    inside = [row(50, "x", True), row(51, "y", True), *rows]
+    assert fusion.reserve_anchor_slots(inside, 10) == inside
+    assert [r["id"] for r in fusion.reserve_anchor_slots([row(i, f"f{i}") for i in range(4)] + [row(9, "z", True)], 3)] == [0, 1, 9]
 
 
 def test_fnv_values(spark):

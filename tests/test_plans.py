@@ -7,7 +7,7 @@ from wherry.functions import embed
 from wherry.operators import fusion, joins, knn, locate, maintain, pack, rank
 from wherry.operators.extract import calls, symbols
 from wherry.plans.config import EngineConfig
-from wherry.plans.search import graph_search, hybrid_search
+from wherry.plans.search import answer_context, graph_search, hybrid_search
 from wherry.sources.readers import resolve_commits
 
 SOURCES = [
@@ -33,14 +33,39 @@ def corpus(spark):
 def test_graph_search(spark, corpus):
     s, edges, docs = corpus
     assert edges.count() >= 2
-    queries = spark.createDataFrame([(0, "where are pages loaded"), (1, "render html view"), (2, "store/db.py:3")], "query_id long, query string")
-    vectors = docs.select(F.col("doc_id").alias("vec_id"), embed.hash_embedding(F.col("text"), 16).alias("embedding"))
-    rows = graph_search(queries, docs, vectors, edges, s, EngineConfig(max_results=5)).collect()
-    best = {r["query_id"]: r["qualified_name"] for r in rows if r["rank"] == 1}
-    assert best[1] == "view.render_view" and best[0] in {"db.load_pages", "db.Store.open_store", "db.Store"}
-    assert 2 not in best
-    located = locate.locate(queries, s.select(F.lit(1).cast("long").alias("id"), F.col("file").alias("path")).distinct(), s.select("id", F.lit(1).cast("long").alias("file"), "start", "end"))
-    assert located.filter("query_id = 2 and rank = 1").count() == 1
+    s = s.withColumns({"docstring": F.lit(""), "full_body": F.lit(None).cast("string")})
+    queries = spark.createDataFrame([(0, "where are pages loaded"), (1, "render html view"), (2, "store/db.py:3"), (3, "nofile/x.py:3")], "query_id long, query string")
+    embedder = lambda c: embed.hash_embedding(c, 16)
+    vectors = docs.select(F.col("doc_id").alias("id"), embedder(F.col("text")).alias("v"))
+    qv = queries.select("query_id", embedder(F.col("query")).alias("qv"))
+    rows = graph_search(queries, s, edges, qv, vectors, cfg=EngineConfig(max_results=5)).collect()
+    best = {r["query_id"]: r for r in rows if r["rank"] == 1}
+    assert best[1]["qualified_name"] == "view.render_view" and best[0]["qualified_name"] in {"db.load_pages", "db.Store.open_store", "db.Store"}
+    assert best[2]["why"] == "locator" and best[2]["qualified_name"] == "db.Store.open_store" and best[2]["score"] == 1.0
+    assert 3 in best and best[3]["why"] != "locator"
+    assert {r["why"] for r in rows} <= {"hybrid_seed", "vector_seed", "fts_seed", "ppr_neighbor", "locator"}
+    text_only = graph_search(queries, s, edges, cfg=EngineConfig(max_results=5)).filter("query_id = 1 and rank = 1").first()
+    assert text_only["qualified_name"] == "view.render_view" and text_only["why"] == "fts_seed"
+    with pytest.raises(ValueError):
+        graph_search(queries, s, edges, cfg=EngineConfig(vector_only=True))
+    shown = answer_context(spark.createDataFrame([(0, r["id"]) for r in rows if r["qualified_name"] == "db.load_pages"][:1], "query_id long, id long"), queries, s, edges)
+    assert {(r["side"], r["total"]) for r in shown.collect()} == {("caller", 1), ("callee", 1)}
+
+
+def test_graph_search_knobs(spark, corpus):
+    s, edges, docs = corpus
+    long_body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("line "), i.cast("string"), F.when(i == 30, " decode page bytes").otherwise(""))), "\n")
+    s = s.withColumns({"docstring": F.lit("Reads."), "full_body": F.when(F.col("name") == "decode", long_body)})
+    queries = spark.createDataFrame([(0, "decode page bytes with `load_pages` and `open_store`")], "query_id long, query string")
+    embedder = lambda c: embed.hash_embedding(c, 64)
+    vectors = docs.select(F.col("doc_id").alias("id"), embedder(F.col("text")).alias("v"))
+    qv = queries.select("query_id", embedder(F.col("query")).alias("qv"))
+    chunks = vectors.select(F.col("id").alias("chunk_id"), "id", "v")
+    cfg = EngineConfig(max_results=3, chunk_weight=0.5, identifier_weight=0.5, anchor_expand=2, anchor_agreement=1, literal_slots=1, full_bodies=2, include_trivial=True, lazy_rerank=True)
+    rows = graph_search(queries, s, edges, qv, vectors, chunks, cfg, scorer=lambda qs, ts: [len(t) for t in ts], window_embedder=embedder).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3] and [r["detail"] for r in rows][2] == "compact" and "// Reads." in rows[2]["body"]
+    cut = [r["body"] for r in graph_search(queries, s, edges, qv, vectors, cfg=EngineConfig(include_trivial=True), window_embedder=embedder).collect() if r["detail"] == "excerpt"]
+    assert cut and "decode page bytes" in cut[0] and "line 1\n" not in cut[0]
 
 
 def test_hybrid_without_vectors(spark, corpus):
@@ -75,10 +100,11 @@ def test_embedders(spark):
 
 
 def test_anchor_frames(spark):
-    rows = [(0, i, f"f{i}", i + 1, False) for i in range(10)] + [(0, 99, "new", 1, True)]
+    rows = [(0, i, f"f{i}", i + 1, False) for i in range(10)] + [(0, 99, "new", 11, True)]
     df = spark.createDataFrame(rows, "query_id long, id long, file string, rank long, is_anchor boolean")
-    got = [r["id"] for r in fusion.reserve_anchor_slots_frame(df, 5).orderBy("rank").collect()]
-    assert got == [0, 1, 2, 3, 99]
+    assert [r["id"] for r in fusion.reserve_slots_frame(df, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 99]
+    literal = spark.createDataFrame([(0, 50, "f0", 1), (0, 51, "g", 2)], "query_id long, id long, file string, rank long")
+    assert [r["id"] for r in fusion.reserve_slots_frame(df, 5, literal, 2).orderBy("rank").collect()] == [0, 1, 2, 51, 3, 99]
     pool = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "query_id long, id long, rank int")
     g = spark.createDataFrame([(1, 7), (7, 1), (2, 7), (7, 2), (1, 8), (8, 1), (1, 2), (2, 1)], "a long, b long")
     ppr = spark.createDataFrame([(0, 7, 0.1)], "query_id long, id long, ppr_score double")
@@ -88,7 +114,7 @@ def test_anchor_frames(spark):
 
 def test_literal_slots():
     ranked = [{"id": i, "file": f"f{i}"} for i in range(4)]
-    assert [r["id"] for r in locate.reserve_literal_slots(ranked, [{"id": 9, "file": "g"}, {"id": 8, "file": "f0"}], 2)] == [0, 1, 2, 9]
+    assert [r["id"] for r in fusion.reserve_literal_slots(ranked, [{"id": 9, "file": "g"}, {"id": 8, "file": "f0"}], 4, 2)] == [0, 1, 9, 2, 3]
 
 
 def test_commits(spark):

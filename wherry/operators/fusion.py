@@ -91,34 +91,55 @@ def append_anchor_neighbours(pool: DataFrame, anchors: DataFrame, graph: DataFra
     return append_missing(pool, ranked, limit, "anchor")
 
 
-def reserve_anchor_slots(ranked: list[dict], anchors: list[dict], limit: int) -> list[dict]:
-    """Give a fifth of an answer's slots to anchors from files it lacks, then refill from the list. Sequential by nature."""
-    slots = limit // 5
-    if slots <= 0 or not anchors:
-        return ranked[:limit]
-    head = ranked[: limit - slots]
-    files, ids, kept = {r["file"] for r in head}, {r["id"] for r in head}, []
-    for a in anchors:
-        if len(kept) == slots:
-            break
-        if a["file"] not in files and a["id"] not in ids:
-            kept.append(a)
-            files.add(a["file"])
-            ids.add(a["id"])
-    out = head + kept
-    out += [r for r in ranked[limit - slots :] if r["id"] not in ids][: limit - len(out)]
+def reserve_anchor_slots(rows: list[dict], limit: int, share: int = 5) -> list[dict]:
+    """Give one ``share``-th of an answer's places to anchors (is_anchor) from files that its head lacks.
+
+    Anchors that stand within the cut already count; places that no anchor claims go to the next rows. Sequential by nature.
+    """
+    slots = max(1, limit // share) if share > 0 else 0
+    free = slots - sum(bool(r["is_anchor"]) for r in rows[:limit])
+    if limit <= 0 or share <= 0 or len(rows) <= limit or free <= 0:
+        return rows
+    out = rows[: limit - free]
+    files, ids = {r["file"] for r in out}, {r["id"] for r in out}
+    for wanted in (lambda r: r["is_anchor"] and r["file"] not in files, lambda r: True):
+        for r in rows:
+            if len(out) < limit and r["id"] not in ids and wanted(r):
+                out.append(r)
+                ids.add(r["id"])
+                files.add(r["file"])
     return out
 
 
-def reserve_anchor_slots_frame(ranked: DataFrame, limit: int) -> DataFrame:
-    """Per query over rows (query_id, id, file, rank, is_anchor): groups hold one query's pool only."""
+def reserve_literal_slots(rows: list[dict], literal: list[dict], limit: int, slots: int) -> list[dict]:
+    """Put literal hits from files that an answer's head lacks before its last ``slots`` places; the tail follows them."""
+    slots = min(slots, limit - 1)
+    if slots <= 0 or not literal:
+        return rows
+    out = rows[: limit - slots]
+    files, ids, new = {r["file"] for r in out}, {r["id"] for r in out}, []
+    for r in literal:
+        if len(new) < slots and r["id"] not in ids and r["file"] not in files:
+            new.append(r)
+            files.add(r["file"])
+    taken = {r["id"] for r in new}
+    return out + new + [r for r in rows[limit - slots :] if r["id"] not in taken]
+
+
+def reserve_slots_frame(ranked: DataFrame, limit: int, literal: DataFrame | None = None, literal_slots: int = 0) -> DataFrame:
+    """(query_id, id, rank) after both reservations; ranked: query_id, id, file, rank, is_anchor; literal: query_id, id, file, rank.
+
+    A group is one query's pool, some dozens of rows.
+    """
+    rows = ranked.select("query_id", "id", "file", "rank", "is_anchor", F.lit(False).alias("literal"))
+    if literal is not None and literal_slots > 0:
+        rows = rows.unionByName(literal.select("query_id", "id", "file", "rank", F.lit(False).alias("is_anchor"), F.lit(True).alias("literal")))
 
     def run(pdf):
-        rows = pdf.sort_values(["rank", "id"]).to_dict("records")
-        out = reserve_anchor_slots([r for r in rows if not r["is_anchor"]], [r for r in rows if r["is_anchor"]], limit)
-        frame = pdf.iloc[:0] if not out else type(pdf)(out)
-        frame = frame[["query_id", "id", "file"]].copy()
-        frame["rank"] = range(1, len(frame) + 1)
-        return frame
-
-    return ranked.groupBy("query_id").applyInPandas(run, "query_id long, id long, file string, rank long")
+        records = pdf.sort_values(["rank", "id"]).to_dict("records")
+        out = reserve_anchor_slots([r for r in records if not r["literal"]], limit)
+        out = reserve_literal_slots(out, [r for r in records if r["literal"]], limit, literal_slots)
+        return type(pdf)({"query_id": pdf["query_id"].iloc[0], "id": [r["id"] for r in out], "rank": range(1, len(out) + 1)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
+    return rows.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, rank long")
