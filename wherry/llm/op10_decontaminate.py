@@ -43,11 +43,11 @@ CONTAMINATED_ITEMS = 2
 #: Characters of test text in one block, about.
 BLOCK_CHARS = 1 << 20
 #: Words and documents of a shard, about; a longer document is a shard of its own.
-SHARD_WORDS, SHARD_ROWS = 1 << 18, 2048
+SHARD_WORDS, SHARD_ROWS = 1 << 17, 512
 #: Shards that a task holds while it goes through the blocks once.
-SHARDS_AT_ONCE = 16
+SHARDS_AT_ONCE = 4
 #: Positions that are intersected in one step.
-STEP = 1 << 20
+STEP = 1 << 17
 #: Places between two documents, more than a window and its slop can span.
 GAP = 64
 

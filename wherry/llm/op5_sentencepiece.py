@@ -31,7 +31,7 @@ from wherry.llm.common import pieces, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded chunks that a worker remembers; a bound on memory alone, results do not depend on it.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 #: The table of a longer chunk is filled left to right, that of a shorter one from its end as far as it is asked for.
@@ -254,7 +254,7 @@ class PieceModel:
                 ids = [rank[p][1] for p in self._pieces_of(marked)]
                 back = "".join([plain[i] for i in ids])
             shown = self.shown
-            got = " ".join([shown[i] for i in ids]), back
+            got = " ".join([shown[i] for i in ids]), chunk if back == chunk else back  # one object for equal texts
         if len(chunk) <= CACHE_CHARS:
             if len(self.chunk_memo) >= CACHE_CHUNKS // 2:  # two generations: what is used stays
                 self.older_memo, self.chunk_memo = self.chunk_memo, {}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wherry.llm.common import materialize, table
 
-K, W = 2, 3
+K, W = 2, 4
 #: Lines of a run, and of one that is too short for that.
 RUN, MANY = W + K - 1, 8
 #: Bytes of a run of RUN lines, about eight words.
