@@ -28,6 +28,7 @@ INTENT_FORMS = {
 }
 
 SUFFIXES = ("ing", "ed", "es", "s")
+BLANKS = " \t\n\x0b\f\r"
 
 # Words that never name code.
 LITERAL_STOPWORDS = (
@@ -226,3 +227,113 @@ def sha256_hex(c: Column) -> Column:
 def redact(c: Column) -> Column:
     """A repeatable stand-in for a text, so that joins survive redaction; an empty text stays empty."""
     return F.when(c == "", c).otherwise(F.concat(F.lit("h:"), F.left(sha256_hex(c), F.lit(12))))
+
+
+# Patterns of names of code in prose, by form, and headings that are no title.
+BACKTICKED = "`([^`\n]{2,80})`"
+CODE_FORMS = (
+    r"\b[\w.-]+(?:/[\w.-]+)+\.\w{1,5}\b",
+    r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
+    r"\b[a-z]+[A-Z][A-Za-z0-9]*\b|\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*\b",
+    r"\b[a-z][\w]*(?:\.[a-z][\w]*){1,4}\b",
+)
+HEADINGS = (
+    "title", "description", "summary", "steps to reproduce", "step to reproduce", "expected behavior", "expected behaviour",
+    "current behavior", "current behaviour", "actual behavior",
+)
+CODE_STOPWORDS = "e.g i.e etc vs self true false none null the and for with this that when then should github.com readme.md".split()
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value made once for a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def code_identifiers(c: Column, limit: int) -> Column:
+    """Names of code in a text, the author's own marks first, then paths, snake, camel and dotted names; each once, whatever its case.
+
+    Once a form has filled the list, later forms are not looked for.
+    """
+    text = F.coalesce(c, F.lit(""))
+
+    def found(pattern: str, group: int = 0) -> Column:
+        trimmed = F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda s: F.btrim(s, F.lit("`.,;:()[]{}\"'")))
+        return F.filter(trimmed, lambda s: F.octet_length(s).between(3, 80) & ~F.lower(s).isin(*CODE_STOPWORDS))
+
+    def once(names: Column) -> Column:
+        return _let(names, lambda n: _let(F.transform(n, lambda s: F.lower(s)), lambda low: F.filter(n, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)))
+
+    def longer(names: Column, form: str) -> Column:
+        return _let(names, lambda n: F.when(F.size(n) >= limit, n).otherwise(once(F.concat(n, found(form)))))
+
+    names = once(F.concat(found(BACKTICKED, 1), found(CODE_FORMS[0])))
+    for form in CODE_FORMS[1:]:
+        names = longer(names, form)
+    return F.slice(names, 1, limit)
+
+
+def issue_title(c: Column) -> Column:
+    """The first line with words of its own: no heading mark, comment, fence or name of a section; the whole text if there is none."""
+    blank = F.lit(" \t\r\x0b\x0c")
+    lines = F.transform(F.split(c, "\n"), lambda x: F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(x, r"^#{1,6}\s*", ""), blank), ":$", ""), F.lit("")))
+    good = F.filter(lines, lambda x: (x != "") & ~F.lower(x).isin(*HEADINGS) & ~x.startswith("<!--") & ~x.startswith("```"))
+    return F.coalesce(F.get(good, F.lit(0)), F.btrim(c, F.lit(" \t\r\n\x0b\x0c")))
+
+
+def shape_query(c: Column, mode: str = "raw") -> Column:
+    """A report as a query: ``title``, ``ids``, ``title+ids`` or, by default, as it is."""
+    if mode == "title":
+        return issue_title(c)
+    if mode == "ids":
+        return F.array_join(code_identifiers(c, 24), " ")
+    if mode == "title+ids":
+        return F.concat_ws(" ", issue_title(c), F.nullif(F.array_join(code_identifiers(c, 16), " "), F.lit("")))
+    return c
+
+
+# Words of code that no probe asks for.
+CODE_KEYWORDS = "func return range case else true false break continue default nil type struct interface import switch select defer string error".split()
+PROBE_TOKENS = 8
+
+
+def code_tokens(line: Column) -> Column:
+    """Distinct words of four letters or more of a line of code, eight at most; none of short lines and comments."""
+    t = F.btrim(line, F.lit(" \t\r"))
+    spaced = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})", " ")
+    words = F.filter(F.regexp_extract_all(F.lower(spaced), F.lit(r"[\p{L}\p{Nd}]+"), 0), lambda w: (F.octet_length(w) >= 4) & ~F.array_contains(lit_array(CODE_KEYWORDS), w))
+    bare = (F.octet_length(t) < 12) | t.startswith("//") | t.startswith("*") | t.startswith("/*") | t.startswith("#")
+    return F.when(bare, F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(words), 1, PROBE_TOKENS))
+
+
+def matches_category(category: Column, tags: Column, wanted: str) -> Column:
+    """Whether a case's category or one of its tags contains a text."""
+    return F.contains(F.coalesce(category, F.lit("")), F.lit(wanted)) | F.coalesce(F.exists(tags, lambda t: F.contains(t, F.lit(wanted))), F.lit(False))
+
+
+# Where a summary starts to echo its instruction, words that are left hanging before it, labels, and its length.
+ECHO_MARKERS = ("distinguish", "setting it apart", "sets it apart", "set it apart", "unlike similar", "unlike other", "compared to similar", "compared to other")
+CONNECTORS = ("it", "which", "that", "this", "and", "thereby", "thus", "while", "also")
+LABELS = ("Summary:", "summary:", "Purpose:", "purpose:")
+SUMMARY_BYTES = 300
+
+
+def strip_echo(c: Column) -> Column:
+    """A summary without the clause that echoes its instruction, and without the words that hang before it."""
+    cut = F.regexp_instr(F.lower(c), F.lit("|".join(ECHO_MARKERS)))
+    head = F.btrim(F.left(c, cut - 1), F.lit(BLANKS))
+    # Connectors and marks go from the end as often as they come.
+    head = F.regexp_replace(head, r"(?i)(?:[,;:\- ]* (?:" + "|".join(CONNECTORS) + r")(?=[,;:\- ]|$))*[,;:\- ]*$", "")
+    full = F.when(head.endswith("."), head).otherwise(F.concat(head, F.lit(".")))
+    return F.when((cut == 0) | (head == ""), c).otherwise(full)
+
+
+def clean_summary(c: Column) -> Column:
+    """One plain line of a model's answer: no quotes, label or echo, and not too long."""
+    t = F.btrim(F.btrim(c, F.lit(BLANKS)), F.lit("\"'`"))
+    for label in LABELS:
+        t = F.btrim(F.when(t.startswith(label), F.substring(t, len(label) + 1, 1 << 30)).otherwise(t), F.lit(BLANKS))
+    t = F.btrim(strip_echo(F.substring_index(t, "\n", 1)), F.lit(BLANKS))
+    head = cut_bytes(t, SUMMARY_BYTES)
+    before = F.regexp_replace(head, r" [^ ]*$", "")
+    short = F.when(F.contains(head, F.lit(" ")) & (F.octet_length(before) > SUMMARY_BYTES // 2), before).otherwise(head)
+    return F.when(F.octet_length(t) > SUMMARY_BYTES, F.concat(short, F.lit(" ..."))).otherwise(t)

@@ -83,3 +83,51 @@ def index_stats(symbols: DataFrame, edges: DataFrame, bodies: DataFrame) -> Data
     e = edges.agg(F.count("*").alias("edges"))
     b = bodies.agg(F.count("*").alias("capped"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("full_bytes"))
     return s.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(b)).withColumn("edges_per_symbol", F.col("edges") / F.col("symbols"))
+
+
+BACKFILL = 128
+
+
+def backfill(symbols: DataFrame, stored: DataFrame, embedder, write, chunk: int = BACKFILL, key: str = "id") -> int:
+    """Embed the symbols (key, text) that have no vector in ``stored`` yet; ``write(vectors)`` adds (key, vector) to the store.
+
+    What is missing is found anew at each start, so a run that was stopped is taken up where it ended. ``embedder`` takes the texts of
+    ``chunk`` symbols and gives their vectors. Returns the number that was missing.
+    """
+    missing = symbols.join(stored.select(key).distinct(), key, "left_anti").select(key, "text")
+    n = missing.count()
+    if n:
+        kind = symbols.schema[key].dataType.simpleString()
+
+        def run(batches):
+            for pdf in batches:
+                for low in range(0, len(pdf), chunk):
+                    part = pdf.iloc[low : low + chunk]
+                    yield part[[key]].assign(vector=[[float(x) for x in v] for v in embedder(part["text"].tolist())])
+
+        write(missing.mapInPandas(run, f"{key} {kind}, vector array<double>"))
+    return n
+
+
+def incremental_index(old: dict[str, DataFrame], files: DataFrame, extract, known_paths: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One run of the index over a walk: (tables, one row of counts).
+
+    ``old``: files (id, path, hash), symbols (id, file_id, qualified_name, ...), edges (src, dst, kind, seq) and others that hang on
+    symbols; ``files``: path, hash, ... of the walk; ``extract(changed files)`` gives their symbols (path, ... without ids).
+    Unchanged files are left as they are; changed and deleted ones lose their symbols and all that hangs on them; changed and
+    added ones get new symbols after the largest id.
+    """
+    status = change_set(old["files"], files)
+    doomed = old["files"].join(status.filter("status in ('changed', 'deleted')"), "path", "left_semi")
+    left = cascade_delete(old, doomed)
+    fresh = files.join(status.filter("status in ('changed', 'added')"), "path", "left_semi")
+    table = upsert(old["files"].join(status.filter("status = 'deleted'"), "path", "left_anti"), fresh.withColumn("id", F.lit(None).cast("long")).select(*old["files"].columns), "path")
+    made = extract(fresh).join(table.select("path", F.col("id").alias("file_id")), "path").drop("path")
+    top = old["symbols"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    # Ids follow the file and the name, over buckets whose offsets are counted first.
+    keyed = made.withColumn("_b", F.pmod(F.xxhash64("file_id", "qualified_name"), F.lit(256)))
+    offsets = keyed.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + top).select("_b", "_from")
+    numbered = keyed.join(F.broadcast(offsets), "_b").withColumn("id", F.col("_from") + F.row_number().over(Window.partitionBy("_b").orderBy("file_id", "qualified_name")))
+    symbols = left["symbols"].unionByName(numbered.select(*old["symbols"].columns))
+    counts = status.agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("unchanged", "changed", "added", "deleted")))
+    return left | {"files": table, "symbols": symbols}, counts

@@ -194,3 +194,109 @@ def s_query_identifiers(x: Tables):
     k = F.col("item_id").cast("string")
     raw = F.concat(F.lit("Fix parseItem"), k, F.lit(" when `read_"), k, F.lit("` fails, see read_"), k)
     return x.benchmark.select("item_id", F.array_join(t.query_identifiers(raw, 8), ",").alias("ids"))
+
+
+@query(
+    "ag_deep_probe",
+    """WITH d AS (SELECT doc_id, list_transform(range(1, 15), lambda i: CASE WHEN i = 9 + doc_id % 3 THEN 'alphaBeta gammaDelta ' || lang || 'word' ELSE 'ab' END) AS l FROM documents), p AS (SELECT doc_id AS id, 100 + 8 + doc_id % 3 AS line, 4 + doc_id % 3 AS depth, 'alpha,beta,gamma,delta,' || lang || 'word' AS tokens FROM documents)
+    SELECT id, CAST(line AS BIGINT) AS line, CAST(depth AS BIGINT) AS depth, tokens FROM p JOIN documents ON doc_id = id""",
+)
+def ag_deep_probe(x: Tables):
+    """Fourteen lines of which four are shown; one of the hidden ones has words."""
+    at = F.col("doc_id") % 3 + 9
+    lines = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long")), lambda i: F.when(i == at, F.concat(F.lit("alphaBeta gammaDelta "), "lang", F.lit("word"))).otherwise("ab"))
+    rows = x.documents.select(F.col("doc_id").alias("id"), F.lit(100).alias("start"), F.lit("a\nb\nc\nd\n// ... [truncated]").alias("excerpt"), F.array_join(lines, "\n").alias("full_body"))
+    p = context.deep_probes(rows)
+    return p.select("id", big("line").alias("line"), big("depth").alias("depth"), F.array_join("tokens", ",").alias("tokens"))
+
+
+@query(
+    "ag_deep_coverage",
+    """WITH p AS (SELECT p_partkey AS id, p_size AS line FROM part), s AS (SELECT p_partkey AS id, p_partkey % 9 + 1 AS rank FROM part WHERE p_partkey % 4 <> 0), j AS (SELECT p.id, p.line, s.rank, s.rank IS NOT NULL AND (p.line BETWEEN 1 AND 10 OR p.line BETWEEN 20 AND 25) AS c FROM p LEFT JOIN s ON s.id = p.id)
+    SELECT count(*) AS n, count(rank) AS retrieved, count(*) FILTER (c) AS covered, count(*) FILTER (rank <= 6) AS in_tier, count(*) FILTER (rank <= 6 AND c) AS covered_in_tier, CAST(count(*) FILTER (rank <= 6) * 16 AS BIGINT) AS lines FROM j""",
+)
+def ag_deep_coverage(x: Tables):
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    k = F.col("p_partkey")
+    probes = x.part.select(k.alias("id"), F.col("p_size").alias("line"))
+    shown = x.part.filter(k % 4 != 0).select(k.alias("query_id"), k.alias("id"), (k % 9 + 1).alias("rank"), F.array(span(1, 10), span(20, 25)).alias("spans"))
+    return context.deep_coverage(probes, shown)
+
+
+@query(
+    "gc_next_steps",
+    f"""WITH {RANKED_SQL}, c AS (SELECT *, 'pkg.s' || id AS name, CASE WHEN score > 0.85 AND (CASE WHEN lead(score) OVER w IS NULL OR score <= 0 THEN 1 ELSE (score - lead(score) OVER w) / score END) > 0.10 THEN 'high' WHEN score > 0.65 THEN 'medium' ELSE 'low' END AS conf FROM rl WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+    g AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN conf END) AS conf, max(CASE WHEN rank = 1 THEN id END) AS id, max(CASE WHEN rank = 1 THEN score END) AS s0, max(CASE WHEN rank = 2 THEN score END) AS s1, string_agg(CASE WHEN rank <= 3 THEN '#' || rank || '=s' || id END, ', ' ORDER BY rank) AS three FROM c GROUP BY 1)
+    SELECT query_id, CASE WHEN conf = 'high' THEN (CASE WHEN id % 2 = 0 THEN 'Read #1. Blast radius: 4 callers (a, b, c).' ELSE 'Read #1. No callers found — likely a leaf or entry point.' END) WHEN n >= 2 THEN 'Confidence is ' || conf || '. Consider top-' || least(n, 3) || ' before acting.' END AS if_top_correct, CASE WHEN n >= 2 AND s0 > 0 AND (s0 - s1) / s0 < 0.15 THEN 'Top-3 are similar candidates. ' || three || '. Pick by what your task needs.' END AS if_unsure FROM g""",
+)
+def gc_next_steps(x: Tables):
+    none = F.array().cast("array<string>")
+    rows = rank.assign_confidence(ranked(x)).withColumns({"qualified_name": F.concat(F.lit("pkg.s"), F.col("id").cast("string")), "callers": F.when(F.col("id") % 2 == 0, F.array(*[F.lit(c) for c in "abcd"])).otherwise(none)})
+    return context.next_steps(rows)
+
+
+@query("sv_stale", "SELECT p_partkey AS id, p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS stale FROM part")
+def sv_stale(x: Tables):
+    k = F.col("p_partkey")
+    asked = x.part.select(k.alias("id"), F.when(k % 3 == 0, "old").otherwise(F.col("p_name")).alias("qualified_name"), F.lit("function").alias("kind"))
+    now = x.part.filter(k % 5 != 0).select(k.alias("id"), F.col("p_name").alias("qualified_name"), F.lit("function").alias("kind"))
+    return context.stale_expansions(asked, now).select("id", "stale")
+
+
+@query(
+    "sv_numbered",
+    "SELECT doc_id, '10' || chr(9) || lang || chr(10) || '11' || chr(9) || 'b' || chr(10) || '// ...' || chr(10) || '40' || chr(9) || source AS shown, '7' || chr(9) || source AS one FROM documents",
+)
+def sv_numbered(x: Tables):
+    seg = lambda a, n: F.struct(F.lit(a).alias("start"), F.lit(n).alias("lines"))
+    body = F.concat("lang", F.lit("\nb\n// ...\n"), "source")
+    return x.documents.select("doc_id", context.numbered_body(body, F.array(seg(10, 2), seg(40, 1))).alias("shown"), context.numbered_body(F.col("source"), F.array(seg(7, 1))).alias("one"))
+
+
+@query(
+    "sv_render",
+    f"WITH {RANKED_SQL}, p AS (SELECT query_id, rank, rank || '. **p.s' || id || '** ' || file || ':1-9 (low)' || CASE WHEN rank > 3 THEN ' — sig doc' WHEN rank = 2 THEN ' [excerpt]' || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' ELSE chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' END AS part FROM rl) SELECT query_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY rank)) AS text FROM p GROUP BY 1",
+)
+def sv_render(x: Tables):
+    r = F.col("rank")
+    rows = ranked(x).select("query_id", "rank", "file", F.concat(F.lit("p.s"), F.col("id").cast("string")).alias("qualified_name"), F.lit(1).alias("start"), F.lit(9).alias("end"), F.lit("low").alias("confidence"), F.when(r > 3, "compact").when(r == 2, "excerpt").otherwise("full").alias("detail"), F.when(r > 3, "sig\ndoc").otherwise("x").alias("body"))
+    return context.render_answer(rows).select("query_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(
+    "src_git_log",
+    "SELECT 'c' || p_partkey AS \"commit\", 'keep pages of ' || p_partkey AS subject, 'db.load' || p_partkey AS gold FROM part WHERE p_partkey % 4 = 1",
+)
+def src_git_log(x: Tables):
+    """A log of one commit for each part: every fourth names one symbol in a subject of four words about one thing."""
+    from wherry.sources.readers import parse_log, resolve_commits
+
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    subject = F.when(k % 4 == 1, F.concat(F.lit("fix(db): keep pages of "), key, F.lit(" (#7)"))).when(k % 4 == 2, "keep, drop, and load pages").when(k % 4 == 3, "typo").otherwise("keep pages of the cache")
+    name = F.when(k % 4 == 0, "func return other").otherwise(F.concat(F.lit("def load"), key, F.lit("(path):")))
+    log = x.part.select(F.concat(F.lit("\x01c"), key, F.lit("\x1f"), subject, F.lit("\n\ndiff --git a/old.py b/sub/db.py\nindex 1..2\n--- a\n+++ b\n@@ -1,2 +3 @@ "), name, F.lit("\n-x\n+y\n@@ -9 +9 @@\n-z\n")).alias("text"))
+    symbols = x.part.select(F.lit("db.py").alias("path"), F.concat(F.lit("load"), key).alias("name"), F.concat(F.lit("db.load"), key).alias("qualified_name"))
+    return resolve_commits(parse_log(log, prefix="sub/"), symbols).select("commit", "subject", F.array_join("gold", ",").alias("gold"))
+
+
+def search_tables(x: Tables):
+    """Documents as symbols of files by source, order lines as calls between them, embeddings as their vectors."""
+    key = F.col("doc_id").cast("string")
+    symbols = x.documents.select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("load"), key).alias("name"), F.concat("source", F.lit(".load"), key).alias("qualified_name"), F.lit("function").alias("kind"),
+        F.concat("source", F.lit("/f"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 9 == 0, "_test.go").otherwise(".go")).alias("file"),
+        F.concat(F.lit("func load"), key, F.lit("()")).alias("signature"), F.lit("").alias("docstring"), pack.cap_body(F.col("text")).alias("body"), F.when(F.octet_length("text") > 2000, F.col("text")).alias("full_body"),
+        (F.col("doc_id") % 50 + 1).cast("int").alias("start"), (F.col("doc_id") % 50 + 30).cast("int").alias("end"), F.lit("go").alias("file_language"),
+    )
+    edges = x.lineitem.select(big("l_partkey").alias("src"), big("l_suppkey").alias("dst")).distinct()
+    queries = x.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 10 == 0, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("/f1.go:20"))).otherwise(F.col("text")).alias("query"))
+    vectors = x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return queries, symbols, edges, queries.select("query_id").join(vectors, F.col("query_id") == F.col("id")).select("query_id", F.col("v").alias("qv")), vectors
+
+
+@query("ret_graph_search")
+def ret_graph_search(x: Tables):
+    """The whole plan with its shipped knobs; some questions name a position. Checked by rules in tests, not by SQL."""
+    from wherry.plans.search import graph_search
+
+    return graph_search(*search_tables(x)).select("query_id", "id", "file", big("rank").alias("rank"), r6("score").alias("score"), "why", "confidence", "visibility", "detail", "tokens", "running")

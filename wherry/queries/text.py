@@ -213,3 +213,65 @@ BRANCH_SQL = " OR ".join(f"starts_with(trim(z, ' ' || chr(9) || chr(13)), '{p}')
 @query("s_branch_lines", f"SELECT doc_id, CAST(len(list_filter(string_split('else if' || chr(10) || '}} else' || chr(10) || text || chr(10) || 'If x', chr(10)), lambda z: {BRANCH_SQL})) AS BIGINT) AS branches FROM documents")
 def branch_lines(x: Tables):
     return x.documents.select("doc_id", big(F.size(F.filter(F.split(F.concat(F.lit("else if\n} else\n"), "text", F.lit("\nIf x")), "\n"), pack.branch_control))).alias("branches"))
+
+
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in t.CODE_STOPWORDS) + "]"
+
+
+@query(
+    "s_code_identifiers",
+    "SELECT item_id, 'read_file' || item_id || ',pkg/a_' || item_id || '.py,parseCsv' || item_id || ',os.path' || item_id AS ids, 'pkg/a_' || item_id || '.py' AS first FROM benchmark",
+)
+def code_identifiers(x: Tables):
+    """The author's mark leads, then paths, snake, camel and dotted names; repeats and stop words go; a short list ends early."""
+    k = F.col("item_id").cast("string")
+    raw = F.concat(F.lit("Use e.g. parseCsv"), k, F.lit(" of pkg/a_"), k, F.lit(".py, os.path"), k, F.lit(" and `read_file"), k, F.lit("` (READ_FILE) i.e. self"))
+    bare = F.concat(F.lit("pkg/a_"), k, F.lit(".py parseCsv"))
+    names = F.filter(t.code_identifiers(raw, 24), lambda s: ~s.rlike(r"^a_\d+\.py$|^a_\d+$"))
+    return x.benchmark.select("item_id", F.array_join(names, ",").alias("ids"), F.array_join(t.code_identifiers(bare, 1), ",").alias("first"))
+
+
+@query(
+    "s_issue_title",
+    "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Crash in parser ' || item_id WHEN 1 THEN 'Plain ' || item_id ELSE 'x' END AS title, CASE item_id % 3 WHEN 0 THEN 'Crash in parser ' || item_id || ' read_file' WHEN 1 THEN 'Plain ' || item_id ELSE 'x' END AS shaped FROM benchmark",
+)
+def issue_title(x: Tables):
+    k, m = F.col("item_id").cast("string"), F.col("item_id") % 3
+    raw = F.when(m == 0, F.concat(F.lit("## Title:\n<!-- a -->\n\n### Crash in parser "), k, F.lit(":\nbody `read_file`"))).when(m == 1, F.concat(F.lit("\nPlain "), k)).otherwise("```\nx")
+    return x.benchmark.select("item_id", t.issue_title(raw).alias("title"), t.shape_query(raw, "title+ids").alias("shaped"))
+
+
+KEYWORD_SQL = "[" + ", ".join(f"'{w}'" for w in t.CODE_KEYWORDS) + "]"
+
+
+@query(
+    "s_code_tokens",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS z, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')), s AS (SELECT doc_id, i, trim(z, ' ' || chr(9) || chr(13)) AS z FROM l),
+    k AS (SELECT doc_id, i, CASE WHEN length(z) < 12 OR regexp_matches(z, '^(//|\\*|/\\*|#)') THEN [] ELSE (list_distinct_ordered)[1:8] END AS w FROM (SELECT *, list_filter(ws, lambda e, j: list_position(ws, e) = j) AS list_distinct_ordered FROM (SELECT *, list_filter(regexp_extract_all(lower(regexp_replace(z, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'), lambda e: length(e) >= 4 AND NOT list_contains({KEYWORD_SQL}, e)) AS ws FROM s)))
+    SELECT doc_id, CAST(sum(len(w)) AS BIGINT) AS tokens, CAST(max(len(w)) AS BIGINT) AS most FROM k GROUP BY doc_id""",
+)
+def code_tokens(x: Tables):
+    lines = x.documents.filter(~F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    n = lines.select("doc_id", F.size(t.code_tokens(F.col("line"))).alias("n"))
+    return n.groupBy("doc_id").agg(big(F.sum("n")).alias("tokens"), big(F.max("n")).alias("most"))
+
+
+@query("flt_category", "SELECT doc_id FROM documents WHERE contains(source, 'c1') OR contains(lang, 'e')")
+def category(x: Tables):
+    return x.documents.filter(t.matches_category(F.col("source"), F.array("lang"), "c1") | t.matches_category(F.lit(None).cast("string"), F.array("lang"), "e")).select("doc_id")
+
+
+@query(
+    "s_clean_summary",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Reads the ' || lang || '.' WHEN 1 THEN 'Loads ' || source WHEN 2 THEN 'Unlike similar ones' ELSE 'Parses it.' END AS summary, CASE WHEN doc_id % 2 = 0 THEN repeat('word ', 59) || 'word ...' ELSE repeat('x', 300) || ' ...' END AS long FROM documents""",
+)
+def clean_summary(x: Tables):
+    m = F.col("doc_id") % 4
+    raw = (
+        F.when(m == 0, F.concat(F.lit(' "Summary: Reads the '), "lang", F.lit(", which and it; distinguishing it from others\nmore")))
+        .when(m == 1, F.concat(F.lit("Summary: Purpose: Loads "), "source"))
+        .when(m == 2, "Unlike similar ones")
+        .otherwise("Parses it. Sets it apart")
+    )
+    long = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("word "), 100)).otherwise(F.repeat(F.lit("x"), 400))
+    return x.documents.select("doc_id", t.clean_summary(raw).alias("summary"), t.clean_summary(long).alias("long"))

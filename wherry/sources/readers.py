@@ -180,13 +180,40 @@ def unique_docs(df: DataFrame, key: str, doc: str, least: int) -> DataFrame:
     return df.join(once, key, "left_semi")
 
 
+# Words of a declaration that name nothing.
+DECLARING = "func def class type struct interface const var static public private protected async export return".split()
+#: What stands before a commit and between its hash and subject in a log that is read.
+COMMIT, FIELD = "\x01", "\x1f"
+
+
+def parse_log(log: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """(commit, subject, path, context) of each hunk in whole logs with patches of no context lines (``-p -U0``).
+
+    A commit's line is ``COMMIT hash FIELD subject``; paths are those after the change, without ``prefix``.
+    """
+    commits = log.select(F.explode(F.split(text, COMMIT)).alias("c")).filter(F.contains("c", F.lit(FIELD)))
+    first = F.substring_index("c", "\n", 1)
+    files = commits.select(F.substring_index(first, FIELD, 1).alias("commit"), F.substring_index(first, FIELD, -1).alias("subject"), F.explode(F.split("c", "\ndiff --git ")).alias("part"))
+    path = F.regexp_extract("part", r"^[^\n]*? b/([^\n]*)", 1)
+    bare = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path) if prefix else path
+    hunks = files.select("commit", "subject", bare.alias("path"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^@@[^\n]*?@@([^\n]*)$"), 1)).alias("context"))
+    return hunks.filter("path != ''").select("commit", "subject", "path", F.btrim("context").alias("context"))
+
+
 def resolve_commits(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(commit, subject, gold): commits whose changed hunks name one to eight symbols; subjects of four words or more.
+    """(commit, subject, gold): commits whose changed hunks name one to eight symbols; subjects of four words or more about one thing.
 
     hunks: commit, subject, path, context (the text after the hunk header).
     """
-    from wherry.functions.text import clean_subject
+    from wherry.functions.text import clean_subject, is_compound, lit_array
+
+    names = F.filter(F.array_distinct(F.regexp_extract_all("context", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)), lambda n: (F.char_length(n) >= 3) & ~F.array_contains(lit_array(DECLARING), n))
+    named = hunks.select("commit", clean_subject(F.col("subject")).alias("subject"), "path", F.explode(names).alias("name"))
+    known = symbols.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "name", "qualified_name")
+    gold = named.join(known, ["path", "name"]).groupBy("commit", "subject").agg(F.array_sort(F.collect_set("qualified_name")).alias("gold"))
+    return gold.filter(F.size("gold").between(1, 8) & (F.size(F.split(F.btrim("subject"), r"\s+")) >= 4) & ~is_compound(F.col("subject")))
+
 
-    named = hunks.select("commit", clean_subject(F.col("subject")).alias("subject"), "path", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(r"[A-Za-z_]\w+"), 0))).alias("name"))
-    gold = named.join(symbols.select("path", "name", "qualified_name"), ["path", "name"]).groupBy("commit", "subject").agg(F.array_sort(F.collect_set("qualified_name")).alias("gold"))
-    return gold.filter(F.size("gold").between(1, 8) & (F.size(F.split("subject", r"\s+")) >= 4))
+def write_diagnostics(rows: DataFrame, path: str) -> None:
+    """Ranking diagnostics as JSON lines."""
+    rows.write.mode("overwrite").json(path)
