@@ -1,7 +1,7 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
 A document's lines are its text cut after line feeds and, within a line, between words of which one ends and the
-next begins with letters of two fixed halves of the alphabet, which is so for about one pair in four. The same
+next, of three letters or more, begins with letters of two fixed halves of the alphabet, about one pair in four. The same
 words are cut alike wherever they stand, so a passage in the midst of a long line has lines of its own. Words end at blanks; a letter of a script without
 blanks is a word; blank lines belong to the line before them, and white space around a line does not count.
 
@@ -48,7 +48,7 @@ ENDS, BEGINS = ("".join(f"\\x{c:02x}" for c in range(33, 127) if c % 4 in rest)
 OTHERS = _ranges(16, 4, (0x370, 0x700)) + _ranges(0x80, 0x20, (0x700, 0xE00), (0x10A0, 0x1780), (0x1800, 0x2000), (0xAC00, 0xD7A0))
 #: Letters that begin a line wherever they stand, as their scripts put no blanks between words: Thai to Burmese, Khmer, Kana, Han.
 UNSPACED = _ranges(0x30, 12, (0xE00, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100)) + _ranges(0x100, 0x40, (0x3400, 0xA000))
-LATIN_CUT = rf"(?<=[ \n])(?:(?<=[{ENDS}] )(?=[{BEGINS}])|(?<=\n)(?!\n))"
+LATIN_CUT = rf"(?<=[ \n])(?:(?<=[{ENDS}] )(?=[{BEGINS}][^ \n]{{2}})|(?<=\n)(?!\n))"
 CUT = rf"{LATIN_CUT}|(?<= )(?=[{OTHERS}])|(?<=[^\n])(?=[{UNSPACED}])"
 BLANKS = " \t\r\n"
 
