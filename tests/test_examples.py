@@ -295,6 +295,43 @@ def test_page_text_keeps_characters():
     assert pack.page_text(text, 0, 23)[0].endswith("\n")
 
 
+def test_expansion_pages():
+    text = "ab\ncdé\n" * 20
+    pages, at = [], 0
+    while at is not None:
+        p = pack.expansion_page(text, at, 10)
+        pages.append(p)
+        at = p["next"]
+    assert "".join(p["text"] for p in pages) == text and len({p["sha256"] for p in pages}) == 1
+    assert all(p["column"] == 1 for p in pages) and [p["line"] for p in pages][:2] == [1, 3]
+
+
+def test_backfill_takes_up_where_it_ended(spark, tmp_path):
+    symbols = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "id long, text string")
+    store, seen = f"{tmp_path}/v", []
+    stored = lambda: spark.read.schema("id long, vector array<double>").parquet(store)
+    spark.createDataFrame([(5, [1.0])], "id long, vector array<double>").write.parquet(store)
+    embedder = lambda texts: [[float(len(t))] for t in texts]
+    assert maintain.backfill(symbols, stored(), embedder, lambda v: v.write.mode("append").parquet(store)) == 299
+    assert maintain.backfill(symbols, stored(), embedder, seen.append) == 0 and not seen
+    assert stored().count() == 300
+
+
+def test_incremental_index(spark):
+    files = spark.createDataFrame([(1, "a.py", "h1"), (2, "b.py", "h2"), (3, "c.py", "h3")], "id long, path string, hash string")
+    symbols = spark.createDataFrame([(10, 1, "a.f"), (11, 2, "b.f"), (12, 3, "c.f")], "id long, file_id long, qualified_name string")
+    edges = spark.createDataFrame([(10, 11), (10, 12), (11, 12)], "src long, dst long")
+    walk = spark.createDataFrame([("a.py", "h1"), ("b.py", "new"), ("d.py", "h4")], "path string, hash string")
+    extract = lambda f: f.select("path", F.explode(F.array(F.concat("path", F.lit(".x")), F.concat("path", F.lit(".y")))).alias("qualified_name"))
+    tables, counts = maintain.incremental_index({"files": files, "symbols": symbols, "edges": edges}, walk, extract)
+    assert tuple(counts.first()) == (1, 1, 1, 1)
+    ids = {r["path"]: r["id"] for r in tables["files"].collect()}
+    assert ids == {"a.py": 1, "b.py": 2, "d.py": ids["d.py"]} and ids["d.py"] not in (1, 2)
+    got = {r["qualified_name"]: (r["id"], r["file_id"]) for r in tables["symbols"].collect()}
+    assert got["a.f"] == (10, 1) and set(got) == {"a.f", "b.py.x", "b.py.y", "d.py.x", "d.py.y"} and {i for i, _ in got.values()} == {10, 13, 14, 15, 16}
+    assert got["d.py.x"][1] == ids["d.py"] and tables["edges"].count() == 0
+
+
 def test_upsert_keeps_ids(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "path string, id long, v string")
     new = spark.createDataFrame([("b", None, "z"), ("c", None, "w")], "path string, id long, v string")

@@ -61,3 +61,40 @@ def test_file_changes(spark, tmp_path):
     q = ev.run_changes(ev.watch_files(spark, f"{tmp_path}/in", "id long"), lambda df, epoch: seen.append(df.count()), f"{tmp_path}/ck")
     q.awaitTermination(120)
     assert sum(seen) == 5
+
+
+def test_order_over_chunks(stream, spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = [("s", i, "answer" if i == 2 else "search") for i in (5, 4, 3, 2, 1)]
+        got = {r["seq"]: r["blocked"] for r in drain(ev.search_gate(stream(rows, "session string, seq long, kind string")), "chunks").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1: True, 3: False, 4: False, 5: False}
+
+
+def test_labels_are_consumed_once(stream):
+    times = lambda df, c: df.withColumn(c, F.timestamp_seconds("s")).drop("s")
+    r = times(stream([("a", 1_000_000), ("b", 1_000_000), ("z", 1_100_000)], "request_id string, s long", "r"), "ts")
+    m = times(stream([("a", 1_000_060), ("a", 1_000_120), ("z2", 1_100_000)], "request_id string, s long", "m"), "label_ts")
+    got = drain(ev.label_join(r, m), "labels").collect()
+    assert sum(x["request_id"] == "a" for x in got) == 1
+
+
+def test_cursors():
+    c = ev.CursorCache(2)
+    c.put("a", 1)
+    c.put("b", 2)
+    assert c.get("a") == 1
+    c.put("c", 3)
+    assert (c.get("a"), c.get("b"), c.get("c")) == (1, None, 3)
+
+
+def test_rotation_and_retention(spark, tmp_path):
+    root = f"file://{tmp_path}/log"
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        spark.range(3).write.json(f"{root}/day={day}")
+    assert ev.expire_log(spark, root, "2024-01-02") == 1 and spark.read.json(root).select("day").distinct().count() == 2
+    assert not ev.rotate_log(spark, root) and ev.rotate_log(spark, root, 10) and not (tmp_path / "log").exists()
+    spark.range(1).write.json(root)
+    assert ev.rotate_log(spark, root, 1) and spark.read.json(root + ".1").count() == 1

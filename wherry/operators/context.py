@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherry.functions.text import code_tokens
-from wherry.functions.vec import distance_score, dot
+from wherry.operators import knn
 from wherry.operators.joins import same_symbol
 
 SIBLING_SCORE, SIBLING_POOL, SIBLINGS = 0.75, 10, 3
@@ -17,10 +17,10 @@ def siblings(anchors: DataFrame, vectors: DataFrame, selected: DataFrame) -> Dat
 
     anchors: query_id, anchor, v; vectors: id, v; selected: query_id, id. A stated set of anchors meets every vector once.
     """
-    a = anchors.select("query_id", "anchor", F.col("v").alias("av"))
-    near = vectors.crossJoin(F.broadcast(a)).select("query_id", "anchor", "id", distance_score(dot(F.col("av"), F.col("v"))).alias("score"))
-    w = Window.partitionBy("query_id", "anchor").orderBy(F.desc(F.round("score", 9)), "id")
-    pool = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SIBLING_POOL).filter((F.col("score") >= SIBLING_SCORE) & (F.col("id") != F.col("anchor")))
+    asked = anchors.groupBy("anchor").agg(F.any_value("v").alias("av"))
+    near = knn.search(asked, vectors, "anchor", "av", "id", "v", SIBLING_POOL).select(F.col("query_id").alias("anchor"), "id", "score", F.col("rank").alias("r"))
+    near = anchors.select("query_id", "anchor").distinct().join(near, "anchor")
+    pool = near.filter((F.col("score") >= SIBLING_SCORE) & (F.col("id") != F.col("anchor")))
     new = pool.join(selected.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return new.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "anchor").orderBy("r"))).filter(F.col("n") <= SIBLINGS).select("query_id", "anchor", "id", "n")
 

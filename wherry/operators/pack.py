@@ -235,3 +235,16 @@ def page_text(text: str, offset: int = 0, limit: int = 48 * 1024) -> tuple[str,
         while end > offset and raw[end] & 0xC0 == 0x80:
             end -= 1
     return raw[offset:end].decode("utf-8"), end
+
+
+def expansion_page(text: str, offset: int = 0, limit: int = 48 * 1024) -> dict:
+    """A page of an expanded body with where it lies: offsets in bytes, line and column of its start, the whole text's digest, whether more follows."""
+    import hashlib
+
+    page, end = page_text(text, offset, limit)
+    raw = text.encode("utf-8")
+    before = raw[:offset].decode("utf-8", "ignore")
+    return {
+        "text": page, "offset": offset, "next": end if end < len(raw) else None, "line": before.count("\n") + 1, "column": len(before) - (before.rfind("\n") + 1) + 1,
+        "sha256": hashlib.sha256(raw).hexdigest(), "bytes": len(raw),
+    }

@@ -5,6 +5,7 @@ Every operator takes and returns streaming (or batch) DataFrames; sources and si
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,15 +45,40 @@ def attribute_stream(nudges: DataFrame, served: DataFrame, window: str = "10 min
 
 
 def label_join(retrievals: DataFrame, labels: DataFrame, max_age: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Retrievals (request_id, ts) with the label that names them within max_age; unlabelled ones are kept once they are too old."""
+    """Retrievals (request_id, ts) with the label that names them within max_age; unlabelled ones are kept once they are too old.
+
+    A retrieval is consumed by the first label that names it; later ones for the same request are dropped.
+    """
     r = retrievals.withWatermark("ts", late)
-    m = labels.withWatermark("label_ts", late).withColumnRenamed("request_id", "label_id")
+    m = labels.withWatermark("label_ts", late).dropDuplicatesWithinWatermark(["request_id"]).withColumnRenamed("request_id", "label_id")
     on = F.expr(f"request_id = label_id AND label_ts >= ts AND label_ts <= ts + INTERVAL {max_age}")
     return r.join(m, on, "leftOuter").drop("label_id")
 
 
-def _stateful(rows: DataFrame, key: str, fn, output: str, state: str) -> DataFrame:
-    return rows.groupBy(key).applyInPandasWithState(fn, output, state, "append", GroupStateTimeout.NoTimeout)
+#: A session's state is dropped after so long without events.
+IDLE_MS = 24 * 3600 * 1000
+
+
+def _stateful(rows: DataFrame, key: str, step, empty: tuple, output: str, state: str) -> DataFrame:
+    """Run ``step(key, sorted events, state) -> (rows, state)`` on each key's events of a micro-batch in seq order.
+
+    A batch's events of a key may come in several chunks, so they are put together before they are sorted; they are narrow rows,
+    and the source bounds a batch. Idle keys lose their state after IDLE_MS.
+    """
+    names = [c.strip().split(" ")[0] for c in output.split(",")]
+
+    def run(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        events = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        out, new = step(k[0], events.itertuples(), held.get if held.exists else empty)
+        held.update(new)
+        held.setTimeoutDuration(IDLE_MS)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def pending_ring(events: DataFrame, size: int = RING) -> DataFrame:
@@ -62,21 +88,18 @@ def pending_ring(events: DataFrame, size: int = RING) -> DataFrame:
     are evicted silently; a label without a pending retrieval is still written; a retrieval is consumed once.
     """
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = list(state.get[0]) if state.exists else []
-        out = []
-        for pdf in frames:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.kind == "retrieval":
-                    pending = [p for p in pending if p != r.request_id][-(size - 1) :] + [r.request_id] if size > 1 else [r.request_id]
-                else:
-                    out.append((key[0], r.request_id, r.request_id in pending))
-                    pending = [p for p in pending if p != r.request_id]
-        state.update((pending,))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "request_id", "matched"])
+    def step(session, rows, state):
+        pending, out = list(state[0]), []
+        for r in rows:
+            known = r.request_id in pending
+            pending = [p for p in pending if p != r.request_id]
+            if r.kind == "retrieval":
+                pending = [*pending, r.request_id][-size:]
+            else:
+                out.append((session, r.request_id, known))
+        return out, (pending,)
 
-    return _stateful(events, "session", run, "session string, request_id string, matched boolean", "pending array<string>")
+    return _stateful(events, "session", step, ([],), "session string, request_id string, matched boolean", "pending array<string>")
 
 
 def search_gate(events: DataFrame, limit: int = GATE_LIMIT) -> DataFrame:
@@ -85,39 +108,75 @@ def search_gate(events: DataFrame, limit: int = GATE_LIMIT) -> DataFrame:
     events: session, seq, kind (search or answer).
     """
 
-    def run(key, frames, state):
-        blocked, answered = state.get if state.exists else (0, False)
-        out = []
-        for pdf in frames:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.kind == "answer":
-                    answered = True
-                    continue
-                stop = not answered and blocked < limit
-                blocked += stop
-                out.append((key[0], r.seq, bool(stop)))
-        state.update((blocked, answered))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "seq", "blocked"])
+    def step(session, rows, state):
+        (blocked, answered), out = state, []
+        for r in rows:
+            if r.kind == "answer":
+                answered = True
+                continue
+            stop = not answered and blocked < limit
+            blocked += stop
+            out.append((session, r.seq, bool(stop)))
+        return out, (blocked, answered)
 
-    return _stateful(events, "session", run, "session string, seq long, blocked boolean", "blocked int, answered boolean")
+    return _stateful(events, "session", step, (0, False), "session string, seq long, blocked boolean", "blocked int, answered boolean")
 
 
 def session_compaction(calls: DataFrame, full: int = 6, after: int = FULL_CALLS) -> DataFrame:
     """Full bodies that each call of a session gets: ``full`` for the first calls, one afterwards: (session, seq, full_bodies)."""
 
-    def run(key, frames, state):
-        n = state.get[0] if state.exists else 0
-        out = []
-        for pdf in frames:
-            for r in pdf.sort_values("seq").itertuples():
-                n += 1
-                out.append((key[0], r.seq, full if n <= after else 1))
-        state.update((n,))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "seq", "full_bodies"])
+    def step(session, rows, state):
+        n, out = state[0], []
+        for r in rows:
+            n += 1
+            out.append((session, r.seq, full if n <= after else 1))
+        return out, (n,)
+
+    return _stateful(calls, "session", step, (0,), "session string, seq long, full_bodies int", "n int")
+
+
+class CursorCache:
+    """The last ``size`` continuations of a server, by token; the one unused for longest goes first."""
+
+    def __init__(self, size: int = 128):
+        self.size, self._held = size, OrderedDict()
+
+    def put(self, token: str, cursor) -> None:
+        self._held[token] = cursor
+        self._held.move_to_end(token)
+        while len(self._held) > self.size:
+            self._held.popitem(last=False)
+
+    def get(self, token: str):
+        if token in self._held:
+            self._held.move_to_end(token)
+        return self._held.get(token)
+
+
+ROTATE_BYTES = 64 << 20
+
+
+def rotate_log(spark: SparkSession, path: str, limit: int = ROTATE_BYTES) -> bool:
+    """Move a log folder of ``limit`` bytes or more to ``path.1``, where it takes the place of the generation before it; whether it moved."""
+    jvm = spark.sparkContext._jvm
+    now, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".1")
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(now) or fs.getContentSummary(now).getLength() < limit:
+        return False
+    fs.delete(old, True)
+    return fs.rename(now, old)
+
 
-    return _stateful(calls, "session", run, "session string, seq long, full_bodies int", "n int")
+def expire_log(spark: SparkSession, path: str, before: str) -> int:
+    """Delete the days (folders day=...) of a log that lie before a date; their number."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    doomed = [d for d in days if d.getName().startswith("day=") and d.getName()[4:] < before]
+    for d in doomed:
+        fs.delete(d, True)
+    return len(doomed)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
