@@ -31,7 +31,7 @@ from wherry.llm.common import pieces, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded chunks that a worker remembers; a bound on memory alone, results do not depend on it.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 260_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 #: The table of a longer chunk is filled left to right, that of a shorter one from its end as far as it is asked for.
