@@ -472,11 +472,13 @@ def test_line_dedup_equals_exhaustive_search(spark, seed):
 def test_line_dedup_finds_runs_that_the_first_document_holds_in_part(spark):
     docs = []
     for f in range(60):
-        part, rest = words(5000 + f, 15), words(6000 + f, 25)
+        part, rest = words(5000 + f, 30), words(6000 + f, 60)
         docs += [(10 * f, words(7000 + 10 * f, 9) + "\n" + part), (10 * f + 1, part + " " + rest), (10 * f + 2, words(8000 + f, 5) + "\n" + part + " " + rest)]
     got, want = dedup_and_brute(spark, docs)
     assert got == want
-    assert all(len(got[10 * f + 2].split()) <= 5 + 12 for f in range(60))
+    # What is left of 90 repeated words are the ends that share a line with other words.
+    left = [len(got[10 * f + 2].split()) - 5 for f in range(60)]
+    assert max(left) <= 50 and sum(left) / 60 <= 15
 
 
 def test_line_dedup_self_repeats(spark):

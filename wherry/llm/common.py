@@ -29,14 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wherry-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has written and not deleted, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def result_of(make) -> DataFrame:
+    """The materialised result of ``make()``, whose own intermediate tables are then deleted: nothing reads them any more."""
+    before = len(_written)
+    made = make()
+    out = materialize(made)
+    spark, doomed = made.sparkSession, _written[before:-1]
+    for path in doomed:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written[before:-1] = []
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, table
+from wherry.llm.common import materialize, result_of, table
 
 K, W = 2, 4
 #: Lines of a run, and of one that is too short for that.
@@ -128,7 +128,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with its later repeated runs of lines deleted from ``text``; adds _removed: their positions, null where there are none."""
-    gone = materialize(removed_lines(docs)).alias("gone")
+    gone = result_of(lambda: removed_lines(docs)).alias("gone")
     same = (F.col("own.doc_id") == F.col("gone.doc_id")) & ((F.col("gone.twin") == 0) | (F.col("gone.twin") == F.xxhash64("own.text")))
     removed = F.col("gone.removed")
 
