@@ -656,6 +656,46 @@ def test_simhash_edges(spark):
     assert op9.near_duplicates(frame(spark, EDGE).limit(0)).count() == 0
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that the near-duplicate stage writes, where Spark may broadcast what it takes for small."""
+    import corpus_pipeline
+    from wherry.llm import common, components, jaccard
+
+    seen, write = [], common.materialize
+
+    def kept(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    for module in (components, op9, jaccard, corpus_pipeline):
+        monkeypatch.setattr(module, "materialize", kept)
+    return seen
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_simhash_broadcasts_by_counted_rows(spark, monkeypatch, plans, most):
+    from wherry.llm import common
+
+    if most is not None:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    base = words(7, 200).split(" ")
+    rows = [(10 * g + k, " ".join(words(g, 20).split(" ") + base + [f"edit{k}"])) for g in range(30) for k in range(4)] + [(900, None), (901, ""), (902, "a b c"), (903, "a b c")]
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    group = {i: i for i in fps}
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {i: new if g == old else g for i, g in group.items()}
+    got = op9.near_duplicates(frame(spark, rows))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in got.collect()} == {i: (fps[i], group[i]) for i in fps}
+    assert len(set(group.values())) < len(set(fps.values())), "some link joins different texts"
+    joins = [p for p in plans if "bit_count" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
+    assert any("Broadcast" in p for p in plans) == (most is None)
+
+
 # 10
 
 

@@ -55,6 +55,18 @@ def result_of(make) -> DataFrame:
     return out
 
 
+#: Rows of a few short columns that may be sent to every task; as a hash table they take a few MB.
+BROADCAST_ROWS = 1 << 15
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few short columns, as a side of a join: broadcast if it has few rows as counted, else shuffled.
+
+    Left alone, Spark decides by the bytes of compressed files, and takes an exploded row for one row.
+    """
+    return df.hint("broadcast" if df.count() <= BROADCAST_ROWS else "merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize
+from wherry.llm.common import by_size, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -28,10 +28,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: every larger neighbour hangs on the least neighbour.
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = both.filter("b > a").join(by_size(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = materialize(large)
         # Small star: a node's smaller neighbours and itself hang on the least of them.
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        small = large.join(by_size(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         e = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct())
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, pieces, table
+from wherry.llm.common import by_size, materialize, pieces, table
 from wherry.llm.components import connected_components
 
 SHINGLE = 3
@@ -80,7 +80,8 @@ def linked_pairs(nodes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     keys = [F.struct(F.lit(i).cast("tinyint").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(m)))).alias("bits")) for i, m in enumerate(combinations(masks, len(masks) - MAX_DISTANCE))]
     pivots = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint").alias(f"p{i}") for i, p in enumerate(PIVOTS)]
     rows = nodes.select("fp", "node", *pivots, F.explode(F.array(*keys)).alias("key")).select("key.part", "key.bits", "fp", "node", *(f"p{i}" for i in range(len(PIVOTS))))
-    a, b = rows.alias("a"), rows.alias("b")
+    # Never a broadcast: a node is twenty rows of all its distances here, over a hundred times its bytes in a file, which is all that Spark sees.
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     near = F.lit(True)
     for i in range(len(PIVOTS)):
         near = near & (F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= distance)
@@ -93,8 +94,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(docs))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     roots = connected_components(linked_pairs(nodes.filter("node is not null")))
-    named = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(nodes.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
+    return prints.join(by_size(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
