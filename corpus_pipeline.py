@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.llm import jaccard, op4_toxicity, op5_sentencepiece, op7_line_dedup, op9_simhash, op10_decontaminate
-from wherry.llm.common import materialize, table
+from wherry.llm.common import by_size, materialize, table
 from wherry.llm.components import connected_components
 
 
@@ -38,12 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     texts = docs.select("doc_id", "text")
     classes = materialize(op9_simhash.near_duplicates(texts).select("doc_id", "component_id"))
-    ids = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    ids = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")).hint("merge")
     links = jaccard.similar_pairs(texts, classes).join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b")
-    roots = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    classes = classes.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
+    roots = materialize(connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    classes = classes.join(by_size(roots.withColumnRenamed("node", "component_id")), "component_id", "left")
     later = materialize(classes.filter("doc_id != coalesce(root, component_id)").select("doc_id").distinct())
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(by_size(later), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -696,6 +696,28 @@ def test_simhash_broadcasts_by_counted_rows(spark, monkeypatch, plans, most):
     assert any("Broadcast" in p for p in plans) == (most is None)
 
 
+def test_pipeline_near_copies_broadcast_by_counted_rows(spark, monkeypatch, plans):
+    import corpus_pipeline
+    from wherry.llm import common, jaccard
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "_often", lambda docs: np.zeros(0, np.int64))
+    base = words(7, 60).split(" ")
+    rows = [(k, " ".join([*base[:k], "edit", *base[k + 1 :]])) for k in range(0, 60, 6)] + [(100 + k, words(k, 30)) for k in range(5)] + [(200, words(1, 30)), (300, None)]
+    docs = frame(spark, rows)
+    stored = common.materialize(docs)
+    kept = corpus_pipeline.near_duplicates(spark, stored, "")
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    sets = {i: five_words(t) for i, t in rows}
+    linked = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ids = sorted(sets)
+    assert any(linked(a, b) for a, b in itertools.combinations(ids[:10], 2))
+    found = {tuple(sorted(p)) for p in jaccard.similar_pairs(stored, docs.select("doc_id", F.col("doc_id").alias("component_id"))).collect()}
+    assert found == {(a, b) for a, b in itertools.combinations(ids, 2) if linked(a, b)}
+    assert {r["doc_id"] for r in kept.collect()} == {0, 100, 101, 102, 103, 104, 300}
+    assert sum("Join" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 # 10
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherry.llm.common import materialize, pieces
+from wherry.llm.common import by_size, materialize, pieces
 
 SHINGLE = 5
 #: Documents that are looked at, about, for shingles that many documents share.
@@ -91,10 +91,11 @@ def similar_pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     sets = materialize(prefixes(docs).filter("n > 0"))
     least = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    equal = sets.select("doc_id", "digest").join(least.filter("copies > 1"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    equal = sets.select("doc_id", "digest").join(least.filter("copies > 1").hint("merge"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     rows = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = rows.select("node", "n", F.explode("prefix").alias("s"))
-    a, b = rows.alias("a"), rows.alias("b")
+    # Joins with a side that grows with the corpus are shuffles: files of near copies are small for what they hold.
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     fits = (F.col("a.n") * 5 >= F.col("b.n") * 4) & (F.col("b.n") * 5 >= F.col("a.n") * 4)
     met = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & fits)
     # Sets of a repeated id that are of one size are counted together, which can only keep more.
@@ -102,7 +103,7 @@ def similar_pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
     # What is shared beyond the shorter prefix lies in the rest of that set.
     rest = F.greatest(F.col("na") - prefix_size(F.col("na")), F.col("nb") - prefix_size(F.col("nb")))
     met = met.filter((F.col("shared") + rest) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b").distinct()
-    ids = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    ids = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")).hint("merge")
     met = met.join(ids.select(F.col("doc_id").alias("a"), F.col("c").alias("ca")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("c").alias("cb")), "b")
     met = materialize(met.filter("ca != cb").select("a", "b"))
 
@@ -110,9 +111,9 @@ def similar_pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "set"])
 
-    asked = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
-    full = docs.join(asked, "doc_id", "left_semi").mapInArrow(whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<bigint>")
-    full = materialize(full)
+    asked = materialize(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct())
+    full = docs.join(by_size(asked), "doc_id", "left_semi").mapInArrow(whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<bigint>")
+    full = materialize(full).hint("merge")
     both = met.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     near = both.filter(common * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b")
