@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,17 +142,78 @@ def budget_ndcg(shown: DataFrame, gold_regions: DataFrame, budget: int) -> DataF
     The ideal takes the regions, largest first, until one does not fit the budget; 0 where none fits. ``shown`` is the prefix.
     """
     regions = clipped(gold_regions)
-    gold = line_set(regions.filter("start <= end"), ["query_id"])
-    lines = shown.select("query_id", "rank", "file", F.explode(F.sequence("start", "end")).alias("line")).join(gold, ["query_id", "file", "line"], "left_semi")
-    first = lines.groupBy("query_id", "file", "line").agg(F.min("rank").alias("rank"))
-    dcg = first.groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    dcg = first_cover(shown, regions)
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "file", "start")
-    sized = regions.withColumn("n", F.col("end") - F.col("start") + 1).filter("n > 0").withColumn("i", F.row_number().over(w)).withColumn("spent", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ideal = sized.filter(F.lit(budget <= 0) | (F.col("spent") <= budget)).groupBy("query_id").agg(F.sum(F.col("n") / F.log2(F.col("i") + 1)).alias("ideal"))
-    every = gold_regions.select("query_id").distinct().join(ideal, "query_id", "left").join(dcg, "query_id", "left")
+    # Empty regions come last, so they take no place and no lines from the others.
+    sized = regions.filter("query_id is not null").withColumn("n", F.col("end") - F.col("start") + 1).withColumn("i", F.row_number().over(w)).withColumn("spent", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fits = (F.col("n") > 0) & (F.lit(budget <= 0) | (F.col("spent") <= budget))
+    every = sized.groupBy("query_id").agg(F.sum(F.when(fits, F.col("n") / F.log2(F.col("i") + 1))).alias("ideal")).join(dcg, "query_id", "left")
     return every.select("query_id", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg_b"))
 
 
+def first_cover(shown: DataFrame, regions: DataFrame) -> DataFrame:
+    """(query_id, dcg): 1 / log2(rank + 1) of every line of the regions, by the first rank that shows it.
+
+    Spans are swept in line order, so the cost is that of their number and not of their lines; a task holds the spans of
+    one query's file at a time.
+    """
+    span = lambda df, rank: df.filter("query_id is not null AND file is not null AND start <= end").select("query_id", "file", rank.cast("double").alias("rank"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = span(shown.filter("rank > 0"), F.col("rank")).union(span(regions, F.lit(None)))
+    kind = rows.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, file, total, spans, gold = None, None, 0.0, [], []
+        ids, gains = [], []
+        for batch in batches:
+            for q, f, r, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if q != query or f != file:
+                    if spans and gold:
+                        total += covered_gain(spans, gold)
+                    spans, gold, file = [], [], f
+                    if q != query:
+                        if total > 0:
+                            ids.append(query)
+                            gains.append(total)
+                        query, total = q, 0.0
+                if r is None:
+                    gold.append((a, b))
+                else:
+                    spans.append((a, b, r))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(gains, pa.float64())], names=["query_id", "dcg"])
+            ids, gains, id_type = [], [], batch.schema.field(0).type
+        if spans and gold:
+            total += covered_gain(spans, gold)
+        if total > 0:
+            yield pa.RecordBatch.from_arrays([pa.array([query], id_type), pa.array([total], pa.float64())], names=["query_id", "dcg"])
+
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "file").mapInArrow(run, f"query_id {kind}, dcg double")
+
+
+def covered_gain(spans: list[tuple], gold: list[tuple]) -> float:
+    """1 / log2(rank + 1) over the lines of ``gold`` (start, end) by the least rank of the ``spans`` (start, end, rank) on each."""
+    spans, merged = sorted(spans), []
+    for a, b in sorted(gold):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    total, live, k = 0.0, [], 0
+    for line, last in merged:
+        while line <= last:
+            while k < len(spans) and spans[k][0] <= line:
+                heapq.heappush(live, (spans[k][2], spans[k][1]))
+                k += 1
+            while live and live[0][1] < line:
+                heapq.heappop(live)
+            upto = min(last, spans[k][0] - 1) if k < len(spans) else last
+            if live:
+                rank, end = live[0]
+                upto = min(upto, end)
+                total += (upto - line + 1) / math.log2(rank + 1)
+            line = upto + 1
+    return total
+
+
 def hit_region(shown: DataFrame, gold_regions: DataFrame) -> DataFrame:
     """(query_id, hit_region): share of a query's gold regions that a shown span overlaps; regions and spans: file, start, end."""
     r = clipped(gold_regions).withColumn("region", F.row_number().over(Window.partitionBy("query_id").orderBy("file", "start", "end")))
