@@ -24,3 +24,13 @@ def test_first_cover_takes_long_spans(spark):
     shown = spark.createDataFrame([(0, 1, "a", 1, 1_000_000_000)], "query_id long, rank int, file string, start long, end long")
     gold = spark.createDataFrame([(0, "a", 1, 4)], "query_id long, file string, start long, end long")
     assert metrics.budget_ndcg(shown, gold, 10).first()["ndcg_b"] == pytest.approx(1.0)
+
+
+def test_line_metrics_make_no_rows_of_lines(spark):
+    """Regions of a billion lines cost as much as short ones; spans that end before they start show nothing."""
+    far = 1_000_000_000
+    shown = spark.createDataFrame([(0, 1, "a", 1, far), (0, 2, "a", far // 2, 2 * far - 1), (0, 3, "a", 9, 3), (0, 4, "b", 1, 4)], "query_id long, rank int, file string, start long, end long")
+    gold = spark.createDataFrame([(0, "a", far // 2 + 1, 2 * far), (0, "c", 1, 2)], "query_id long, file string, start long, end long")
+    r = metrics.explore_metrics(shown, gold, gold.select("query_id", "file")).first()
+    assert (r["line_recall"], r["precision"]) == pytest.approx(((1.5 * far - 1) / (1.5 * far + 2), (1.5 * far - 1) / (2 * far + 3)))
+    assert (r["file_recall"], r["first_useful"], r["unique_files"]) == (0.5, 1, 2)

@@ -86,11 +86,6 @@ def pooled_and_macro(per_query: DataFrame, group: str, metric: str) -> DataFrame
     return one.select(F.col(group).cast("string").alias(group), "n", "value").unionByName(pooled).unionByName(macro)
 
 
-def line_set(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct (keys, file, line) of spans."""
-    return spans.select(*keys, "file", F.explode(F.sequence("start", "end")).alias("line")).distinct()
-
-
 def line_prefix(shown: DataFrame, budget: int) -> DataFrame:
     """The longest prefix of each query's results (rank, lines) within a budget of lines; it stops at the first overflow."""
     run = F.sum("lines").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -102,17 +97,31 @@ def explore_metrics(shown: DataFrame, gold_regions: DataFrame, gold_files: DataF
 
     shown: query_id, rank, file, start, end; gold_regions: query_id, file, start, end; gold_files: query_id, file.
     """
-    gold = line_set(gold_regions, ["query_id"])
-    seen = line_set(shown, ["query_id"])
-    covered = seen.join(gold, ["query_id", "file", "line"], "left_semi").groupBy("query_id").agg(F.count("*").alias("covered"))
-    n_gold, n_seen = gold.groupBy("query_id").agg(F.count("*").alias("gold_lines")), seen.groupBy("query_id").agg(F.count("*").alias("shown_lines"))
-    files = shown.groupBy("query_id", "file").agg(F.min("rank").alias("rank"))
-    uniq = files.groupBy("query_id").agg(F.count("*").alias("unique_files"))
-    found = files.join(gold_files.distinct(), ["query_id", "file"], "left_semi").groupBy("query_id").agg(F.count("*").alias("files_found"), F.min("rank").alias("first_useful"))
-    n_files = gold_files.distinct().groupBy("query_id").agg(F.count("*").alias("gold_files"))
-    out = n_files
-    for part in (n_gold, n_seen, covered, uniq, found):
-        out = out.join(part, "query_id", "left")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    nothing = F.lit(None).cast("long")
+    rows = shown.select("query_id", "file", F.lit("shown").alias("kind"), "rank", long("start"), long("end"))
+    rows = rows.union(gold_regions.select("query_id", "file", F.lit("gold"), F.lit(None), long("start"), long("end"))).union(gold_files.select("query_id", "file", F.lit("file"), F.lit(None), nothing, nothing))
+    kind, spans = F.col("kind"), F.col("start") <= F.col("end")
+    before = Window.partitionBy("query_id", "file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+
+    def new_lines(mine: Column) -> Column:
+        """Lines of a span that no earlier one of its set has; their sum is the size of the union."""
+        reached = F.coalesce(F.max(F.when(mine & spans, F.col("end"))).over(before), F.col("start") - 1)
+        return F.when(mine & spans, F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start") - 1, reached))).otherwise(0)
+
+    # One shuffle serves the windows and both groupings; no line has a row of its own.
+    lined = rows.filter("query_id is not null").repartition("query_id").withColumns({"in_gold": new_lines(kind == "gold"), "in_shown": new_lines(kind == "shown"), "in_any": new_lines(kind.isin("gold", "shown"))})
+    by_file = lined.groupBy("query_id", "file").agg(*(F.sum(c).alias(c) for c in ("in_gold", "in_shown", "in_any")), F.min("rank").alias("rank"), F.max(kind == "shown").alias("is_shown"), F.max(kind == "file").alias("is_gold"))
+    found = F.col("is_shown") & F.col("is_gold") & F.col("file").isNotNull()
+    out = by_file.groupBy("query_id").agg(
+        F.sum("in_gold").alias("gold_lines"),
+        F.sum("in_shown").alias("shown_lines"),
+        F.sum(F.when(F.col("file").isNotNull(), F.col("in_gold") + F.col("in_shown") - F.col("in_any"))).alias("covered"),
+        F.count_if("is_shown").alias("unique_files"),
+        F.count_if("is_gold").alias("gold_files"),
+        F.count_if(found).alias("files_found"),
+        F.min(F.when(found, F.col("rank"))).alias("first_useful"),
+    ).filter("gold_files > 0")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     recall = F.when(zero("gold_lines") > 0, zero("covered") / F.col("gold_lines")).otherwise(0.0)
     precision = F.when(zero("shown_lines") > 0, zero("covered") / F.col("shown_lines")).otherwise(0.0)

@@ -266,7 +266,7 @@ def shown_gold(x: Tables):
 )
 def ag_explore(x: Tables):
     shown, gold = shown_gold(x)
-    m = metrics.explore_metrics(shown, gold, gold.select("query_id", "file").distinct())
+    m = metrics.explore_metrics(shown, gold, gold.select("query_id", "file"))
     return m.select("query_id", "hit_file", *(r6(c).alias(c) for c in ("file_recall", "line_recall", "precision", "f1")), big("first_useful").alias("first_useful"), "unique_files")
 
 
