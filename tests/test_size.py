@@ -34,3 +34,14 @@ def test_line_metrics_make_no_rows_of_lines(spark):
     r = metrics.explore_metrics(shown, gold, gold.select("query_id", "file")).first()
     assert (r["line_recall"], r["precision"]) == pytest.approx(((1.5 * far - 1) / (1.5 * far + 2), (1.5 * far - 1) / (2 * far + 3)))
     assert (r["file_recall"], r["first_useful"], r["unique_files"]) == (0.5, 1, 2)
+
+
+def test_intent_verbs_as_in_sql(spark, tmp_path):
+    """Another verb of the engine's list leads a text, which the query's two do not cover."""
+    import __spark_entry__
+
+    rows = [(1, 1, "Hash it "), (2, 1, "Writes it"), (3, 1, "Run it"), (4, 1, "The run of"), (5, 1, "runs it")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["leads"] for r in __spark_entry__.queries()["rk_intent_verbs"](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: False}
+    assert spark.createDataFrame([("Hash it",)], "q string").select(rank.leads_with_action_verb(F.col("q"))).first()[0]
