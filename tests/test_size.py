@@ -45,3 +45,16 @@ def test_intent_verbs_as_in_sql(spark, tmp_path):
     got = {r["conv_id"]: r["leads"] for r in __spark_entry__.queries()["rk_intent_verbs"](spark, str(tmp_path)).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False}
     assert spark.createDataFrame([("Hash it",)], "q string").select(rank.leads_with_action_verb(F.col("q"))).first()[0]
+
+
+def test_hot_paths_are_placed_once(spark, monkeypatch):
+    """Every query wants the same path; blocks are smaller than its queries and files, and one query wants two paths."""
+    monkeypatch.setattr(joins, "PAIR_BLOCK", 3)
+    files = spark.createDataFrame([(i, f"{'x' * (i % 3)}d/a.py") for i in range(10)] + [(99, "b.py")], "id long, path string")
+    wanted = spark.createDataFrame([(q, "a.py") for q in range(8)] + [(50, "a.py"), (50, "b.py")], "query_id long, path string")
+    got = {}
+    for r in joins.resolve_paths(wanted, files).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["file_id"]))
+    order = sorted(range(10), key=lambda i: (i % 3, i))
+    assert all(sorted(got[q]) == list(enumerate(order, 1)) for q in range(8))
+    assert sorted(got[50]) == [(1, 99)]
