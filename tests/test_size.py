@@ -58,3 +58,10 @@ def test_hot_paths_are_placed_once(spark, monkeypatch):
     order = sorted(range(10), key=lambda i: (i % 3, i))
     assert all(sorted(got[q]) == list(enumerate(order, 1)) for q in range(8))
     assert sorted(got[50]) == [(1, 99)]
+
+
+def test_linked_tests_meet_by_name(spark):
+    """Twenty thousand symbols and tests of one name: their 400 million pairs are never made."""
+    s = spark.range(20_000).select(F.col("id"), F.lit("p.Load").alias("name"))
+    df = joins.linked_tests(s, spark.range(20_000).select((20_000 - F.col("id")).alias("id"), F.lit("test_load").alias("name")))
+    assert df.count() == 60_000 and {r["test_id"] for r in df.collect()} == {1, 2, 3}
