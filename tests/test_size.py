@@ -65,3 +65,16 @@ def test_linked_tests_meet_by_name(spark):
     s = spark.range(20_000).select(F.col("id"), F.lit("p.Load").alias("name"))
     df = joins.linked_tests(s, spark.range(20_000).select((20_000 - F.col("id")).alias("id"), F.lit("test_load").alias("name")))
     assert df.count() == 60_000 and {r["test_id"] for r in df.collect()} == {1, 2, 3}
+
+
+def test_literal_files_answer_each_list_once(spark, monkeypatch):
+    post = spark.createDataFrame([("src_a", "f", 1), ("src_b", "f", 2), ("src_a", "g", 3), ("src_b", "h", 4)], "term string, file string, symbol long")
+    q = spark.range(500).select(F.col("id").alias("query_id"), F.lit("see src_a and src_b").alias("query"))
+    seen = []
+    keep = locate.materialize
+    monkeypatch.setattr(locate, "materialize", lambda df: seen.append(keep(df)) or seen[-1])
+    want = [("f", 2)] * 500
+    assert [(r["file"], r["names"]) for r in locate.literal_files(q, post).collect()] == want
+    assert seen[0].count() == 1
+    monkeypatch.setattr(locate, "SENT_ANSWERS", 0)
+    assert locate.literal_files(q, post).count() == 500
