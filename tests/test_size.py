@@ -78,3 +78,16 @@ def test_literal_files_answer_each_list_once(spark, monkeypatch):
     assert seen[0].count() == 1
     monkeypatch.setattr(locate, "SENT_ANSWERS", 0)
     assert locate.literal_files(q, post).count() == 500
+
+
+def test_best_by_label_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, i % 7, v[i].tolist()) for i in range(60)], "id long, label int, v array<double>")
+    for name, value in (("QUERY_BLOCK", 4), ("ROW_BLOCK", 5), ("HELD_LABELS", 2)):
+        monkeypatch.setattr(knn, name, value)
+    q = df.filter("id % 6 = 0")
+    got = {(r["q"], r["label"]): r["m"] for r in knn.best_by_label(q, df, "id", "v", "label", "v").collect()}
+    want = {(a, b): max(v[a] @ v[i] for i in range(60) if i % 7 == b) for a in range(0, 60, 6) for b in range(7)}
+    assert got == pytest.approx(want)
+    assert knn.best_by_label(q.limit(0), df, "id", "v", "label", "v").count() == 0

@@ -99,10 +99,7 @@ def ret_hybrid_pack(x: Tables):
 )
 def ret_max_sim(x: Tables):
     """Late interaction of one query of several vectors with documents of many: partial maxima before the sum."""
-    from wherry.functions.vec import dot
-
-    q = x.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    best = x.embeddings.crossJoin(F.broadcast(q)).groupBy("q", "label").agg(F.max(dot(F.col("qe"), F.col("embedding"))).alias("m"))
+    best = knn.best_by_label(x.embeddings.filter("vec_id % 100 = 0"), x.embeddings, "vec_id", "embedding", "label", "embedding")
     return best.groupBy(big("label").alias("label")).agg(r6(F.sum("m")).alias("score"))
 
 
