@@ -91,3 +91,11 @@ def test_best_by_label_in_blocks(spark, monkeypatch):
     want = {(a, b): max(v[a] @ v[i] for i in range(60) if i % 7 == b) for a in range(0, 60, 6) for b in range(7)}
     assert got == pytest.approx(want)
     assert knn.best_by_label(q.limit(0), df, "id", "v", "label", "v").count() == 0
+
+
+def test_summary_expression_stays_small(spark):
+    from wherry.functions.text import clean_summary
+
+    df = spark.createDataFrame([("'Summary: Purpose: Reads x, which and it; distinguishing it\nmore'",), ("y " * 200,), (None,)], "c string").select(clean_summary(F.col("c")).alias("s"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 100_000
+    assert [r["s"] for r in df.collect()] == ["Reads x.", "y " * 149 + "y ...", None]
