@@ -99,3 +99,13 @@ def test_summary_expression_stays_small(spark):
     df = spark.createDataFrame([("'Summary: Purpose: Reads x, which and it; distinguishing it\nmore'",), ("y " * 200,), (None,)], "c string").select(clean_summary(F.col("c")).alias("s"))
     assert len(df._jdf.queryExecution().analyzed().toString()) < 100_000
     assert [r["s"] for r in df.collect()] == ["Reads x.", "y " * 149 + "y ...", None]
+
+
+def test_tokens_are_looked_up_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "TOKEN_BLOCK", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * 3, None, ["b"] * 9, [], ["c"], ["d"] * 2])], names=["doc", "toks"])
+    parts = list(bm25.sliced(batch))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(6))
+    assert all(p.num_rows == 1 or sum(len(t or []) for t in p.column(1).to_pylist()) <= 4 for p in parts)
